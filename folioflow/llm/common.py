@@ -41,7 +41,7 @@ def partitions(spark: SparkSession, df: DataFrame | None = None, target: int = 8
     """Shuffle partitions: the session's number, or more where the plan's size estimate asks for it."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if df is not None:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         if size < 1 << 62:  # a plan without statistics reports a huge default
             n = max(n, min(100_000, -(-size // target)))
     return n
