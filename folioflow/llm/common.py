@@ -37,9 +37,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def partitions(spark: SparkSession, df: DataFrame | None = None, target: int = 8 << 20) -> int:
-    """Shuffle partitions: the session's number, or more where the plan's size estimate asks for it."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, df: DataFrame | None = None, target: int = 8 << 20, least: int | None = None) -> int:
+    """`least` (the session's number of shuffle partitions), or more where the plan's size estimate asks for it."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if least is None else least
     if df is not None:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         if size < 1 << 62:  # a plan without statistics reports a huge default

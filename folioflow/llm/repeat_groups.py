@@ -31,11 +31,16 @@ class Plan:
 
 
 def dealt(rows: DataFrame) -> tuple[DataFrame, Plan]:
-    """(p, doc_id, text) in groups p. All later passes read this one exchange."""
-    n = partitions(rows.sparkSession, rows, 12 << 20)
-    plan = Plan(n, 4 * n, n)
+    """(p, doc_id, text) in groups p. All later passes read this one exchange.
+
+    Groups and buckets follow the size of the input (about 12 MB a bucket), not the number of shuffle partitions: a group sends
+    one row to each bucket it has anchors for, at most as many as it has anchors.
+    """
+    shuffle = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, partitions(rows.sparkSession, rows, 12 << 20, least=1))
+    plan = Plan(max(n, shuffle), 4 * n, n)
     cut = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.groups)).cast("int").alias("p"), "doc_id", "text")
-    return cut.repartition(n, "p"), plan
+    return cut.repartition(plan.parts, "p"), plan
 
 
 def load(group: pa.Table) -> tuple[list[int | None], list[bytes]]:
