@@ -19,6 +19,7 @@ import mmap
 import os
 import struct
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -267,19 +268,23 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_
     return compile_transducer({w.encode(): vocabulary.merge(w.encode()) for w in frequent_words(docs, vocabulary, words)})
 
 
+#: The encoder of the query that this worker runs, with its cache, for all its tasks.
+_HELD: dict[str, Encoder] = {}
+
+
 def _encoders(docs: DataFrame, path: str | None, words: int):
     """A function that gives the worker's encoder."""
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         text = f.read()
     lexicon = build_lexicon(docs, Vocabulary(text), words)
-    sent = docs.sparkSession.sparkContext.broadcast((text, lexicon))
-    held: list[Encoder] = []
+    sent, name = docs.sparkSession.sparkContext.broadcast((text, lexicon)), uuid.uuid4().hex
 
     def get() -> Encoder:
-        if not held:
+        if name not in _HELD:
+            _HELD.clear()
             source, compiled = sent.value
-            held.append(Encoder(Vocabulary(source), compiled))
-        return held[0]
+            _HELD[name] = Encoder(Vocabulary(source), compiled)
+        return _HELD[name]
 
     return get
 
