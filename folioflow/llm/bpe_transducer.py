@@ -212,30 +212,46 @@ class Encoder:
         self.pieces = splitter(vocabulary.special)
         self.words: Transducer | None = None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.written: dict[str, str] = {}  # the same ids in decimal, and the bytes they decode to
+        self.raw: dict[str, bytes] = {}
         if lexicon is not None:
             with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:  # the map outlives the name
                 f.write(lexicon)
                 f.flush()
                 self.words = Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, pieces: list[list[str]]) -> None:
         if len(self.cache) > self.limit:
-            self.cache.clear()
+            for held in (self.cache, self.written, self.raw):
+                held.clear()
+        new = set().union(*pieces).difference(self.cache)
         special = self.vocabulary.special
         words = [w for w in new if w not in special]
         raw = [w.encode() for w in words]
         found = self.words.lookup(raw) if self.words else [None] * len(raw)
         self.cache.update((w, self.vocabulary.merge(b) if ids is None else ids) for w, b, ids in zip(words, raw, found, strict=True))
         self.cache.update((w, (special[w],)) for w in new if w in special)
+        token = self.vocabulary.token
+        self.written.update((w, ",".join(map(str, self.cache[w]))) for w in new)
+        self.raw.update((w, b"".join(token[n] for n in self.cache[w])) for w in new)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         pieces = [self.pieces(t) for t in texts]
-        new = set().union(*pieces)
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        self.learn(new.difference(self.cache))
+        self.learn(pieces)
         return [list(chain.from_iterable(map(self.cache.__getitem__, p))) for p in pieces]
 
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text), piece by piece: a piece's ids are written
+        and decoded once."""
+        pieces = [self.pieces(t) for t in texts]
+        self.learn(pieces)
+        out = []
+        for p in pieces:
+            ids = ",".join(map(self.written.__getitem__, p))
+            back = b"".join(map(self.raw.__getitem__, p)).decode("utf-8", "replace").encode()
+            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.token.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -320,15 +336,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     get = _encoders(rows, vocabulary, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = get()
-        signs = [str(n) for n in range(len(encoder.vocabulary.token))]
         for ids, texts in blocks(batches):
-            found = encoder.encode([t.decode() for t in texts])
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()),
-                "n_tokens": pa.array(map(len, found), pa.int64()),
-                "ids_sha256": [hashlib.sha256(",".join(map(signs.__getitem__, x)).encode()).hexdigest() for x in found],
-                "decoded_sha256": [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in found],
-            })
+            n, written, back = zip(*get().digests([t.decode() for t in texts]), strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": list(written), "decoded_sha256": list(back)})
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
