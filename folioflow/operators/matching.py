@@ -23,7 +23,7 @@ def nearest_token(items: DataFrame, tokens: DataFrame, by: str, threshold: float
     """
     point = tokens.select("ord", "token", C.lab(F.col("hex")).alias("q"))
     colours = items.select(by).where(F.col(by).isNotNull()).distinct().select(by, C.lab(F.col(by)).alias("p"))
-    best = colours.crossJoin(F.broadcast(point.limit(BROADCAST_ROWS))).groupBy(by).agg(F.min(F.struct(C.delta_e(F.col("p"), F.col("q")).alias("delta"), "ord", "token")).alias("m"))
+    best = colours.crossJoin(small(point)).groupBy(by).agg(F.min(F.struct(C.delta_e(F.col("p"), F.col("q")).alias("delta"), "ord", "token")).alias("m"))
     near = best.select(by, "m.token", "m.delta", (F.col("m.delta") <= threshold).alias("matched"))
     return items.join(near, by, "left")
 
@@ -85,20 +85,23 @@ def resolve_assets(elements: DataFrame, assets: DataFrame, last_wins: bool = Tru
 def uncovered(blocks: DataFrame, texts: DataFrame, block_id: str) -> DataFrame:
     """Blocks (id, text) that no text contains, after white space is normalised.
 
-    Blocks of five words or more share their second to fourth word with every text that contains them; that shingle is the join
-    key, and only texts with a wanted shingle are compared. Shorter blocks are compared with all texts.
+    Blocks of five words or more share their second to fourth word with every text that contains them. That shingle is the join
+    key; it goes with the text's digest, and only texts with a wanted shingle are read again and compared. Shorter blocks are
+    compared with all texts.
     """
     b = blocks.select(block_id, C.normal_space(F.col("text")).alias("block")).where("block <> ''")
     words = F.split("block", " ")
     keyed = b.withColumn("shingle", F.when(F.size(words) >= 5, F.xxhash64(F.array_join(F.slice(words, 2, 3), " "))))
-    t = texts.select(C.normal_space(F.col("text")).alias("body"))
-    own = F.split("body", " ")
-    spots = F.when(F.size(own) >= 3, F.sequence(F.lit(1), F.size(own) - 2)).otherwise(F.array().cast("array<int>"))
-    shingles = t.select("body", F.explode(F.array_distinct(F.transform(spots, lambda n: F.xxhash64(F.array_join(F.slice(own, n, 3), " "))))).alias("shingle"))
-    hit = shingles.join(small(keyed.where("shingle is not null")), "shingle").where(F.contains("body", "block")).select(block_id)
+    t = texts.select(C.normal_space(F.col("text")).alias("body")).withColumn("__t", F.sha2("body", 256))
+    own = t.select("__t", F.split("body", " ").alias("own"))  # a column: inside the function below, the split would be repeated
+    spots = F.when(F.size("own") >= 3, F.sequence(F.lit(1), F.size("own") - 2)).otherwise(F.array().cast("array<int>"))
+    shingles = own.select("__t", F.explode(F.array_distinct(F.transform(spots, lambda n: F.xxhash64(F.array_join(F.slice("own", n, 3), " "))))).alias("shingle"))
+    wanted = small(keyed.where("shingle is not null"))
+    pairs = shingles.join(wanted.select("shingle", block_id, "block"), "shingle").select("__t", block_id, "block").distinct()
+    hit = t.join(pairs, "__t").where(F.contains("body", "block")).select(block_id)
     short = keyed.where("shingle is null")
     if short.take(1):
-        hit = hit.union(t.join(F.broadcast(short.limit(BROADCAST_ROWS)), F.contains("body", "block")).select(block_id))
+        hit = hit.union(t.join(small(short), F.contains("body", "block")).select(block_id))
     return b.select(block_id).join(hit.distinct(), block_id, "left_anti")
 
 
