@@ -71,18 +71,23 @@ class Words:
         return own[order], many[order], ends, at, np.argsort(order)[place]
 
 
-def automata(phrases: np.ndarray, words: np.ndarray):
-    """(automaton, hashes of the words it knows) for each PHRASES phrases; phrases: [n, K] word hashes."""
+def automata(phrases: np.ndarray):
+    """(automaton, sorted hashes of the words it knows, for each of these a bit for each place in a phrase where it stands) for
+    each PHRASES phrases; phrases: [n, K] word hashes."""
     import ahocorasick
 
     for at in range(0, len(phrases), PHRASES):
         some = phrases[at : at + PHRASES]
         known, code = np.unique(some, return_inverse=True)
+        code = code.reshape(some.shape)
+        stands = np.zeros(len(known), np.uint16)
+        for k in range(K):
+            stands[code[:, k]] |= np.uint16(1 << k)
         machine = ahocorasick.Automaton()
-        for text in spelled(code.reshape(some.shape) + 1):
+        for text in spelled(code + 1):
             machine.add_word(text, len(text))
         machine.make_automaton()
-        yield machine, known
+        yield machine, known, stands
 
 
 def spelled(codes: np.ndarray) -> list[str]:
@@ -92,15 +97,29 @@ def spelled(codes: np.ndarray) -> list[str]:
 
 
 def occurrences(words: Words, phrases: np.ndarray) -> np.ndarray:
-    """Places where one of the phrases begins in any of the documents."""
+    """Places where one of the phrases begins in any of the documents. A node's edges are searched one by one and the root has
+    many, so of each document the stretches are streamed in which K words in a row each stand at their place in some phrase; no
+    phrase is elsewhere."""
     found: list[int] = []
-    for machine, known in automata(phrases, words.hash):
+    n = len(words.hash)
+    room = np.repeat(words.start + words.size, words.size) - np.arange(n)  # words to the end of the document
+    for machine, known, stands in automata(phrases):
         at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
         codes = np.where(known[at] == words.hash, at + 1, 0)
-        for s, n in zip(words.start.tolist(), words.size.tolist(), strict=True):
-            if n >= WINDOW:
-                text = spelled(codes[None, s : s + n])[0]
-                found += [s + end - K + 1 for end, _ in machine.iter(text)]
+        bits = np.append(np.where(codes > 0, stands[at], 0), np.zeros(K, np.uint16))
+        may = room >= K
+        for k in range(K):
+            may &= bits[k : n + k] >> k & 1 > 0
+        begins = np.flatnonzero(may)
+        if not len(begins):
+            continue
+        # beginnings less than K words apart, in one document, are one stretch
+        new = np.concatenate(([True], (np.diff(begins) >= K) | (np.diff(begins) >= room[begins[:-1]])))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(begins)) - 1
+        for s, end in zip(begins[first].tolist(), (begins[last] + K).tolist(), strict=True):
+            text = spelled(codes[None, s:end])[0]
+            found += [s + stop - K + 1 for stop, _ in machine.iter(text)]
     return np.unique(np.array(found, np.int64))
 
 
