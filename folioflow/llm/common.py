@@ -42,7 +42,7 @@ def partitions(spark: SparkSession, df: DataFrame | None = None, target: int = 8
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) if least is None else least
     if df is not None:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        if size < 1 << 62:  # a plan without statistics reports a huge default
+        if size < 1 << 55:  # a plan without statistics reports a huge default, or a share of it
             n = max(n, min(100_000, -(-size // target)))
     return n
 
