@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .common import blocks, id_text
 
@@ -290,7 +291,19 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON
         yield out()
 
     counted = docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(~F.col("word").isin(*special) if special else F.lit(True))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]  # a bounded lexicon is the feature
+    # Each task would send its own first words to the driver. A histogram of the counts, in eighths of an octave, tells which
+    # counts can be among the first, so that little more than the lexicon is sent.
+    counted = counted.withColumn("level", F.floor(F.log2("n") * 8)).persist(StorageLevel.DISK_ONLY)
+    try:
+        least, above = 0, 0
+        for level, n in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 8 * 63 levels
+            least, above = level, above + n
+            if above >= words:
+                break
+        first = counted.where(F.col("level") >= least).orderBy(F.desc("n"), "word").limit(words)  # a bounded lexicon is the feature
+        return [r.word for r in first.collect()]
+    finally:
+        counted.unpersist()
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS) -> bytes:
