@@ -8,6 +8,13 @@ with more than `pair_limit` fingerprints under one entry are not paired: each on
 run's sorted fingerprints, which is linear in the run. Tasks return a star for each local component instead of pairs; the
 components of the whole are found by alternating large-star and small-star steps over tables.
 
+Similarity 0.8 of word shingles is about 0.156 of the bits, too many for 64: `keep_one` uses 256 bits (`WORDS` of 64) and links at
+`REACH` bits, which a pair of similarity 0.8 stays within in about nine of ten cases. The index is again one of positional
+bytes: the sets of `width` byte positions inside each 64-bit word, so every pair that shares more than 4 * (width - 1) of its 32
+positional bytes meets; pairs with fewer meet as chance has it. `width` follows the number of fingerprints, so that a set of
+bytes has as many values as there are fingerprints, to a factor of 8. Pairs that meet and share `TALLY` bytes or more are
+verified by their differing bits.
+
 Defined results: a null, empty or blank text has fingerprint 0, which is linked like any other; repeated rows each get the same
 result; null ids don't count for the component's smallest id (a component of null ids only has id null); an empty table gives an
 empty table; extra columns are ignored (`keep_one` returns them).
@@ -23,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ensure_checkpoints, id_text, partitions
+from .common import C1, blocks, ensure_checkpoints, id_text, mix, partitions
 
 SEED = 42
+WORDS, REACH, TALLY = 4, 46, 3  # 64-bit words of a wide fingerprint; most differing and least shared bytes of a link
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -188,21 +196,171 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     ensure_checkpoints(docs.sparkSession)
     rows = fingerprint_rows(id_text(docs, id_col, text_col), shingle).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    stars = components(link_stars(nodes.select("fp"), bits))
+    return _named(rows, nodes, link_stars(nodes.select("fp"), bits))
+
+
+def wide_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, by wide fingerprints."""
+    ensure_checkpoints(docs.sparkSession)
+    rows = wide_rows(id_text(docs, id_col, text_col), shingle).checkpoint()
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    return _named(rows, nodes, wide_stars(nodes.select("fp"), nodes.count()))
+
+
+def _named(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    stars = components(links)
     rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp")
 
 
+def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """[text, word]: bits that over half of a text's hashes have; h: [hash, word], `size` of them for each text."""
+    out = np.zeros((len(size), h.shape[1]), np.uint64)
+    ends = np.cumsum(size)
+    filled = np.flatnonzero(size)
+    for some in (filled[k : k + 1024] for k in range(0, len(filled), 1024)):
+        cuts = [np.arange(e - n, e, 255) for e, n in zip(ends[some].tolist(), size[some].tolist(), strict=True)]  # sums of a stretch fit a byte
+        owner = np.repeat(np.arange(len(some)), [len(c) for c in cuts])
+        start = np.append(np.concatenate(cuts), ends[some[-1]])
+        total = np.zeros((len(some), 64 * h.shape[1]), np.int64)
+        for k in range(0, len(owner), 128):
+            own = start[k : k + 129]
+            bits = np.unpackbits(h[own[0] : own[-1]].view(np.uint8).reshape(own[-1] - own[0], -1), axis=1, bitorder="little")
+            np.add.at(total, owner[k : k + 128], np.add.reduceat(bits, own[:-1] - own[0], axis=0, dtype=np.uint8).astype(np.int64))
+        out[some] = np.packbits(2 * total > size[some][:, None], axis=1, bitorder="little").view("<u8")
+    return out
+
+
+def wide_fingerprints(texts: list[bytes], shingle: int = 5, words: int = WORDS) -> np.ndarray:
+    """[text, word] as uint64; the first word is the fingerprint of 64 bits."""
+    import xxhash
+
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    size, hashes = np.zeros(len(texts), np.int64), []
+    for k, t in enumerate(texts):
+        w = t.lower().split()
+        pieces = list(map(join, zip(*(w[n:] for n in range(shingle)), strict=False))) if len(w) >= shingle else [join(w)] if w else []
+        size[k] = len(pieces)
+        hashes.append(np.fromiter((digest(p, SEED) for p in pieces), np.uint64, len(pieces)))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return majority(np.concatenate((h[:, None], mix(h[:, None] + C1 * np.arange(1, words, dtype=np.uint64))), axis=1), size)
+
+
+def wide_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, fp) from (doc_id, text); fp is the wide fingerprint's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in blocks(batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array([r.tobytes() for r in wide_fingerprints(texts, shingle)], pa.binary())})
+
+    return docs.mapInArrow(run, "doc_id long, fp binary")
+
+
+def index_width(n: int) -> int:
+    """Byte positions of a set of the index over n fingerprints."""
+    width = 2
+    while n > 8 * 256**width and width < 6:
+        width += 1
+    return width
+
+
+def linked(x: np.ndarray) -> np.ndarray:
+    """Of differences [..., word]: whether shared bytes and differing bits make a link."""
+    ok = (x.view(np.uint8) == 0).sum(axis=-1) >= TALLY
+    ok[ok] = np.bitwise_count(x[ok]).sum(axis=-1) <= REACH
+    return ok
+
+
+def spanning(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join each component of fp [node, word]. Each node is held only against those that nothing has reached yet."""
+    left, a, b = np.arange(len(fp)), [], []
+    while len(left):
+        queue, left = [left[:1]], left[1:]
+        while queue and len(left):
+            front = queue.pop()
+            at = 0
+            while at < len(front) and len(left):
+                part = front[at : at + max(1, (1 << 19) // len(left))]
+                at += len(part)
+                ok = linked(fp[part][:, None] ^ fp[left][None])
+                hit = ok.any(axis=0)
+                if hit.any():
+                    a.append(part[ok.argmax(axis=0)[hit]])
+                    b.append(left[hit])
+                    queue.append(left[hit])
+                    left = left[~hit]
+    return np.concatenate(a or [left]), np.concatenate(b or [left])
+
+
+def wide_links(fp: np.ndarray, run: np.ndarray, pair_limit: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of links that join the components of each run; fp [node, word] sorted by run."""
+    none = np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(run)), bool), run[1:] != run[:-1])))
+    size = np.diff(np.append(first, len(run)))
+    of, end = np.repeat(size, size), np.repeat(first + size, size)
+    small, left, right = np.flatnonzero((of > 1) & (of <= pair_limit)), [], []
+    step = 1
+    while len(small):
+        small = small[small + step < end[small]]
+        for part in (small[k : k + (1 << 18)] for k in range(0, len(small), 1 << 18)):
+            own = part[linked(fp[part] ^ fp[part + step])]
+            left.append(own)
+            right.append(own + step)
+        step += 1
+    for at, m in zip(first[size > pair_limit].tolist(), size[size > pair_limit].tolist(), strict=True):
+        a, b = spanning(fp[at : at + m])
+        left.append(at + a)
+        right.append(at + b)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
+
+
+ENTRY = np.dtype([("kind", "u1"), ("fp", "<u8", (WORDS,))])
+
+
+def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
+    """(u, v): a star for each component that one task of the index sees. nodes: n distinct fp."""
+    masks = np.array([sum(0xFF << 8 * p for p in c) for c in combinations(range(8), index_width(n))], np.uint64)
+    kinds = WORDS * len(masks)
+    groups = max(4 * partitions(nodes.sparkSession), -(-n * kinds * ENTRY.itemsize >> 24))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                fp = np.frombuffer(b"".join(batch.column(0).slice(k, 4096).to_pylist()), "<u8").reshape(-1, WORDS)
+                key = (fp[:, :, None] & masks).reshape(len(fp), kinds)
+                g = (mix(key + C1 * np.arange(kinds, dtype=np.uint64)) % np.uint64(groups)).astype(np.int64).ravel()
+                order = np.argsort(g, kind="stable")
+                e = np.empty(len(order), ENTRY)
+                e["kind"], e["fp"] = order % kinds, fp[order // kinds]
+                cut = np.flatnonzero(np.diff(g[order], prepend=-1, append=groups))
+                yield pa.RecordBatch.from_pydict({"g": pa.array(g[order][cut[:-1]]), "blob": pa.array([e[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
+
+    def link(group: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(b, ENTRY) for b in group.column("blob").to_pylist()])
+        kind = e["kind"].astype(np.int64)
+        key = e["fp"][np.arange(len(e)), kind // len(masks)] & masks[kind % len(masks)]
+        order = np.lexsort((key, kind))
+        fp, key, kind = np.ascontiguousarray(e["fp"][order]), key[order], kind[order]
+        a, b = wide_links(fp, np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))))
+        distinct, place = np.unique(fp[np.concatenate((a, b))], axis=0, return_inverse=True)
+        place = place.ravel()
+        root = local_roots(len(distinct), place[: len(a)], place[len(a) :])
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return pa.Table.from_pydict({"u": pa.array([r.tobytes() for r in distinct[own]], pa.binary()), "v": pa.array([r.tobytes() for r in distinct[root[own]]], pa.binary())})
+
+    return nodes.mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u binary, v binary")
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return grouped(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all columns. Rows without an id can't be named as a copy and
     stay; of rows that share the kept id one stays."""
-    keep = grouped(docs, shingle=shingle, bits=bits).where("doc_id = component_id").select("doc_id").distinct()
+    keep = wide_grouped(docs, shingle=shingle).where("doc_id = component_id").select("doc_id").distinct()
     names = docs.columns
     known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.select(*names).unionByName(docs.where("doc_id is null").select(*names))

@@ -289,7 +289,7 @@ def test_simhash(docs, none):
     for k, (i, f) in enumerate(rows):
         assert (f"{f:016x}", min(least[top(k)], default=None)) in [(r.fingerprint, r.component_id) for r in found[i]]
     assert simhash_neardup.digest(none).count() == 0
-    kept = simhash_neardup.keep_one(docs, shingle=3, bits=2)
+    kept = simhash_neardup.keep_one(docs, shingle=3)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and len(ids) == len({x for x in ids if x is not None}) + 2 and 2 not in ids
 
@@ -311,6 +311,45 @@ def test_links_are_complete(bits):
         assert got == want
 
 
+def test_wide_fingerprints_by_their_definition():
+    own = [(t or "").encode() for _, t in texts()]
+    wide = simhash_neardup.wide_fingerprints(own, 3)
+    assert (wide[:, 0] == simhash_neardup.fingerprints(own, 3)).all()
+    assert not wide[4:7].any() and len(np.unique(wide[:, 1:], axis=0)) == len(np.unique(wide, axis=0))
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_wide_links_join_what_all_pairs_join(spark, n):
+    r = random.Random(n)
+    base = [r.getrandbits(256) for _ in range(5)]
+    every = sorted({r.choice(base) ^ sum(1 << k for k in r.sample(range(256), r.choice((2, 9, 20)))) for _ in range(n)})
+    fp = np.frombuffer(b"".join(x.to_bytes(32, "little") for x in every), "<u8").reshape(-1, 4)
+    a, b = np.triu_indices(len(fp), 1)
+    ok = np.concatenate([simhash_neardup.linked(fp[a[k : k + 100_000]] ^ fp[b[k : k + 100_000]]) for k in range(0, len(a), 100_000)])
+    want = simhash_neardup.local_roots(len(fp), a[ok], b[ok])
+    for limit in (8, 10_000):
+        if n * limit < 1_000_000:
+            assert (simhash_neardup.local_roots(len(fp), *simhash_neardup.wide_links(fp, np.zeros(len(fp), np.int64), limit)) == want).all()
+    nodes = spark.createDataFrame([(bytearray(x.tobytes()),) for x in fp], "fp binary").repartition(3)
+    root = {bytes(x.u): bytes(x.v) for x in simhash_neardup.components(simhash_neardup.wide_stars(nodes, len(fp))).collect()}
+    assert len({root.get(x.tobytes(), x.tobytes()) for x in fp}) == len(set(want.tolist()))
+
+
+def test_near_copies_go_and_other_texts_stay(spark):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5000)]
+    rows, other = [], []
+    for k in range(60):
+        own = r.choices(words, k=150)
+        rows.append((k, " ".join(own)))
+        near = own[:]
+        near[r.randrange(150)] = "new"
+        rows.append((1000 + k, " ".join(near)))  # similarity 0.93 or more
+        other.append((2000 + k, " ".join(own[:50] + r.choices(words, k=100))))  # similarity 0.2
+    docs = spark.createDataFrame(rows + other, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash_neardup.keep_one(docs).collect()) == [*range(60), *range(2000, 2060)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 200), (300, 300)]
     out = {r.u: r.v for r in simhash_neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
