@@ -784,3 +784,73 @@ def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("turn") == 0, "deck.manifest.json").when(F.col("turn") == 3, "deck.pptx").otherwise("other")
     files = table(spark, sf_dir, "conversations").select("conv_id", name.alias("name"), F.col("role").alias("path"))
     return sinks.run_index(files, "conv_id").select("conv_id", "manifest", "final", "status")
+
+
+@query(f"WITH {E_SQL} SELECT slide, ord, {up('(p % 1280) / 1280::DOUBLE * 13.333::DOUBLE', 3)} AS x_in FROM e")
+def measured_inches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P06"""
+    return elements(spark, sf_dir).select("slide", "ord", C.to_inches(F.col("p") % 1280, F.lit(1280), F.lit(13.333)).alias("x_in"))
+
+
+@query("SELECT p_partkey, greatest(x, 0) AS x, greatest(y, 0) AS y, greatest(least(x + w, 80) - greatest(x, 0), 0) AS w, greatest(least(y + h, 40) - greatest(y, 0), 0) AS h FROM (SELECT p_partkey, p_partkey % 107 - 20 AS x, p_partkey % 61 - 10 AS y, p_partkey % 31 AS w, p_partkey % 17 AS h FROM part)")
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P07"""
+    k = F.col("p_partkey")
+    box = C.px_box_clamped(k % 107 - 20, k % 61 - 10, k % 31, k % 17, F.lit(80), F.lit(40))
+    return table(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", "b.*")
+
+
+@query(f"WITH {E_SQL} SELECT slide, ord, (p % 50 > 42 OR s % 20 > 17) AS overflows, w * (p % 13 - (x + w)) + h * (s % 7 - (y + h)) AS dot FROM e")
+def node_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12"""
+    x, y, w, h, p, s = (F.col(c) for c in "xywhps")
+    return elements(spark, sf_dir).select("slide", "ord", C.box_overflow(p % 50, s % 20, F.lit(40), F.lit(15)).alias("overflows"), C.direction_dot(x, y, x + w, y + h, p % 13, s % 7).alias("dot"))
+
+
+@query("""SELECT p_partkey, CASE WHEN v >= 4 THEN 'good' WHEN v >= 3 THEN 'warn' WHEN v IS NOT NULL THEN 'bad' END AS level, CASE WHEN p_partkey % 5 <= 1 THEN 'good' WHEN p_partkey % 5 <= 3 THEN 'warn' ELSE 'bad' END AS drift,
+CASE WHEN p_partkey % 100 >= 85 THEN 'good' WHEN p_partkey % 100 >= 70 THEN 'warn' ELSE 'bad' END AS palette, CASE WHEN p_partkey % 97 >= 75 THEN 'fail' WHEN p_partkey % 97 >= 40 THEN 'warn' ELSE 'good' END AS slop
+FROM (SELECT p_partkey, nullif(p_size % 6, 0) AS v FROM part)""")
+def reading_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P24"""
+    k, v = F.col("p_partkey"), F.nullif(F.col("p_size") % 6, F.lit(0))
+    return table(spark, sf_dir, "part").select("p_partkey", C.tone(v, k % 5, k % 100 / 100, k % 97).alias("t")).select("p_partkey", "t.*")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size IN (1, 2) OR p_partkey % 10 IN (1, 2) THEN 'dark' WHEN p_size IN (3, 9) OR p_partkey % 10 IN (3, 9) THEN 'warm' ELSE 'plain' END AS suggestion FROM part")
+def palette_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P26, U04"""
+    palette = F.array(colour(F.col("p_size")), colour(F.col("p_partkey") % 10))
+    return table(spark, sf_dir, "part").select("p_partkey", C.suggest(palette, [("dark", ["000001", "000002"]), ("warm", ["000003", "000009"])], "plain").alias("suggestion"))
+
+
+@query(f"WITH {E_SQL} SELECT CASE type WHEN 'text' THEN 'paragraph' WHEN 'shape' THEN 'box' ELSE 'bounds' END AS component, count(*) AS n FROM e GROUP BY 1")
+def component_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P29, P30"""
+    return elements(spark, sf_dir).groupBy(C.mapped(F.col("type"), {"text": "paragraph", "shape": "box"}, "bounds").alias("component")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 40 > 0 AND p_size / (p_partkey % 40)::DOUBLE >= 1.6::DOUBLE")
+def wide_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P32"""
+    return table(spark, sf_dir, "part").where(C.is_wide(F.col("p_size"), F.col("p_partkey") % 40)).select("p_partkey")
+
+
+@query(f"WITH {E_SQL}, {ROLE_SQL} SELECT slide, ord, rb AS role_bucket FROM er WHERE rb IN ('body', 'caption') AND s % 4 > CASE WHEN p % 5 = 0 THEN 2 ELSE 1 END")
+def tight_letter_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hundredths of an em, with text in two scripts."""
+    e = with_roles(spark, sf_dir).withColumns({"text": F.when(F.col("p") % 5 == 0, "标题").otherwise("title"), "letter_spacing": F.col("s") % 4 / -100})
+    return checks.letter_spacing(e).select("slide", "ord", "role_bucket")
+
+
+@query("SELECT c_custkey, ord, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS ord, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def last_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a component of its customer's slide."""
+    parts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("ord"), "o_totalprice")
+    return matching.first_match(table(spark, sf_dir, "customer").select("c_custkey"), parts, "c_custkey", last=True)
+
+
+@query("SELECT event_type, event_id, n FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5")
+def first_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the operator; Spark keeps five rows of a key in each task before the exchange."""
+    n = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_type", "event_id", n.alias("n")).where("n <= 5")
