@@ -10,10 +10,9 @@ components of the whole are found by alternating large-star and small-star steps
 
 Similarity 0.8 of word shingles is about 0.156 of the bits, too many for 64: `keep_one` uses 256 bits (`WORDS` of 64) and links at
 `REACH` bits, which a pair of similarity 0.8 stays within in about nine of ten cases. The index is again one of positional
-bytes: the sets of `width` byte positions inside each 64-bit word, so every pair that shares more than 4 * (width - 1) of its 32
-positional bytes meets; pairs with fewer meet as chance has it. `width` follows the number of fingerprints, so that a set of
-bytes has as many values as there are fingerprints, to a factor of 8. Pairs that meet and share `TALLY` bytes or more are
-verified by their differing bits.
+bytes: the sets of `WIDTH` = 2 byte positions inside each 64-bit word, so every pair that shares more than 4 of its 32 positional
+bytes meets; pairs with fewer meet as chance has it. That share is the same for any number of fingerprints; more of them make
+longer runs. Pairs that meet and share `TALLY` bytes or more are verified by their differing bits.
 
 Defined results: a null, empty or blank text has fingerprint 0, which is linked like any other; repeated rows each get the same
 result; null ids don't count for the component's smallest id (a component of null ids only has id null); an empty table gives an
@@ -33,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import C1, blocks, ensure_checkpoints, id_text, mix, partitions
 
 SEED = 42
-WORDS, REACH, TALLY = 4, 46, 3  # 64-bit words of a wide fingerprint; most differing and least shared bytes of a link
+WORDS, REACH, TALLY = 4, 46, 3  # 64-bit words of a wide fingerprint; most differing bits and least shared bytes of a link
+WIDTH = 2  # byte positions of a set of the wide index, whatever the number of fingerprints
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -258,14 +258,6 @@ def wide_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp binary")
 
 
-def index_width(n: int) -> int:
-    """Byte positions of a set of the index over n fingerprints."""
-    width = 2
-    while n > 8 * 256**width and width < 6:
-        width += 1
-    return width
-
-
 def linked(x: np.ndarray) -> np.ndarray:
     """Of differences [..., word]: whether shared bytes and differing bits make a link."""
     ok = (x.view(np.uint8) == 0).sum(axis=-1) >= TALLY
@@ -320,8 +312,8 @@ ENTRY = np.dtype([("kind", "u1"), ("fp", "<u8", (WORDS,))])
 
 
 def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
-    """(u, v): a star for each component that one task of the index sees. nodes: n distinct fp."""
-    masks = np.array([sum(0xFF << 8 * p for p in c) for c in combinations(range(8), index_width(n))], np.uint64)
+    """(u, v): a star for each component that one task of the index sees. nodes: n distinct fp; n sizes the tasks only."""
+    masks = np.array([sum(0xFF << 8 * p for p in c) for c in combinations(range(8), WIDTH)], np.uint64)
     kinds = WORDS * len(masks)
     groups = max(4 * partitions(nodes.sparkSession), -(-n * kinds * ENTRY.itemsize >> 24))
 

@@ -335,6 +335,15 @@ def test_wide_links_join_what_all_pairs_join(spark, n):
     assert len({root.get(x.tobytes(), x.tobytes()) for x in fp}) == len(set(want.tolist()))
 
 
+def test_wide_index_finds_the_same_pairs_at_any_size(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(256) for _ in range(150)]
+    every = base + [b ^ sum(1 << k for k in r.sample(range(256), 40)) for b in base]  # as at similarity 0.8
+    nodes = spark.createDataFrame([(bytearray(x.to_bytes(32, "little")),) for x in every], "fp binary").cache()
+    few, many = ({(bytes(x.u), bytes(x.v)) for x in simhash_neardup.components(simhash_neardup.wide_stars(nodes, n)).collect()} for n in (300, 1 << 20))
+    assert few == many and len(few) > 140
+
+
 def test_near_copies_go_and_other_texts_stay(spark):
     r = random.Random(3)
     words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5000)]
