@@ -8,8 +8,12 @@ with more than `pair_limit` fingerprints under one entry are not paired: each on
 run's sorted fingerprints, which is linear in the run. Tasks return a star for each local component instead of pairs; the
 components of the whole are found by alternating large-star and small-star steps over tables.
 
-Similarity 0.8 of word shingles is about 0.156 of the bits, too many for 64: `keep_one` uses 256 bits (`WORDS` of 64) and links at
-`REACH` bits, which a pair of similarity 0.8 stays within in about nine of ten cases. The index is again one of positional
+`keep_one` decides by exact similarity: texts are near copies if their sets of five-word shingles have similarity 0.8 or more
+(`SIMILAR`). Pairs are proposed by bands of min-wise hashes of the sets, at a chance that depends on their similarity only (0.9994
+at 0.8, more above); the groups of what meets are then compared by their sets, and components are formed of the links that hold.
+
+Similarity 0.8 of word shingles is about 0.156 of the bits, too many for 64: `wide_grouped` uses 256 bits (`WORDS` of 64) and links
+at `REACH` bits without a look at the texts, which a pair of similarity 0.8 stays within in about nine of ten cases. The index is again one of positional
 bytes: the sets of `WIDTH` = 2 byte positions inside each 64-bit word, so every pair that shares more than 4 of its 32 positional
 bytes meets; pairs with fewer meet as chance has it. That share is the same for any number of fingerprints; more of them make
 longer runs. Pairs that meet and share `TALLY` bytes or more are verified by their differing bits.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, blocks, ensure_checkpoints, id_text, mix, partitions
+from .common import C1, C3, S32, blocks, ensure_checkpoints, id_text, mix, pair_hash, partitions
 
 SEED = 42
 WORDS, REACH, TALLY = 4, 46, 3  # 64-bit words of a wide fingerprint; most differing bits and least shared bytes of a link
@@ -345,6 +349,187 @@ def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u binary, v binary")
 
 
+SIMILAR = (4, 5)  # least similarity of a near copy
+BANDS, ROWS = 40, 8  # of min-wise hashes: a pair of similarity s meets with chance 1 - (1 - s^8)^40, 0.9994 at 0.8
+BLOCK = 256  # texts that are held against each other in one step
+ODD = mix(C1 * np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).view(np.uint32)[::2] | np.uint32(1)
+PLUS = mix(C3 * np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).view(np.uint32)[::2].copy()
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    import xxhash
+
+    digest, w = xxhash.xxh64_intdigest, text.lower().split()
+    pieces = set(map(b" ".join, zip(*(w[n:] for n in range(shingle)), strict=False))) if len(w) >= shingle else {b" ".join(w)} if w else set()
+    return np.unique(np.fromiter((digest(p, SEED) for p in pieces), np.uint64, len(pieces)))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of a set's min-wise hashes. No length, no number of texts and no common shingle matters."""
+    h, low = (own >> S32).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(h), 512):
+        x = ODD[:, None] * h[None, k : k + 512] + PLUS[:, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        low = np.minimum(low, x.min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = pair_hash(key, column.astype(np.uint64))
+    return key
+
+
+def set_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, tag, node, keys) from (doc_id, text): the hash of the text, the hash of its shingle set, and the set's bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for ids, texts in blocks(batches):
+            sets = [shingle_set(t, shingle) for t in texts]
+            tag = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "tag": tag.view(np.int64), "node": node.view(np.int64), "keys": pa.array([band_keys(s).tobytes() for s in sets], pa.binary())})
+
+    return docs.mapInArrow(run, "doc_id long, tag long, node long, keys binary")
+
+
+PAIR = np.dtype([("key", "<u8"), ("node", "<i8")])
+
+
+def band_stars(nodes: DataFrame, n: int) -> DataFrame:
+    """(u, v): a star for each component of what meets in a band, as one task sees it. nodes: n rows of (node, keys)."""
+    groups = max(4 * partitions(nodes.sparkSession), -(-n * BANDS * PAIR.itemsize >> 24))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                e = np.empty(part.num_rows * BANDS, PAIR)
+                e["key"] = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8")
+                e["node"] = np.repeat(part.column(0).to_numpy(), BANDS)
+                g = (e["key"] % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(g, kind="stable")
+                e, cut = e[order], np.flatnonzero(np.diff(g[order], prepend=-1, append=groups))
+                yield pa.RecordBatch.from_pydict({"g": pa.array(g[order][cut[:-1]]), "blob": pa.array([e[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
+
+    def link(group: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(b, PAIR) for b in group.column("blob").to_pylist()])
+        e = e[np.argsort(e["key"], kind="stable")]
+        at = np.flatnonzero(e["key"][1:] == e["key"][:-1])  # neighbours in a band
+        return _stars(e["node"][at], e["node"][at + 1])
+
+    return nodes.select("node", "keys").mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u long, v long")
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    distinct, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = local_roots(len(distinct), place[: len(a)], place[len(a) :])
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return pa.Table.from_pydict({"u": distinct[own], "v": distinct[root[own]]})
+
+
+def similar_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of exact similarity SIMILAR or more that join the components of sets. Each is held only against those not yet reached."""
+    n, (num, den) = len(sets), SIMILAR
+    size = np.array([len(s) for s in sets], np.int64)
+    every, owner, left = np.concatenate(sets), np.repeat(np.arange(n), size), size > 0
+    a, b = [], []
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed], queue = False, [seed]
+        while queue and left.any():
+            one = queue.pop()
+            own = sets[one]
+            common = np.bincount(owner[own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every], minlength=n)
+            hit = np.flatnonzero(left & ((num + den) * common >= num * (size[one] + size)))
+            if len(hit):
+                a.append(np.full(len(hit), one))
+                b.append(hit)
+                left[hit] = False
+                queue += hit.tolist()
+                stay = left[owner]
+                every, owner = every[stay], owner[stay]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a or [none]), np.concatenate(b or [none])
+
+
+def similar_stars(held: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """(u, v): stars of links among the sets that share `key`. held: about n rows with node and own (the set's bytes)."""
+    groups = max(4 * partitions(held.sparkSession), -(-n // (2 * BLOCK)))
+
+    def link(group: pa.Table) -> pa.Table:
+        k, node, own = group.column("k").to_numpy(), group.column("node").to_numpy(), group.column("own")
+        order = np.lexsort((node, k))
+        a, b = [], []
+        for part in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+            part = part[np.concatenate(([True], node[part][1:] != node[part][:-1]))]
+            if len(part) > 1:
+                i, j = similar_links([np.frombuffer(x, "<u8") for x in own.take(pa.array(part)).to_pylist()])
+                a.append(node[part[i]])
+                b.append(node[part[j]])
+        return _stars(np.concatenate(a), np.concatenate(b)) if a else pa.Table.from_pydict({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+    k = F.xxhash64(*key)
+    return held.select(F.pmod(k, F.lit(groups)).alias("g"), k.alias("k"), "node", "own").groupBy("g").applyInArrow(link, "u long, v long")
+
+
+def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
+    """(u, v): v is the smallest node of the component of links of similarity SIMILAR or more, for each u that isn't.
+
+    What meets in a band is proposed as one group; within a group all texts are compared by their shingle sets. Groups over BLOCK
+    texts are dealt in blocks, each with the group's smallest node; only what is not joined to that one by then is held against
+    the other blocks. nodes: (node, doc_id, tag, keys), the text of a node being that of the row (doc_id, tag).
+    """
+    met = components(band_stars(nodes, nodes.count()))
+    member = met.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(met.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    big = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks")).where("n_blocks > 1")
+    member = member.join(F.broadcast(big), "root", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks")).join(nodes.select("node", "doc_id", "tag"), "node")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t or b"", shingle).tobytes() for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=["node", "root", "block", "n_blocks", "own"])
+
+    t, m = tagged(docs).select("doc_id", "tag", "text"), member.select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"), "node", "root", "block", "n_blocks")
+    held = t.join(m, t["tag"].eqNullSafe(m["m_tag"]) & t["doc_id"].eqNullSafe(m["m_id"])).select("node", "root", "block", "n_blocks", "text")
+    held = held.mapInArrow(own, "node long, root long, block long, n_blocks long, own binary").checkpoint()
+    n, n_big = held.agg(F.count("*"), F.count(F.when(F.col("n_blocks") > 1, 1))).first()
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    first = held.where("n_blocks > 1 and node = root").withColumn("block", every("n_blocks"))
+    links = similar_stars(held.unionByName(first), n, ["root", "block"]).checkpoint()
+    stars = components(links)
+    if not n_big:
+        return stars
+    wide = held.where("n_blocks > 1").join(stars.select(F.col("u").alias("node"), "v"), "node", "left")
+    loose = wide.where("coalesce(v, node) <> root").drop("v", "block").checkpoint()
+    turns = loose.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n_turns"))
+    n_loose = loose.count()
+    if not n_loose:
+        return stars
+    turns = F.broadcast(turns)
+    loose = loose.join(turns, "root").select("node", "root", "own", F.pmod(F.xxhash64("node"), "n_turns").alias("turn"), every("n_blocks").alias("block"))
+    rest = held.join(turns, "root").select("node", "root", "own", "block", every("n_turns").alias("turn"))
+    return components(links.unionByName(similar_stars(loose.unionByName(rest), n_big + n_loose, ["root", "turn", "block"])))
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text's hash, as set_rows has it."""
+    return id_text(docs).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def least_of_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, tag) of the row with the smallest doc_id in each component of near copies; null ids come last."""
+    ensure_checkpoints(docs.sparkSession)
+    rows = set_rows(id_text(docs), shingle)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    nodes = rows.groupBy("node").agg(F.min(row).alias("row"), F.first("keys").alias("keys")).select("node", "row", "row.doc_id", "row.tag", "keys").checkpoint()
+    stars = similar_components(docs, nodes, shingle).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.select("node", "row").join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.doc_id", "row.tag")
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return grouped(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -352,7 +537,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all columns. Rows without an id can't be named as a copy and
     stay; of rows that share the kept id one stays."""
-    keep = wide_grouped(docs, shingle=shingle).where("doc_id = component_id").select("doc_id").distinct()
+    keep = least_of_similar(docs, shingle).select("doc_id").distinct()
     names = docs.columns
     known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.select(*names).unionByName(docs.where("doc_id is null").select(*names))

@@ -359,6 +359,58 @@ def test_near_copies_go_and_other_texts_stay(spark):
     assert sorted(x.doc_id for x in simhash_neardup.keep_one(docs).collect()) == [*range(60), *range(2000, 2060)]
 
 
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_of(rows):
+    """Ids that stay of (id, text): the least of each component of links of similarity 0.8 or more, by all pairs."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                root[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(i, least.get(top(k), i))
+    return sorted(least.values())
+
+
+def pairs_of_all_similarities(seed, n):
+    """Texts and copies with words replaced: similarities 0.4 to 1, lengths 8 to 300."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5000)]
+    rows = []
+    for k in range(n):
+        own = r.choices(words, k=r.choice((8, 14, 30, 120, 300)))
+        near = own[:]
+        for at in r.sample(range(len(own)), max(1, round(len(own) * r.choice((0, 0.01, 0.02, 0.03, 0.05))))):
+            near[at] = "new"
+        rows += [(k, " ".join(own)), (1000 + k, " ".join(near))]
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_copies_are_decided_by_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_neardup, "BLOCK", block)
+    rows = pairs_of_all_similarities(6, 200)
+    r, own = random.Random(4), [f"w{k}" for k in range(100)]
+    for k in range(90):  # a chain: each differs from the one before in a word, and few are like the first
+        own = own[:]
+        own[r.randrange(100)] = f"n{k}"
+        rows.append((3000 + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash_neardup.keep_one(docs).collect()) == kept_of(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 200), (300, 300)]
     out = {r.u: r.v for r in simhash_neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
