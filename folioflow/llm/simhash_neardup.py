@@ -536,8 +536,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all columns. Rows without an id can't be named as a copy and
-    stay; of rows that share the kept id one stays."""
-    keep = least_of_similar(docs, shingle).select("doc_id").distinct()
+    stay; of repeated rows (id and text) one stays, and of an id's different texts each is judged by itself."""
+    keep = least_of_similar(docs, shingle).select("doc_id", F.col("tag").alias("_tag"))
     names = docs.columns
-    known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = docs.where("doc_id is not null").withColumn("_tag", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    known = own.join(keep, ["doc_id", "_tag"], "left_semi").dropDuplicates(["doc_id", "_tag"])
     return known.select(*names).unionByName(docs.where("doc_id is null").select(*names))

@@ -411,6 +411,14 @@ def test_near_copies_are_decided_by_exact_similarity(spark, monkeypatch, block):
     assert sorted(x.doc_id for x in simhash_neardup.keep_one(docs).collect()) == kept_of(rows)
 
 
+def test_different_texts_of_one_id_both_stay(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (2, two + " end"), (3, one), (3, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.lit(7))
+    out = simhash_neardup.keep_one(docs)
+    assert sorted((x.doc_id, x.text) for x in out.collect()) == [(1, one), (1, two)] and out.columns == docs.columns
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 200), (300, 300)]
     out = {r.u: r.v for r in simhash_neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
