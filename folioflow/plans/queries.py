@@ -162,7 +162,7 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).withColumnRenamed("label", "nearest")
     dist = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    best = e.crossJoin(F.broadcast(centres.limit(10_000))).groupBy("vec_id").agg(F.min(F.struct(dist.alias("dist"), "nearest")).alias("m"))
+    best = e.crossJoin(matching.small(centres)).groupBy("vec_id").agg(F.min(F.struct(dist.alias("dist"), "nearest")).alias("m"))
     return best.select("vec_id", "m.nearest", C.half_up(F.col("m.dist"), 4).alias("dist"))
 
 

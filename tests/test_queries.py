@@ -47,6 +47,13 @@ def test_html_nodes_have_paths(spark):
     assert out.where("parent >= 0 and not contains(path, '/')").count() == 0 < out.count()
 
 
+def test_every_centroid_counts(spark, tmp_path):
+    many = spark.range(10_100).selectExpr("id AS vec_id", "cast(id AS int) AS label", "array(cast(id AS float)) AS embedding")
+    many.write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = plans.QUERIES["nearest_centroid"](spark, str(tmp_path)).where("vec_id % 10 = 0")
+    assert out.where("nearest = vec_id and dist = 0").count() == 1010
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
