@@ -4,7 +4,7 @@ A byte is removed if it is covered by a `WINDOW`-byte string that also starts in
 begin at anchors (see repeat_groups) are sorted: every window contains its anchor, and equal windows have it at the same place.
 Anchors that may occur elsewhere are sent, with the bytes around them that their windows use, to buckets that sampled splitters
 cut by the suffixes' leading bytes. Records that are equal are sent once by each group, for the smallest id, with the places of
-all. A bucket sorts the suffixes by multikey quicksort (8 bytes at a time, going on within ties) and takes the common prefixes of
+all. A bucket sorts the suffixes by 8-byte words (a stable sort by the first, then only ties by the next) and takes the common prefixes of
 neighbours; the same is done for the bytes before the anchors, read backwards. Two windows that hold d bytes before the anchor
 are equal if the common prefix of the suffixes is WINDOW - d or more and that of the bytes before is d or more, so they are
 compared across the boundary of classes that those lengths cut, exactly.
