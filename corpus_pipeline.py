@@ -1,6 +1,6 @@
 """A training-data pipeline over `documents`: classify, drop near copies, decontaminate, redact secrets, tokenize.
 
-Each stage reads what the one before wrote. No stage can be said in SQL as a whole (the classifier is fitted, SimHash needs
+Each stage reads what the one before wrote. No stage can be said in SQL as a whole (the classifier is fitted, near copies need
 XXH64, the tokenizer merges by rank), so ORACLE_SQL is None and tests/llm holds the stages against plain versions.
 """
 
@@ -21,7 +21,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (fingerprints of five-word shingles)."""
+    """One document of each group of near copies (sets of five-word shingles of similarity 0.8 or more)."""
     return simhash_neardup.keep_one(docs)
 
 
