@@ -23,14 +23,21 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; only where none is configured (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that driver and executors share. Only a local master, whose workers are on this machine, may do without a
+    configured one; elsewhere that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        base = kept or os.path.join(tempfile.gettempdir(), "folioflow-shared")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "folioflow-shared")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """DataFrame.checkpoint() needs a folder; the session's own setting wins."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -38,12 +45,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 
 
 def partitions(spark: SparkSession, df: DataFrame | None = None, target: int = 8 << 20, least: int | None = None) -> int:
-    """`least` (the session's number of shuffle partitions), or more where the plan's size estimate asks for it."""
+    """`least` (the session's number of shuffle partitions), or more where the plan's size estimate asks for it. Hand over the table
+    itself: after a projection the estimate counts widths of types instead of bytes."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) if least is None else least
     if df is not None:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         if size < 1 << 55:  # a plan without statistics reports a huge default, or a share of it
-            n = max(n, min(100_000, -(-size // target)))
+            n = max(n, -(-size // target))
     return n
 
 

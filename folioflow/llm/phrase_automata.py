@@ -1,15 +1,19 @@
 """Repeated phrases located by sharded Aho-Corasick automata.
 
 A word is removed if it is covered by a window of `WINDOW` words whose sequence also starts anywhere else. Recurring passages are
-confirmed first: windows whose anchor (see repeat_groups, K words) occurs twice send a 64-bit hash to the hash's bucket, which
-answers whether another window has it. Each shard (a group of documents) then compiles the anchor phrases of its confirmed
-windows into automata, with a character for each word, and streams all its documents through them; at every occurrence of a
-phrase the windows around it are looked up among the confirmed ones. An automaton holds `PHRASES` phrases at most; a shard with
-more makes several, so memory is bounded, and phrases go only to shards whose documents contain them.
+confirmed first: a shard (a group of documents) sends one hash for each distinct window whose anchor (see repeat_groups, K words)
+occurs twice to the hash's bucket, which answers whether the window occurs again. Of each confirmed window the shard keeps its
+hash and its anchor phrase, not where it stands. It then compiles the phrases into an automaton and streams all its documents
+through it, every word of each; what is removed follows from the automaton's hits alone: around each, the windows that hold the
+phrase are looked up among the confirmed ones. Phrases go only to shards whose documents contain them.
+
+pyahocorasick searches a node's edges one by one, so a word is spelled in `BASE` signs, of a width that the number of words in
+phrases asks for; words of no phrase are spelled in a sign of their own. An automaton holds `PHRASES` phrases at most; a shard
+with more makes several and streams its documents through each, so memory is bounded.
 
 Windows are compared by 64-bit hashes of their words' hashes. Defined results: a null or empty text has no words; texts under
-WINDOW words lose nothing; repeated rows count as occurrences elsewhere; null ids are kept apart like others; an empty table
-gives an empty table; extra columns are ignored.
+WINDOW words lose nothing; repeated rows count as occurrences elsewhere; null ids are kept apart like others; a very long text is
+a group of its own size; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, pair_hash
+from .common import WordHashes, pair_hash
 from .repeat_groups import BLOB, Anchors, anchors, answers, bucketed, dealt, distinct, ends_by_bucket, load, mix, replies_of, sends, settle
 
 WINDOW, K = 35, 8
-PHRASES = 100_000
+PHRASES, BASE = 100_000, 32
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -61,65 +65,45 @@ class Words:
         start = np.repeat(a.first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return start, np.repeat(a.at[some], n)
 
-    def windows(self, flags: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes ordered by bucket, marks of repeated ones, ends of the buckets, and starts' anchors and places)"""
+    def windows(self, flags: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct hashes ordered by bucket, marks of repeated ones, ends of the buckets, an anchor's place for each)"""
         start, at = self.candidates(flags)
-        own, many, place = distinct(self.window[start], None)
+        own, first, times = np.unique(self.window[start], return_index=True, return_counts=True)
         bucket = (mix(own) >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(1, buckets + 1), "left")
-        return own[order], many[order], ends, at, np.argsort(order)[place]
+        return own[order], times[order] > 1, ends, at[first[order]]
 
 
 def automata(phrases: np.ndarray):
-    """(automaton, sorted hashes of the words it knows, for each of these a bit for each place in a phrase where it stands) for
-    each PHRASES phrases; phrases: [n, K] word hashes."""
+    """(automaton, sorted hashes of the words it knows, their spelling and that of all other words) for each PHRASES phrases;
+    phrases: [n, K] word hashes, distinct."""
     import ahocorasick
 
     for at in range(0, len(phrases), PHRASES):
-        some = phrases[at : at + PHRASES]
-        known, code = np.unique(some, return_inverse=True)
-        code = code.reshape(some.shape)
-        stands = np.zeros(len(known), np.uint16)
-        for k in range(K):
-            stands[code[:, k]] |= np.uint16(1 << k)
+        known, code = np.unique(phrases[at : at + PHRASES], return_inverse=True)
+        width = 1
+        while BASE**width < len(known):
+            width += 1
+        signs = (ord("A") + np.arange(len(known) + 1)[:, None] // BASE ** np.arange(width) % BASE).astype(np.uint8)
+        signs[-1] = ord("0")
         machine = ahocorasick.Automaton()
-        for text in spelled(code + 1):
-            machine.add_word(text, len(text))
+        for row in signs[code.reshape(-1, K)].reshape(-1, K * width):
+            machine.add_word(row.tobytes().decode(), True)
         machine.make_automaton()
-        yield machine, known, stands
-
-
-def spelled(codes: np.ndarray) -> list[str]:
-    """A string for each row, with a character for each code (surrogates are skipped)."""
-    points = codes + 0x800 * (codes >= 0xD800)
-    return [row.tobytes().decode("utf-32-le") for row in points.astype("<u4")]
+        yield machine, known, signs
 
 
 def occurrences(words: Words, phrases: np.ndarray) -> np.ndarray:
-    """Places where one of the phrases begins in any of the documents. A node's edges are searched one by one and the root has
-    many, so of each document the stretches are streamed in which K words in a row each stand at their place in some phrase; no
-    phrase is elsewhere."""
+    """Places where one of the phrases begins: every document is streamed, whole, through each automaton."""
     found: list[int] = []
-    n = len(words.hash)
-    room = np.repeat(words.start + words.size, words.size) - np.arange(n)  # words to the end of the document
-    for machine, known, stands in automata(phrases):
+    for machine, known, signs in automata(phrases):
         at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
-        codes = np.where(known[at] == words.hash, at + 1, 0)
-        bits = np.append(np.where(codes > 0, stands[at], 0), np.zeros(K, np.uint16))
-        may = room >= K
-        for k in range(K):
-            may &= bits[k : n + k] >> k & 1 > 0
-        begins = np.flatnonzero(may)
-        if not len(begins):
-            continue
-        # beginnings less than K words apart, in one document, are one stretch
-        new = np.concatenate(([True], (np.diff(begins) >= K) | (np.diff(begins) >= room[begins[:-1]])))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(begins)) - 1
-        for s, end in zip(begins[first].tolist(), (begins[last] + K).tolist(), strict=True):
-            text = spelled(codes[None, s:end])[0]
-            found += [s + stop - K + 1 for stop, _ in machine.iter(text)]
+        spelled, width = signs[np.where(known[at] == words.hash, at, len(known))], signs.shape[1]
+        for begin, n in zip(words.start.tolist(), words.size.tolist(), strict=True):
+            for stop, _ in machine.iter(spelled[begin : begin + n].tobytes().decode()):
+                if not (stop + 1) % width:  # else the signs of two words only look like another's
+                    found.append(begin + (stop + 1) // width - K)
     return np.unique(np.array(found, np.int64))
 
 
@@ -147,7 +131,7 @@ def covered(words: Words, places: np.ndarray, confirmed: np.ndarray) -> np.ndarr
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    spread, plan = dealt(id_text(docs, id_col, text_col))
+    spread, plan = dealt(docs, id_col, text_col)
     blob = pa.schema([("bucket", pa.int32()), ("p", pa.int32()), ("blob", pa.binary())])
 
     def offer(group: pa.Table) -> pa.Table:
@@ -162,7 +146,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if not group.num_rows:
             return blob.empty_table()
         words = Words(load(group)[1])
-        own, many, ends, _, _ = words.windows(flags_of(words, reply), plan.buckets)
+        own, many, ends, _ = words.windows(flags_of(words, reply), plan.buckets)
         return pa.Table.from_pydict(sends(own, many, group.column("p")[0].as_py(), plan.buckets, ends, "<u8"))
 
     def cut(group: pa.Table, reply: pa.Table) -> pa.Table:
@@ -173,9 +157,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         gone = np.zeros(len(words.hash), bool)
         flags = flags_of(words, one)
         if flags.any():
-            own, _, ends, at, place = words.windows(flags, plan.buckets)
+            own, _, ends, at = words.windows(flags, plan.buckets)
             again = answers(replies_of(two), ends)
-            anchors_at = np.unique(at[again[place]])
+            anchors_at = np.unique(at[again])
             _, first = np.unique(words.phrase[anchors_at], return_index=True)
             phrases = words.hash[anchors_at[first][:, None] + np.arange(K)]
             if len(phrases):

@@ -1,6 +1,6 @@
 """Shared parts of the two exact repeat finders.
 
-Documents are dealt into groups of a few MB by a hash of their id. A window of `size` units (bytes or words) is named by one of
+Documents are dealt into groups of a few MB by a hash of id and text. A window of `size` units (bytes or words) is named by one of
 its k-unit strings, the one with the least hash (the leftmost of equals): its anchor. Equal windows have equal anchors at equal
 places, so repeats are looked for among anchors only, a small share of all places. In a first exchange groups send a 32-bit
 fingerprint of each distinct anchor to the bucket of its hash, and get back a bit for each: whether it may occur elsewhere.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, window_min
+from .common import id_text, mix, partitions, window_min
 
 LOW31, LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 32) - 1)
 S31 = np.uint64(31)
@@ -30,16 +30,18 @@ class Plan:
     buckets: int
 
 
-def dealt(rows: DataFrame) -> tuple[DataFrame, Plan]:
+def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Plan]:
     """(p, doc_id, text) in groups p. All later passes read this one exchange.
 
     Groups and buckets follow the size of the input (about 12 MB a bucket), not the number of shuffle partitions: a group sends
-    one row to each bucket it has anchors for, at most as many as it has anchors.
+    one row to each bucket it has anchors for, at most as many as it has anchors. Texts count in the hash, so that rows without
+    an id, or different texts under one id, are spread.
     """
-    shuffle = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(rows.sparkSession.sparkContext.defaultParallelism, partitions(rows.sparkSession, rows, 12 << 20, least=1))
+    rows, spark = id_text(docs, id_col, text_col), docs.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(spark.sparkContext.defaultParallelism, partitions(spark, docs, 12 << 20, least=1))
     plan = Plan(max(n, shuffle), 4 * n, n)
-    cut = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.groups)).cast("int").alias("p"), "doc_id", "text")
+    cut = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.groups)).cast("int").alias("p"), "doc_id", "text")
     return cut.repartition(plan.parts, "p"), plan
 
 
@@ -148,7 +150,3 @@ def answers(replies: dict[int, bytes], cut_at: np.ndarray) -> np.ndarray:
 
 def replies_of(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
-
-
-def empty(schema: pa.Schema) -> pa.Table:
-    return schema.empty_table()

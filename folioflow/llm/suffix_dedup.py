@@ -2,17 +2,21 @@
 
 A byte is removed if it is covered by a `WINDOW`-byte string that also starts in a document with a smaller id. Only suffixes that
 begin at anchors (see repeat_groups) are sorted: every window contains its anchor, and equal windows have it at the same place.
-Anchors that may occur elsewhere are sent, with the bytes around them that their windows use, to buckets that sampled splitters
-cut by the suffixes' leading bytes. Records that are equal are sent once by each group, for the smallest id, with the places of
-all. A bucket sorts the suffixes by 8-byte words (a stable sort by the first, then only ties by the next) and takes the common prefixes of
-neighbours; the same is done for the bytes before the anchors, read backwards. Two windows that hold d bytes before the anchor
-are equal if the common prefix of the suffixes is WINDOW - d or more and that of the bytes before is d or more, so they are
-compared across the boundary of classes that those lengths cut, exactly.
-
-Splitters come from a sample of `SAMPLE` documents; they balance the buckets and don't change results. Equal leading bytes share
-a bucket. Defined results: a null or empty text has no bytes; texts under WINDOW bytes lose nothing; repeated rows (equal ids)
-don't count against each other; null ids come after all others and don't count against each other; an empty table gives an empty
-table; extra columns are ignored.
+Anchors that may occur elsewhere are sent as records: the suffix's WINDOW leading bytes, and the LEFT bytes before the anchor read
+backwards, as far as its windows use them. Records that are equal, byte for byte, are sent once by each group, for the smallest
+id, with the places of all.
+
+Sampled splitters cut the sorted records (suffix, then bytes before) into buckets, so a common passage with many contexts is cut
+where the contexts differ. A bucket sorts its suffixes by multikey quicksort over 8-byte words and takes the common prefixes of
+neighbours; the same is done for the bytes before the anchors. Two windows that hold d bytes before the anchor are equal if the
+suffixes share WINDOW - d bytes and the bytes before share d, so a class of equal windows is a run of suffixes cut by the bytes
+before. A class whose suffix prefix is also that of a splitter next to its bucket may go on in another bucket: such classes are
+compared across the boundary, each bucket sending the window and its smallest id once, and the smallest of all comes back.
+
+Splitters come from a sample of `SAMPLE` documents, or of one document for each bucket if these are more; they balance the buckets
+and don't change results. Defined results: a null or empty text has no bytes; texts under WINDOW bytes lose nothing; repeated rows
+(equal ids) don't count against each other; null ids come after all others and don't count against each other; a very long text is
+cut in pieces only for its anchors; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,26 +87,45 @@ def contexts(raw: np.ndarray, found: Anchors, some: np.ndarray) -> np.ndarray:
     return out
 
 
-def record_hash(records: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(records), np.uint64)
-    for word in np.ascontiguousarray(records).view("<u8").T:
+def distinct_records(records: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct record, in the order `by` if given; each row's place among the distinct)"""
+    order = np.arange(len(records)) if by is None else np.argsort(by, kind="stable")
+    own = np.ascontiguousarray(records[order])
+    h = np.zeros(len(own), np.uint64)
+    for word in own.view("<u8").T:
         h = mix(h * C1 + word)
-    return h
+    _, first, same = np.unique(h, return_index=True, return_inverse=True)
+    if (own[first[same]] != own).any():  # unlike records with one hash
+        _, first, same = np.unique(own, axis=0, return_index=True, return_inverse=True)
+    out = np.empty(len(own), np.int64)
+    out[order] = same.ravel()
+    return order[first], out
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of the rows of words (uint64, most significant first): sorts by a word, then only ties by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
-    group = np.cumsum(np.concatenate(([0], words[order[1:], 0] != words[order[:-1], 0])))
-    for col in range(1, words.shape[1]):
-        tied = np.flatnonzero((np.concatenate(([-1], group[:-1])) == group) | (np.concatenate((group[1:], [-1])) == group))
-        if not len(tied):
-            break
-        own = order[tied]
-        again = np.lexsort((words[own, col], group[tied]))
-        order[tied] = own[again]
-        step = np.concatenate(([0], (group[1:] != group[:-1]) | (words[order[1:], col] != words[order[:-1], col])))
-        group = np.cumsum(step)
+    """Order of the rows of words (uint64, most significant first) by multikey quicksort: a segment is cut three ways by a pivot
+    (median of three) in one word; what equals it goes on with the next word. All segments take a step at once."""
+    n, width = words.shape
+    order = np.arange(n)
+    low, high, col = np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64)
+    while len(low := low[open_ := (high - low > 1) & (col < width)]):
+        high, col = high[open_], col[open_]
+        size = high - low
+        of = np.repeat(np.arange(len(low)), size)
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = order[at]
+        key = words[own, col[of]]
+        begin = np.cumsum(size) - size
+        a, b, c = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[of]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        count = np.bincount(3 * of + side, minlength=3 * len(low)).reshape(-1, 3)
+        edge = low[:, None] + np.cumsum(count, axis=1)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            done = np.cumsum(count[:, k]) - count[:, k]
+            order[(edge[:, k] - count[:, k] - done)[of[mine]] + np.arange(len(mine))] = own[mine]
+        low, high, col = np.concatenate((low, edge[:, 0], edge[:, 1])), np.concatenate((edge[:, 0], edge[:, 1], high)), np.concatenate((col, col + 1, col))
     return order
 
 
@@ -121,38 +144,69 @@ def neighbour_prefix(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def removable(records: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """[n, LEFT + 1]: whether the window with d bytes before the anchor occurs in a smaller document. Records are distinct."""
-    n = len(records)
-    out = np.zeros((n, LEFT + 1), bool)
-    if n < 2:
+class Classes:
+    """The windows of distinct records: for each number d of bytes before the anchor, which are equal. `low` and `high` are the
+    splitters around the bucket (None at either end)."""
+
+    def __init__(self, records: np.ndarray, doc: np.ndarray, low: bytes | None, high: bytes | None):
+        self.records, self.doc = records, doc
+        self.right, self.left = records[:, LEFT : LEFT + RIGHT], np.ascontiguousarray(records[:, LEFT - 1 :: -1])
+        self.order = multikey_order(as_words(self.right))
+        self.prefix = neighbour_prefix(self.right[self.order])
+        anchor = np.empty(len(records), np.int64)
+        anchor[self.order] = np.cumsum(self.prefix < K)
+        self.back = multikey_order(np.column_stack((anchor.astype(np.uint64), as_words(self.left))))
+        self.before = neighbour_prefix(self.left[self.back])
+        self.before[1:][anchor[self.back][1:] != anchor[self.back][:-1]] = -1
+        self.before[:1] = -1
+        self.alone = np.bincount(anchor, minlength=1)[anchor] < 2
+        self.least, self.most = records[:, LEFT + RIGHT].astype(np.int64), records[:, LEFT + RIGHT + 1].astype(np.int64)
+        shared = np.zeros(len(records), np.int64)
+        for edge in (low, high):
+            if edge is not None:
+                differ = self.right != np.frombuffer(edge[:RIGHT].ljust(RIGHT, b"\0"), np.uint8)
+                shared = np.maximum(shared, np.where(differ.any(axis=1), differ.argmax(axis=1), RIGHT))
+        self.shared = shared  # leading bytes that a record has in common with a splitter
+
+    def each(self, local: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(d, records, begins of their classes, smallest id of each class); records in order of class. Local classes of one
+        record are left out if `local`, else all classes but those that may go on elsewhere are."""
+        after, before = np.empty(len(self.doc), np.int64), np.empty(len(self.doc), np.int64)
+        for d in range(LEFT + 1):
+            own = (self.least <= d) & (d <= self.most)
+            own = np.flatnonzero(own & ~self.alone if local else own & (self.shared >= WINDOW - d))
+            if len(own) < 1 + local:
+                continue
+            after[self.order] = np.cumsum(self.prefix < WINDOW - d)
+            before[self.back] = np.cumsum(self.before < d)
+            key = after[own] << 32 | before[own]
+            by = np.lexsort((self.doc[own], key))
+            key, own = key[by], own[by]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            yield d, own, first, self.doc[own][first]
+
+    def windows(self, d: int, own: np.ndarray) -> np.ndarray:
+        """Bytes of the windows with d bytes before the anchor, of some records."""
+        return self.records[own, LEFT - d : LEFT - d + WINDOW]
+
+    def crossing(self) -> tuple[list[bytes], list[int]]:
+        """(windows, smallest ids) of the classes that may go on in another bucket."""
+        found, ids = [], []
+        for d, own, first, least in self.each(False):
+            found += [w.tobytes() for w in self.windows(d, own[first])]
+            ids += least.tolist()
+        return found, ids
+
+    def removable(self, elsewhere: dict[bytes, int]) -> np.ndarray:
+        """[n, LEFT + 1]: whether the window with d bytes before the anchor occurs in a smaller document."""
+        out = np.zeros((len(self.doc), LEFT + 1), bool)
+        for d, own, first, least in self.each(True):
+            out[own, d] = np.repeat(least, np.diff(np.append(first, len(own)))) < self.doc[own]
+        if elsewhere:
+            for d, own, first, _ in self.each(False):
+                least = np.array([elsewhere.get(w.tobytes(), LAST) for w in self.windows(d, own[first])], np.int64)
+                out[own, d] |= np.repeat(least, np.diff(np.append(first, len(own)))) < self.doc[own]
         return out
-    right, left = records[:, LEFT : LEFT + RIGHT], records[:, LEFT - 1 :: -1] if LEFT else records[:, :0]
-    left = np.ascontiguousarray(left[:, :LEFT])
-    order = multikey_order(as_words(right))
-    prefix = neighbour_prefix(right[order])
-    anchor = np.empty(n, np.int64)
-    anchor[order] = np.cumsum(prefix < K)
-    alone = np.bincount(anchor)[anchor] < 2
-    back = multikey_order(np.column_stack((anchor.astype(np.uint64), as_words(left))))
-    before = neighbour_prefix(left[back])
-    before[1:][anchor[back][1:] != anchor[back][:-1]] = -1
-    before[0] = -1
-    low, high = records[:, LEFT + RIGHT].astype(np.int64), records[:, LEFT + RIGHT + 1].astype(np.int64)
-    after_class, before_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(LEFT + 1):
-        own = np.flatnonzero((low <= d) & (d <= high) & ~alone)
-        if len(own) < 2:
-            continue
-        after_class[order] = np.cumsum(prefix < WINDOW - d)
-        before_class[back] = np.cumsum(before < d)
-        key = after_class[own] << 32 | before_class[own]
-        by = np.lexsort((doc[own], key))
-        k, o = key[by], own[by]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        least = np.repeat(doc[o][first], np.diff(np.append(first, len(o))))
-        out[o, d] = least < doc[o]
-    return out
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -170,26 +224,32 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def sort_keys(records: np.ndarray) -> np.ndarray:
+    """What records are sorted by across buckets: the suffix, then the bytes before it read backwards."""
+    return np.ascontiguousarray(np.concatenate((records[:, LEFT : LEFT + RIGHT], records[:, LEFT - 1 :: -1]), axis=1)).view(f"S{RIGHT + LEFT}").ravel()
+
+
 def splitters(rows: DataFrame, buckets: int) -> np.ndarray:
     n = rows.count()
     if not n or buckets < 2:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, f"S{RIGHT + LEFT}")
 
     def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in blocks(parts):
             raw, start, size = laid_out(texts)
-            found, lead = byte_anchors(raw, start, size)
-            yield pa.RecordBatch.from_pydict({"lead": lead[found.at[:: max(1, len(found.at) // (16 * len(texts)))]].view(np.int64)})
+            found, _ = byte_anchors(raw, start, size)
+            few = np.arange(len(found.at))[:: max(1, len(found.at) // (16 * len(texts)))]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(sort_keys(contexts(raw, found, few)).tolist(), pa.binary())})
 
-    kept = rows.sample(fraction=min(1.0, SAMPLE / n), seed=7).mapInArrow(some, "lead long").limit(40 * SAMPLE).collect()
-    lead = np.sort(np.array([r.lead for r in kept], np.int64).view(np.uint64))
-    return np.unique(lead[(np.arange(1, buckets) * len(lead)) // buckets]) if len(lead) else np.zeros(0, np.uint64)
+    sample = max(SAMPLE, buckets)
+    kept = rows.sample(fraction=min(1.0, sample / n), seed=7).mapInArrow(some, "key binary").limit(40 * sample).collect()  # a sample
+    keys = np.sort(np.array([bytes(r.key) for r in kept], f"S{RIGHT + LEFT}"))
+    return np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else keys
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = id_text(docs, id_col, text_col)
-    spread, plan = dealt(rows)
-    cuts = splitters(rows, plan.buckets)
+    spread, plan = dealt(docs, id_col, text_col)
+    cuts = splitters(id_text(docs, id_col, text_col), plan.buckets)
     blob = pa.schema([("bucket", pa.int32()), ("p", pa.int32()), ("blob", pa.binary())])
 
     def offer(group: pa.Table) -> pa.Table:
@@ -203,21 +263,20 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ids, texts = load(group)
         _, _, place, ends = offered(texts, plan.buckets)
         flags = answers(replies_of(reply), ends)[place] if len(place) else np.zeros(0, bool)
-        records, doc, at, lead, done = [], [], [], [], 0
-        for raw, start, begin, _, found, leads in all_anchors(texts):
+        records, doc, at, done = [], [], [], 0
+        for raw, start, begin, _, found, _ in all_anchors(texts):
             some = np.flatnonzero(flags[done : done + len(found.at)])
             done += len(found.at)
             records.append(contexts(raw, found, some))
             doc.append(found.doc[some] + begin)
             at.append(found.at[some] - start[found.doc[some]])
-            lead.append(leads[found.at[some]])
         if not records:
             return blob.empty_table()
-        records, doc, at, lead = map(np.concatenate, (records, doc, at, lead))
-        _, first, same = np.unique(record_hash(records), return_index=True, return_inverse=True)
+        records, doc, at = map(np.concatenate, (records, doc, at))
+        first, same = distinct_records(records)
         number = np.array([LAST if i is None else i for i in ids], np.int64)
-        bucket = np.searchsorted(cuts, lead[first], "right")
-        order = np.lexsort((lead[first], bucket))
+        bucket = np.searchsorted(cuts, sort_keys(records[first]), "right")
+        order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         first, bucket, same = first[order], bucket[order], rank[same]
@@ -234,16 +293,25 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         p = group.column("p")[0].as_py()
         return pa.Table.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "p": pa.array([p] * len(out["bucket"]), pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
-    def decide(group: pa.Table) -> pa.Table:
+    def opened(group: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, Classes]:
         parts = [unpacked(b, "u1", "<i8", "<u4", "<u4", "<u4", "u1") for b in group.column("blob").to_pylist()]
         records = np.concatenate([x[0].reshape(-1, LEFT + RIGHT + 4) for x in parts])
         doc = np.concatenate([x[1] for x in parts])
-        order = np.argsort(doc, kind="stable")
-        _, first, same = np.unique(record_hash(records)[order], return_index=True, return_inverse=True)
-        kind = np.empty(len(order), np.int64)
-        kind[order] = same
-        own = order[first]  # the record's copy with the smallest id
-        pattern = removable(records[own], doc[own])
+        own, kind = distinct_records(records, doc)  # the copy with the smallest id
+        b = group.column("bucket")[0].as_py()
+        low, high = (cuts[b - 1] if b else None), (cuts[b] if b < len(cuts) else None)
+        return parts, records, own, kind, Classes(records[own], doc[own], low, high)
+
+    def compare(group: pa.Table) -> pa.Table:
+        found, ids = opened(group)[-1].crossing()
+        return pa.Table.from_pydict({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(ids), pa.int32()), "window": pa.array(found, pa.binary()), "least": pa.array(ids, pa.int64())})
+
+    def decide(group: pa.Table, crossed: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return blob.empty_table()
+        parts, records, own, kind, classes = opened(group)
+        doc = classes.doc
+        pattern = classes.removable(dict(zip(crossed.column("window").to_pylist(), crossed.column("least").to_pylist(), strict=True)))
         low, high = records[own, LEFT + RIGHT].astype(np.int64), records[own, LEFT + RIGHT + 1].astype(np.int64)
         edges = np.diff(np.pad(pattern.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         which, begin = np.nonzero(edges == 1)
@@ -253,7 +321,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for x in parts:
             rep, d, a, over = x[2].astype(np.int64), x[3], x[4].astype(np.int64), x[5] > 0
             k = kind[base + rep]
-            full = over | (x[1][rep] > doc[own][k])
+            full = over | (x[1][rep] > doc[k])
             base += len(x[1])
             n = np.where(full, 0, run_first[k + 1] - run_first[k])
             occ = np.repeat(np.arange(len(rep)), n)
@@ -283,5 +351,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pa.Table.from_arrays([pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(cols)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     first = spread.groupBy("p").applyInArrow(offer, BLOB).groupBy("bucket").applyInArrow(lambda g: settle(g, "<u4"), BLOB)
-    second = spread.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(describe, BLOB).groupBy("bucket").applyInArrow(decide, BLOB)
+    sent = spread.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(describe, BLOB)
+    crossing = sent.groupBy("bucket").applyInArrow(compare, "bucket int, window binary, least long")
+    least = crossing.groupBy("window").agg(F.min("least").alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
+    crossed = crossing.select("bucket", "window").join(least, "window").select("bucket", "window", "least")
+    second = sent.groupBy("bucket").cogroup(crossed.groupBy("bucket")).applyInArrow(decide, BLOB)
     return spread.groupBy("p").cogroup(second.groupBy("p")).applyInArrow(cut, SCHEMA)
