@@ -1,18 +1,22 @@
 """Quality classifier by importance resampling over hashed n-gram models.
 
-For n = 1 and 2, n-grams of lower-cased words are hashed into `buckets`. Two generative models are counted: the raw one over all
-documents, the target one over labelled good documents. The log ratio of a bucket is taken where its target count differs from
-what the raw model expects by `spread` deviations or more, else it is 0, and positive ratios are cut to 0 (weights truncated at
-1): what is left tells by how much a text uses what good texts avoid. A document's weight for n is the mean over its n-grams;
-its importance is the smaller of the two weights, each less its cut-off and divided by its deviation among good documents.
-
-Selection is Gumbel top-k: keys importance / temperature + Gumbel noise (a hash of the id), the k largest are kept, k being the
-number of documents with importance >= 0. The k-th largest key is found by counting keys in ever narrower ranges.
-
-`fit_rows` bounds the labelled rows used for the target model and the cut-offs (the lowest hashes of their ids); the raw model
-and all scores cover all documents. Defined results: a null or empty text has weights 0 (kept if the cut-offs allow); a null id
-hashes as 0; repeated rows are kept or dropped alike; keys equal to the k-th are all kept; an empty table gives an empty table;
-without labels of both classes nothing is rejected. Extra columns are ignored (`keep_good` returns them).
+Words and pairs of words (lower case) are hashed into `buckets` each. Two generative models are counted: the raw one over all
+documents, the target one over labelled good documents. A bucket's log ratio is log((t + 1) / (e + 1)), t being its target count
+and e the count that the raw model expects in as many n-grams; where t lies within `spread` deviations of e, the models are not
+told apart and the log ratio is 0. A document's log importance is the sum of its n-grams' log ratios over the square root of its
+number of words, so that the noise of long texts, which grows with that root, doesn't outweigh what is said in them.
+
+Selection is Gumbel top-k: keys log importance / temperature + Gumbel noise (from a hash of the id), of which the k largest are
+kept; this samples k documents without replacement with chances in proportion to importance ** (1 / temperature). k is `share` of
+all rows, by default the share of good ones among the labelled. The k-th largest key is found by counting keys in ever narrower
+ranges.
+
+`fit_rows` bounds the labelled rows (the lowest hashes of their ids) that make the target model and the default share; raw counts
+and scores cover all documents. Defined results: a null or empty text has log importance 0; a null id hashes as 0; repeated rows
+are kept or dropped alike; keys equal to the k-th are all kept, so there can be more than k; a document labelled several times
+counts once and is good if all its labels say so; labels with nulls are ignored; very long texts are summed whole; an empty table
+gives an empty table; without labels of good documents nothing is rejected. Extra columns are ignored (`keep_good` returns them,
+whatever their names).
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ class Settings:
     buckets: int = 1 << 20
     spread: float = 4.0
     fit_rows: int = 50_000
-    temperature: float = 0.05
-    clean_weight: float = 6.0  # how much a lost good document outweighs a kept bad one when a cut-off is set
+    temperature: float = 0.1
+    share: float | None = None  # of all rows that are kept; None: the share of good ones among the labelled
 
 
 _HASHES: list[WordHashes] = []
@@ -55,9 +59,10 @@ def features(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(labels: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, good), `fit_rows` at most."""
+    """(doc_id, good), one row for each id, `fit_rows` at most."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    return rows.where("doc_id is not null and good is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(settings.fit_rows)
+    rows = rows.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.fit_rows)
 
 
 def counts(rows: DataFrame, settings: Settings) -> np.ndarray:
@@ -78,11 +83,12 @@ def counts(rows: DataFrame, settings: Settings) -> np.ndarray:
         flags: list = []
         done = 0
         for ids, texts in blocks(good()):
-            for k, t in enumerate(texts):
-                for order, f in enumerate(features(t, buckets)):
-                    np.add.at(seen[order, 0], f, 1)
-                    if flags[done + k]:
-                        np.add.at(seen[order, 1], f, 1)
+            found = [features(t, buckets) for t in texts]
+            for order in (0, 1):
+                np.add.at(seen[order, 0], np.concatenate([f[order] for f in found]), 1)
+                target = [f[order] for k, f in enumerate(found) if flags[done + k]]
+                if target:
+                    np.add.at(seen[order, 1], np.concatenate(target), 1)
             done += len(ids)
         if done:
             yield packed(seen.reshape(4, CHUNKS, step), TaskContext.get().partitionId() % fan)
@@ -105,71 +111,47 @@ def counts(rows: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def log_ratios(seen: np.ndarray, spread: float) -> np.ndarray:
-    """[order, bucket] as float32."""
+    """[order, bucket] as float32: target over raw, 0 where the two are not told apart."""
     out = []
     for raw, target in seen.astype(float):
         expected = raw * (target.sum() / max(raw.sum(), 1))
         ratio = np.log((target + 1) / (expected + 1))
         ratio[np.abs(target - expected) < spread * np.sqrt(expected + 1)] = 0
-        out.append(np.minimum(ratio, 0))
+        out.append(ratio)
     return np.array(out, np.float32)
 
 
-def weights(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
-    """[text, order]"""
-    out = np.zeros((len(texts), 2))
+def log_importance(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(texts))
     for k, t in enumerate(texts):
-        for order, f in enumerate(features(t, ratios.shape[1])):
-            if len(f):
-                out[k, order] = ratios[order][f].sum(dtype=float) / len(f)
+        found = features(t, ratios.shape[1])
+        out[k] = sum(ratios[order][f].sum(dtype=float) for order, f in enumerate(found)) / max(1, len(found[0])) ** 0.5
     return out
 
 
 @dataclass(frozen=True)
 class Model:
     ratios: np.ndarray
-    cut: np.ndarray  # of each order
-    scale: np.ndarray
-
-    def importance(self, w: np.ndarray) -> np.ndarray:
-        return ((w - self.cut) / self.scale).min(axis=1)
-
-
-def cut_off(good: np.ndarray, bad: np.ndarray, clean_weight: float) -> float:
-    """The weight at and above which documents count as good: least weighted share of wrong ones; of several the lowest."""
-    at = np.unique(np.concatenate((good, bad)))
-    lost = np.searchsorted(np.sort(good), at) / len(good)
-    kept = 1 - np.searchsorted(np.sort(bad), at) / len(bad)
-    return float(at[np.argmin(clean_weight * lost + kept)])
+    share: float  # of all rows that are kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """docs: (doc_id, text)."""
-    known = F.broadcast(labelled(labels, settings))  # fit_rows rows of two numbers at most
-    rows = docs.join(known, "doc_id", "left").select("doc_id", "text", "good")
-    ratios = log_ratios(counts(rows, settings), settings.spread)
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = weights([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["good", "one", "two"])
-
-    found = rows.where("good is not null").mapInArrow(weigh, "good boolean, one double, two double").toPandas()
-    good, bad = (found[found.good == flag][["one", "two"]].to_numpy() for flag in (True, False))
-    if not len(good) or not len(bad):
-        return Model(ratios, np.full(2, -np.inf), np.ones(2))
-    return Model(ratios, np.array([cut_off(good[:, k], bad[:, k], settings.clean_weight) for k in (0, 1)]), np.maximum(good.std(axis=0), 1e-9))
+    known = labelled(labels, settings)
+    n, good = known.agg(F.count("*"), F.count_if("good")).first()
+    share = settings.share if settings.share is not None else good / n if good else 1.0
+    if not good:
+        return Model(np.zeros((2, settings.buckets), np.float32), share)
+    rows = docs.join(F.broadcast(known), "doc_id", "left").select("doc_id", "text", "good")  # fit_rows rows of two numbers at most
+    return Model(log_ratios(counts(rows, settings), settings.spread), share)
 
 
 def importance(model: Model, docs: DataFrame, text: Column) -> Column:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.ratios)  # 8 bytes a bucket
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        m = sent.value
-        found = m.importance(weights([(t or "").encode() for t in texts], m.ratios))
-        return pd.Series(np.clip(found, -1e9, 1e9))
+        return pd.Series(log_importance([(t or "").encode() for t in texts], sent.value))
 
     return of(text)
 
@@ -203,27 +185,36 @@ def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096, small: int
     return low
 
 
+def _keyed(docs: DataFrame, model: Model, text: Column, doc_id: Column, settings: Settings, row: list[Column]) -> DataFrame:
+    """`row` with the log importance and the Gumbel key."""
+    scored = docs.select(*row, doc_id.alias("id"), importance(model, docs, text).alias("importance"))
+    return scored.withColumn("gumbel_key", gumbel_key(F.col("importance"), F.col("id"), settings.temperature))
+
+
+def _cut(keys: DataFrame, model: Model) -> float | None:
+    """The least key that is kept."""
+    return kth_largest(keys, "gumbel_key", round(model.share * keys.count()))
+
+
 def selected(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, importance, gumbel_key, keep) of the documents that are kept."""
+    """(doc_id, importance, gumbel_key, keep) of the documents that are kept; importance is the log."""
     rows = id_text(docs, id_col, text_col)
     ensure_checkpoints(docs.sparkSession)
     model = fit(rows, labels, settings)
-    scored = rows.select("doc_id", importance(model, docs, F.col("text")).alias("importance"))
-    scored = scored.withColumn("gumbel_key", gumbel_key(F.col("importance"), F.col("doc_id"), settings.temperature)).checkpoint()
-    least = kth_largest(scored, "gumbel_key", scored.where("importance >= 0").count())
-    return scored.where(F.col("gumbel_key") >= F.lit(least)).withColumn("keep", F.lit(True)) if least is not None else scored.where("false").withColumn("keep", F.lit(True))
+    scored = _keyed(rows, model, F.col("text"), F.col("doc_id"), settings, [F.col("doc_id")]).drop("id").checkpoint()
+    least = _cut(scored, model)
+    kept = scored.where("false") if least is None else scored.where(F.col("gumbel_key") >= F.lit(least))
+    return kept.withColumn("keep", F.lit(True))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The kept rows of docs with all their columns."""
+    """The kept rows of docs with all their columns. Keys are small and are kept for the count; whole rows are scored again
+    instead of being written."""
     rows = id_text(docs)
     ensure_checkpoints(docs.sparkSession)
     model = fit(rows, labels, settings)
-    scored = rows.select("doc_id", importance(model, docs, F.col("text")).alias("importance"))
-    keys = scored.select("importance", gumbel_key(F.col("importance"), F.col("doc_id"), settings.temperature).alias("key")).checkpoint()
-    least = kth_largest(keys, "key", keys.where("importance >= 0").count())
+    least = _cut(_keyed(rows, model, F.col("text"), F.col("doc_id"), settings, []).select("gumbel_key").checkpoint(), model)
     if least is None:
         return docs.where("false")
-    names = docs.columns
-    out = docs.withColumn("__importance", importance(model, docs, F.col("text").cast("string")))
-    return out.where(gumbel_key(F.col("__importance"), F.col("doc_id"), settings.temperature) >= F.lit(least)).select(*names)
+    again = _keyed(docs, model, F.col("text").cast("string"), F.col("doc_id"), settings, [F.struct("*").alias("row")])
+    return again.where(F.col("gumbel_key") >= F.lit(least)).select("row.*")
