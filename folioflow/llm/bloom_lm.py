@@ -1,17 +1,20 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 An n-gram of count c is stored with its quantised count q = 1 + floor(log2 c), as the q items (n-gram, 1) ... (n-gram, q). A
-probe asks for level 1, 2, ... until one is missing; the last level found stands for the count 1.5 * 2^(q-1) (1 for q = 1).
-P(w | v) = mix * count(v, w) / count(v) + (1 - mix) * P(w), with P(w) additively smoothed, all from such probes.
+probe asks for level 1, 2, ... until one is missing; the last level found stands for the weight w = 1.5 * 2^(q-1) (1 for q = 1).
+With absolute discounting, P(b | a) = max(w(a, b) - discount, 0) / T(a) + discount * F(a) / T(a) * P(b), where T(a) is the sum of
+the weights of all pairs that begin with a and F(a) their number, both exact; after an unknown a it is P(b). P(b) is additively
+smoothed from the words' weights. So the probabilities after each word sum to 1 over all words and one unknown word, but for what
+false positives of the filter add (tested with a filter that has none).
 
-The filter is cut into segments by the n-gram's hash. Map tasks send summed counts, packed by segment; one task builds a
-segment, of a size that follows its number of items (`bits_per_item`, up to `max_bits` / segments), so the whole that is
-broadcast grows with the corpus and is never above `max_bits` bits; over that bound all n-grams stay in and the share of false
-positives rises. Exact word counts for the base score are broadcast if they are at most `max_words` words, else joined.
+The filter is cut into segments by the hash of the n-gram's first word. Map tasks send summed counts, packed by segment; one task
+builds a segment, of a size that follows its number of items (`bits_per_item`), so the share of false positives is the same at any
+size. A model of at most `max_bits` bits and `max_words` words is broadcast. A larger one stays where it is: groups of documents
+send their distinct n-grams to the segments, and the segments send back levels and counts. Both ways give the same scores.
 
 Words are compared by 64-bit hashes. Defined results: a null or empty text is its end token alone; a null doc_id counts as the
-text "" (held out); repeated rows are scored each and train each; an empty table gives an empty table; extra columns are ignored.
-With no training rows N = V = 0 and the scores are log10((0 + 0.1) / 0.1) = 0 a token.
+text "" (held out); repeated rows are scored each and train each; a very long text is a block of its own; an empty table gives an
+empty table; extra columns are ignored. With no training rows N = V = 0 and the scores are log10((0 + 0.1) / 0.1) = 0 a token.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import C3, WordHashes, blocks, ensure_checkpoints, id_text, mix, pair_hash, partitions
+from .repeat_groups import dealt, load
 
 END = np.uint64(0x5EED0FE4D)
 SMOOTH = 0.1
@@ -35,11 +39,13 @@ SMOOTH = 0.1
 
 @dataclass(frozen=True)
 class Settings:
-    mix: float = 0.7
+    """max_bits, max_words: the largest model that is broadcast (256 MB of bits, 128 MB of words)."""
+
+    discount: float = 0.75
     bits_per_item: int = 8
     hashes: int = 5
     max_bits: int = 1 << 31
-    max_words: int = 8_000_000
+    max_words: int = 4_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,12 +64,12 @@ def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     return out, start
 
 
-def bigrams(token: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hash of (token before, token); END also stands before the first."""
+def contexts(token: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The token before each; END also stands before the first."""
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[start] = END
-    return pair_hash(before, token)
+    return before
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,33 +94,69 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def pack_pairs(context: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows sorted by context."""
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    runs = np.diff(np.append(first, len(context))).astype("<u4")
+    return struct.pack("<I", len(first)) + context[first].astype("<u8").tobytes() + runs.tobytes() + pack(pair, counts)
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = struct.unpack("<I", blob[:4])[0]
+    context, runs = np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
+    return np.repeat(context, runs), *unpack(blob[4 + 12 * n :])
+
+
+def summed_pairs(context: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by context, then pair."""
+    order = np.lexsort((pair, context))
+    context, pair, counts = context[order], pair[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+    return context[first], pair[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+
+
+def segment_of(words: np.ndarray, segments: int) -> np.ndarray:
+    return (words >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64) if segments > 1 else np.zeros(len(words), np.int64)
+
+
+def by_segment(words: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
+    """Stretches of sorted words."""
+    part = segment_of(words, segments)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=False):
+        yield int(part[a]), slice(a, b)
+
+
 def count_ngrams(docs: DataFrame, segments: int, flush: int = 2_000_000) -> DataFrame:
-    """(part, blob): part = segment for words, segments + segment for bigrams; counts summed by task, or by `flush` n-grams."""
-    shift = np.uint64(64 - (segments.bit_length() - 1))
+    """(part, blob): part = segment for words, segments + segment for pairs; counts summed by task, or by `flush` n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        size = 0
+        single: list[tuple[np.ndarray, ...]] = []
+        double: list[tuple[np.ndarray, ...]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for order, parts in enumerate(held):
-                if not parts:
-                    continue
-                keys, counts = summed(*map(np.concatenate, zip(*parts, strict=True)))
-                cut = np.searchsorted(keys >> shift if segments > 1 else np.zeros(len(keys), np.uint64), np.arange(segments + 1, dtype=np.uint64))
-                filled = [s for s in range(segments) if cut[s] < cut[s + 1]]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([order * segments + s for s in filled], pa.int32()), "blob": pa.array([pack(keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]) for s in filled], pa.binary())})
-                parts.clear()
+            if not single:
+                return
+            keys, counts = summed(*map(np.concatenate, zip(*single, strict=True)))
+            parts = [(s, pack(keys[k], counts[k])) for s, k in by_segment(keys, segments)]
+            context, pair, counts = summed_pairs(*map(np.concatenate, zip(*double, strict=True)))
+            parts += [(segments + s, pack_pairs(context[k], pair[k], counts[k])) for s, k in by_segment(context, segments)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in parts], pa.int32()), "blob": pa.array([b for _, b in parts], pa.binary())})
+            single.clear()
+            double.clear()
 
+        size = 0
         for ids, texts in blocks(batches):
             train = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
             if not train:
                 continue
             token, start = tokens(train, hashes)
-            for parts, keys in zip(held, (token, bigrams(token, start)), strict=True):
-                parts.append(np.unique(keys, return_counts=True))
-                size += len(parts[-1][0])
+            before = contexts(token, start)
+            single.append(np.unique(token, return_counts=True))
+            pair, first, counts = np.unique(pair_hash(before, token), return_index=True, return_counts=True)
+            double.append((before[first], pair, counts))
+            size += len(single[-1][0]) + len(pair)
             if size > flush:
                 yield from out()
                 size = 0
@@ -132,75 +174,123 @@ def weight(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, 1.5 * np.exp2(q - 1.0)))
 
 
-def places(keys: np.ndarray, at_level: int, hashes: int) -> list[np.ndarray]:
-    """64-bit addresses of one item; a segment uses their low bits."""
+def addresses(keys: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-th bit of an item is at one + k * two (64 bits); a segment uses the low bits."""
     one = mix(keys ^ np.uint64(at_level * int(C3) & 0xFFFFFFFFFFFFFFFF))
-    two = mix(one) | np.uint64(1)
-    return [one + np.uint64(k) * two for k in range(hashes)]
+    return one, mix(one) | np.uint64(1)
 
 
-def build_segment(counts: np.ndarray, keys: np.ndarray, settings: Settings, segments: int) -> np.ndarray:
+def build_segment(counts: np.ndarray, keys: np.ndarray, settings: Settings) -> np.ndarray:
     q = level(counts)
-    most = max(64, settings.max_bits // segments)
-    bits = min(1 << (most.bit_length() - 1), 1 << max(6, int(q.sum() * settings.bits_per_item - 1).bit_length()))
+    bits = 1 << max(6, int(q.sum() * settings.bits_per_item - 1).bit_length())
     out = np.zeros(bits // 8, np.uint8)
     for at_level in range(1, int(q.max(initial=0)) + 1):
-        for p in places(keys[q >= at_level], at_level, settings.hashes):
-            p = (p & np.uint64(bits - 1)).astype(np.int64)
+        one, two = addresses(keys[q >= at_level], at_level)
+        for k in range(settings.hashes):
+            p = ((one + np.uint64(k) * two) & np.uint64(bits - 1)).astype(np.int64)
             flag = np.zeros(bits, bool)
             flag[p] = True
             out |= np.packbits(flag, bitorder="little")
     return out
 
 
+def levels(bits: np.ndarray, base: np.ndarray, mask: np.ndarray, part: np.ndarray, keys: np.ndarray, hashes: int) -> np.ndarray:
+    """Quantised counts by probing level after level. A part's bits begin at byte base[part]; mask[part] is its size less 1, or 0."""
+    out, alive, q = np.zeros(len(keys), np.int64), np.flatnonzero(mask[part] > 0), 0
+    while len(alive):
+        q += 1
+        one, two = addresses(keys[alive], q)
+        own = part[alive]
+        for k in range(hashes):
+            hit = _set(bits, base, mask, own, one + np.uint64(k) * two)
+            if not hit.all():
+                alive, one, two, own = alive[hit], one[hit], two[hit], own[hit]
+        out[alive] = q
+    return out
+
+
+def _set(bits: np.ndarray, base: np.ndarray, mask: np.ndarray, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & mask[part]
+    return (bits[base[part] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+class Table:
+    """Exact numbers by word: its count, and the sum of weights and the number of the pairs that begin with it."""
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], begun: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.key, self.n = words
+        self.context, self.total, self.follow = begun
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for known, values in ((self.key, self.n), (self.context, self.total), (self.context, self.follow)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                found.append(np.where(known[at] == keys, values[at], 0))
+            else:
+                found.append(np.zeros(len(keys), values.dtype))
+        return tuple(found)
+
+
+@dataclass(frozen=True)
+class Sums:
+    """Training tokens, distinct ones, and the sum of their weights."""
+
+    n: int
+    v: int
+    quantised: float
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """Columns by word: hash, count, level, sum of weights and number of pairs begun."""
+
+    hash: np.ndarray
+    count: np.ndarray
+    level: np.ndarray
+    total: np.ndarray
+    follow: np.ndarray
+
+
+def probabilities(words: Lookup, before: np.ndarray, token: np.ndarray, pair_level: np.ndarray, sums: Sums, settings: Settings) -> np.ndarray:
+    """P(token | before), both as places in `words`."""
+    alone = np.minimum((weight(words.level) + SMOOTH) / (sums.quantised + SMOOTH * (sums.v + 1)), 1.0)[token]
+    total, follow = words.total[before], words.follow[before]
+    seen = np.minimum(weight(pair_level), total)  # a false positive can't be more than all
+    rest = np.divide(settings.discount * follow, total, out=np.ones(len(token)), where=total > 0)
+    own = np.divide(np.maximum(seen - settings.discount, 0), total, out=np.zeros(len(token)), where=total > 0)
+    return np.minimum(own + rest * alone, 1.0)
+
+
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def columns(ids: list, words: Lookup, before: np.ndarray, token: np.ndarray, start: np.ndarray, pair_level: np.ndarray, sums: Sums, settings: Settings) -> list:
+    p = probabilities(words, before, token, pair_level, sums, settings)
+    base = np.log10(words.count + SMOOTH) - np.log10(sums.n + SMOOTH * (sums.v + 1))
+    size = np.diff(np.append(start, len(token)))
+    known = np.add.reduceat((words.count > 0)[token].astype(np.int64), start)
+    return [pa.array(ids, pa.int64()), pa.array(map(held_out, ids)), *map(pa.array, (size, known, np.full(len(ids), sums.n), np.add.reduceat(base[token], start), np.add.reduceat(np.log10(p), start)))]
+
+
 class Model:
-    """What workers get: the bits of all segments one after another, where each begins, and the words' exact counts."""
+    """What workers get: the bits of all segments one after another, where each begins, and the exact numbers."""
 
-    def __init__(self, settings: Settings, segments: int, parts: dict[int, bytes], n: int, v: int, quantised: float, exact: tuple[np.ndarray, np.ndarray] | None):
-        self.settings, self.segments, self.n, self.v, self.quantised, self.exact = settings, segments, n, v, quantised, exact
+    def __init__(self, settings: Settings, segments: int, parts: dict[int, bytes], sums: Sums, table: Table):
+        self.settings, self.segments, self.sums, self.table = settings, segments, sums, table
         size = np.array([len(parts.get(k, b"")) for k in range(2 * segments)], np.int64)
         self.base = np.cumsum(size) - size
         self.mask = np.maximum(size * 8 - 1, 0).astype(np.uint64)
-        self.size = size
         self.bits = np.frombuffer(b"".join(parts.get(k, b"") for k in range(2 * segments)), np.uint8)
 
-    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Quantised counts by probing level after level; `order` 0: words, 1: bigrams."""
-        part = (keys >> np.uint64(64 - (self.segments.bit_length() - 1))).astype(np.int64) if self.segments > 1 else np.zeros(len(keys), np.int64)
-        part += order * self.segments
-        out, alive, q = np.zeros(len(keys), np.int64), np.flatnonzero(self.size[part] > 0), 0
-        while len(alive):
-            q += 1
-            k, own = keys[alive], part[alive]
-            for p in places(k, q, self.settings.hashes):
-                p = p[: len(k)] & self.mask[own]
-                hit = (self.bits[self.base[own] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                if not hit.all():
-                    alive, own = alive[hit], own[hit]
-                    k = keys[alive]
-                    break
-            else:
-                out[alive] = q
-                continue
-            # one probe has failed for some; the others are settled with all probes
-            ok = np.ones(len(alive), bool)
-            for p in places(k, q, self.settings.hashes):
-                p = p & self.mask[own]
-                ok &= (self.bits[self.base[own] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            alive = alive[ok]
-            out[alive] = q
-        return out
-
-    def exact_counts(self, keys: np.ndarray) -> np.ndarray:
-        known, counts = self.exact
-        if not len(known):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, counts[at], 0)
+    def levels(self, words: np.ndarray, keys: np.ndarray, order: int) -> np.ndarray:
+        """`order` 0: of words, 1: of pairs that begin with the words."""
+        return levels(self.bits, self.base, self.mask, segment_of(words, self.segments) + order * self.segments, keys, self.settings.hashes)
 
 
 class Lexicon(dict):
-    """word -> place in this worker's columns of hashes, exact counts and quantised counts; word lists are resolved together."""
+    """word -> place in this worker's columns; word lists are resolved together."""
 
     def __init__(self, model: Model, limit: int = 300_000):
         super().__init__()
@@ -210,9 +300,7 @@ class Lexicon(dict):
     def forget(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
-        self.hash = np.zeros(0, np.uint64)
-        self.count = self.level = np.zeros(0, np.int64)
-        self.add(np.array([END]))
+        self.words = self.found(np.array([END]))
         self[b""] = 0  # no word is empty: the end token
         self.used = 1
 
@@ -222,10 +310,9 @@ class Lexicon(dict):
         self.used += 1
         return n
 
-    def add(self, keys: np.ndarray) -> None:
-        self.hash = np.concatenate((self.hash, keys))
-        self.count = np.concatenate((self.count, self.model.exact_counts(keys) if self.model.exact else np.zeros(len(keys), np.int64)))
-        self.level = np.concatenate((self.level, self.model.levels(keys, 0)))
+    def found(self, keys: np.ndarray) -> Lookup:
+        count, total, follow = self.model.table.of(keys)
+        return Lookup(keys, count, self.model.levels(keys, keys, 0), total, follow)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         import xxhash
@@ -239,105 +326,148 @@ class Lexicon(dict):
             out += map(self.__getitem__, t.lower().split())
             out.append(0)
         if self.pending:
-            self.add(np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in self.pending), np.uint64, len(self.pending)))
+            new = self.found(np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in self.pending), np.uint64, len(self.pending)))
+            self.words = Lookup(*(np.concatenate((getattr(self.words, k), getattr(new, k))) for k in Lookup.__dataclass_fields__))
             self.pending = []
         return np.array(out, np.int64), np.array(start, np.int64)
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """The model, and the table of exact word counts (key, n)."""
-    spark = docs.sparkSession
-    ensure_checkpoints(spark)
-    segments = 1 << max(0, (4 * partitions(spark, docs) - 1).bit_length())
+BUILT = "part int, bits binary, n_bits long, words binary, begun binary, v long, n long, quantised double"
 
-    def build(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        keys, counts = summed(*map(np.concatenate, zip(*map(unpack, group.column("blob").to_pylist()), strict=True)))
-        bits = build_segment(counts, keys, settings, segments)
-        words = part < segments
-        return pa.Table.from_pydict({"part": pa.array([part], pa.int32()), "bits": [bits.tobytes()], "words": pa.array([pack(keys, counts) if words else None], pa.binary()), "v": [len(keys) if words else 0], "n": [int(counts.sum()) if words else 0], "quantised": [float(weight(level(counts)).sum()) if words else 0.0]})
 
-    built = count_ngrams(docs, segments).groupBy("part").applyInArrow(build, "part int, bits binary, words binary, v long, n long, quantised double").checkpoint()
-    v, n, quantised = (x or 0 for x in built.agg(F.sum("v"), F.sum("n"), F.sum("quantised")).first())
-    exact = None
-    if v <= settings.max_words:
-        rows = [unpack(r.words) for r in built.where("words is not null").orderBy("part").select("words").toLocalIterator()]
-        exact = tuple(map(np.concatenate, zip(*rows, strict=True))) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    bits = {r.part: bytes(r.bits) for r in built.select("part", "bits").toLocalIterator()}  # at most max_bits
+def build(part: int, blobs: list[bytes], segments: int, settings: Settings) -> dict:
+    """A segment's row: its bits, and its words' counts or its pairs' sums by first word."""
+    row = {"part": part, "words": None, "begun": None, "v": 0, "n": 0, "quantised": 0.0}
+    if part < segments:
+        keys, counts = summed(*map(np.concatenate, zip(*map(unpack, blobs), strict=True)))
+        row |= {"words": pack(keys, counts), "v": len(keys), "n": int(counts.sum()), "quantised": float(weight(level(counts)).sum())}
+    else:
+        context, keys, counts = summed_pairs(*map(np.concatenate, zip(*map(unpack_pairs, blobs), strict=True)))
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        total = np.add.reduceat(weight(level(counts)), first)
+        row["begun"] = struct.pack("<I", len(first)) + context[first].astype("<u8").tobytes() + total.astype("<f8").tobytes() + np.diff(np.append(first, len(context))).astype("<i8").tobytes()
+    bits = build_segment(counts, keys, settings)
+    return row | {"bits": bits.tobytes(), "n_bits": 8 * len(bits)}
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                keys, counts = unpack(blob)
-                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": counts})
 
-    return Model(settings, segments, bits, n, v, quantised, exact), built.where("words is not null").select("words").mapInArrow(listed, "key long, n long")
+def unpack_begun(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = struct.unpack("<I", blob[:4])[0]
+    return np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<f8", n, 4 + 8 * n), np.frombuffer(blob, "<i8", n, 4 + 16 * n)
 
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def joined(parts: list[tuple], empty: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else tuple(np.zeros(0, k) for k in empty)
+
+
+WORD, BEGUN = ("<u8", "<i8"), ("<u8", "<f8", "<i8")
+
+
+def train(docs: DataFrame, segments: int, settings: Settings = Settings()) -> tuple[DataFrame, Sums, bool]:
+    """(a row for each segment as `build` makes it, sums over all, whether the model may be broadcast)"""
+    kinds = [(f.split()[0], f.split()[1]) for f in BUILT.split(", ")]
+    arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+
+    def made(group: pa.Table) -> pa.Table:
+        row = build(group.column("part")[0].as_py(), group.column("blob").to_pylist(), segments, settings)
+        return pa.Table.from_arrays([pa.array([row[k]], arrow[t]) for k, t in kinds], names=[k for k, _ in kinds])
+
+    ensure_checkpoints(docs.sparkSession)
+    built = count_ngrams(docs, segments).groupBy("part").applyInArrow(made, BUILT).checkpoint()
+    n, v, quantised, bits = (x or 0 for x in built.agg(F.sum("n"), F.sum("v"), F.sum("quantised"), F.sum("n_bits")).first())
+    return built, Sums(n, v, quantised), bits <= settings.max_bits and v <= settings.max_words
+
+
+def gathered(built: DataFrame, segments: int, sums: Sums, settings: Settings) -> Model:
+    """At most max_bits bits and max_words words."""
+    parts, words, begun = {}, [], []
+    for r in built.orderBy("part").select("part", "bits", "words", "begun").toLocalIterator():
+        parts[r.part] = bytes(r.bits)
+        if r.words is not None:
+            words.append(unpack(bytes(r.words)))
+        else:
+            begun.append(unpack_begun(bytes(r.begun)))
+    return Model(settings, segments, parts, sums, Table(joined(words, WORD), joined(begun, BEGUN)))
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = id_text(docs, id_col, text_col)
-    model, words = train(rows, settings)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    n, v = model.n, model.v
-    total = np.log10(n + SMOOTH * (v + 1))
+    rows, spark = id_text(docs, id_col, text_col), docs.sparkSession
+    segments = 1 << max(0, (4 * partitions(spark, docs) - 1).bit_length())
+    built, sums, small = train(rows, segments, settings)
+    if not small:
+        return _asked(docs, built, segments, sums, settings, id_col, text_col)
+    sent = spark.sparkContext.broadcast(gathered(built, segments, sums, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         lexicon = Lexicon(m)
         for ids, texts in blocks(batches):
             token, start = lexicon.of(texts)
-            hashed = lexicon.hash[token]
             before = np.concatenate((token[:1], token[:-1]))
             before[start] = 0
-            single = weight(lexicon.level)
-            alone = (single + SMOOTH) / (m.quantised + SMOOTH * (m.v + 1))
-            pairs = weight(m.levels(bigrams(hashed, start), 1))
-            context = np.maximum(single[before], pairs)
-            p = m.settings.mix * np.divide(pairs, context, out=np.zeros(len(pairs)), where=context > 0) + (1 - m.settings.mix) * alone[token]
-            base = np.log10(lexicon.count + SMOOTH) - total
-            size = np.diff(np.append(start, len(token)))
-            columns = [pa.array(ids, pa.int64()), pa.array(map(held_out, ids)), size, np.add.reduceat((lexicon.count > 0)[token].astype(np.int64), start), np.full(len(ids), n), np.add.reduceat(base[token], start), np.add.reduceat(np.log10(p), start)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    if model.exact is not None:
-        return rows.mapInArrow(run, SCHEMA)
-    return _joined_base(rows, words, run, float(total))
-
-
-def _joined_base(rows: DataFrame, words: DataFrame, run, total: float) -> DataFrame:
-    """The same, with exact counts joined to each text's distinct words: for more words than a broadcast may hold."""
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for ids, texts in blocks(batches):
-            for i, t in zip(ids, texts, strict=True):
-                keys, counts = np.unique(tokens([t], hashes)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i] * len(keys), pa.int64()), "digest": [zlib.crc32(t)] * len(keys), "key": keys.view(np.int64), "tf": counts})
-
-    bag = rows.mapInArrow(bags, "doc_id long, digest long, key long, tf long").join(words, "key", "left")
-    base = bag.groupBy("doc_id", "digest").agg((F.sum(F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)) - F.lit(total)))).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum("tf").alias("t"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def both() -> Iterator[tuple[pa.RecordBatch, list[int]]]:
-            for batch in batches:
-                yield batch, [zlib.crc32(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-
-        for batch, digest in both():
-            for out in _regroup(run(iter([batch])), digest):
-                yield out
-
-    scored = rows.mapInArrow(keyed, SCHEMA + ", digest long")
-    same = scored["doc_id"].eqNullSafe(base["doc_id"]) & (scored["digest"] == base["digest"])
-    copies = F.col("t") / F.col("n_tokens")  # repeated rows share their sums
-    out = scored.join(base, same, "left").select(scored["*"], "b", "k", "t")
-    return out.select(scored["doc_id"], "held_out", "n_tokens", (F.col("k") / copies).cast("long").alias("n_known"), "train_tokens", (F.col("b") / copies).alias("base_score"), "score")
-
-
-def _regroup(batches: Iterator[pa.RecordBatch], digest: list[int]) -> Iterator[pa.RecordBatch]:
-    at = 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest[at : at + batch.num_rows], pa.int64())], names=[*batch.schema.names, "digest"])
-        at += batch.num_rows
+            first = lexicon.words.hash[before]
+            found = m.levels(first, pair_hash(first, lexicon.words.hash[token]), 1)
+            yield pa.RecordBatch.from_arrays(columns(ids, lexicon.words, before, token, start, found, sums, settings), names=NAMES)
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def _asked(docs: DataFrame, built: DataFrame, segments: int, sums: Sums, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """The same scores for a model of any size: it is not sent out, but asked. A group's questions are its distinct words, in order
+    of their hashes, and its distinct pairs, in order of first word and pair; answers come back in that order."""
+    spread, _ = dealt(docs, id_col, text_col)
+
+    def questions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        token, start = tokens(texts, WordHashes())
+        word, place = np.unique(token, return_inverse=True)
+        before = contexts(token, start)
+        pair, first, pair_place = np.unique(pair_hash(before, token), return_index=True, return_inverse=True)
+        order = np.lexsort((pair, before[first]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return word, place, start, before[first][order], pair[order], rank[pair_place]
+
+    def ask(group: pa.Table) -> pa.Table:
+        word, _, _, context, pair, _ = questions(load(group)[1])
+        sent = [(s, word[k].tobytes(), None) for s, k in by_segment(word, segments)]
+        asked = {s: context[k].tobytes() + pair[k].tobytes() for s, k in by_segment(context, segments)}  # first words are words
+        sent += [(segments + s, word[k].tobytes(), asked.get(s, b"")) for s, k in by_segment(word, segments)]
+        p = group.column("p")[0].as_py()
+        return pa.Table.from_arrays([pa.array([p] * len(sent), pa.int32()), pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary()), pa.array([x[2] for x in sent], pa.binary())], names=["p", "part", "word", "pairs"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        out = []
+        part = asked.column("part")[0].as_py() if asked.num_rows else 0
+        row = own.select(["bits", "words", "begun"]).to_pylist()[0] if own.num_rows else None
+        bits = np.frombuffer(row["bits"], np.uint8) if row else np.zeros(0, np.uint8)
+        base, mask = np.zeros(1, np.int64), np.array([max(8 * len(bits) - 1, 0)], np.uint64)
+        table = Table(unpack(row["words"]) if row and row["words"] is not None else joined([], WORD), unpack_begun(row["begun"]) if row and row["begun"] is not None else joined([], BEGUN))
+        probe = lambda keys: levels(bits, base, mask, np.zeros(len(keys), np.int64), keys, settings.hashes)
+        for word, pairs in zip(asked.column("word").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
+            keys = np.frombuffer(word, "<u8")
+            count, total, follow = table.of(keys)
+            if pairs is None:
+                out.append(count.astype("<i8").tobytes() + probe(keys).astype("<i8").tobytes())
+            else:
+                out.append(total.astype("<f8").tobytes() + follow.astype("<i8").tobytes() + probe(np.frombuffer(pairs, "<u8")[len(pairs) // 16 :]).astype("<i8").tobytes())
+        return pa.Table.from_arrays([asked.column("p").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["p", "part", "blob"])
+
+    def tell(group: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, texts = load(group)
+        word, token, start, context, pair, pair_place = questions(texts)
+        blob = dict(zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+        count, own, total, follow, double = (np.zeros(n, k) for n, k in ((len(word), np.int64), (len(word), np.int64), (len(word), float), (len(word), np.int64), (len(pair), np.int64)))
+        for s, k in by_segment(word, segments):
+            n = k.stop - k.start
+            one, two = blob[s], blob[segments + s]
+            count[k], own[k] = np.frombuffer(one, "<i8").reshape(2, n)
+            total[k], follow[k] = np.frombuffer(two, "<f8", n), np.frombuffer(two, "<i8", n, 8 * n)
+        for s, k in by_segment(context, segments):
+            n = k.stop - k.start
+            double[k] = np.frombuffer(blob[segments + s], "<i8")[-n:]
+        before = np.concatenate((token[:1], token[:-1]))
+        before[start] = np.searchsorted(word, END)
+        return pa.Table.from_arrays(columns(ids, Lookup(word, count, own, total, follow), before, token, start, double[pair_place], sums, settings), names=NAMES)
+
+    asked = spread.groupBy("p").applyInArrow(ask, "p int, part int, word binary, pairs binary")
+    answers = asked.groupBy("part").cogroup(built.groupBy("part")).applyInArrow(answer, "p int, part int, blob binary")
+    return spread.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(tell, SCHEMA)
