@@ -2,15 +2,17 @@
 
 Every historical version of every path is a row. Texts are addressed by their SHA-256 ("blob"); only pairs of blob and rule
 version that the ledger lacks are scanned, each blob once however many paths and versions hold it; findings are joined back
-to all rows by blob. The grouping by blob keeps one text for each blob and map task before the shuffle, and the join back
-carries hashes and findings only, so a blob held by a third of all rows costs no more than its hashes (AQE splits the join).
+to all rows by blob. The grouping by blob keeps one text for each blob and map task before the shuffle. The join back carries
+hashes and findings only; rows are dealt by blob and one of `SALTS` numbers that their keys hash to, and the few blobs with
+findings are repeated for each, so that the rows of one blob are spread.
 
 Matches are leftmost and non-overlapping per rule; starts and ends are code points. They come from the texts between the
 matches (split) and the matches themselves, whose lengths add up to positions.
 
-Defined results: a null text counts as empty and has no findings; the row is kept. Repeated rows give repeated rows. An empty
-table gives an empty table. Extra columns are ignored (`redact` keeps them). Findings at one place under several rules are all
-kept, in the order of start, then of the rules.
+Defined results: a null text counts as empty and has no findings; the row is kept. Repeated rows give repeated rows; ledger rows
+of one blob and rule version count once. A blob that the ledger has not seen has null findings, one without secrets has an empty
+array. An empty table gives an empty table. Extra columns are ignored (`redact` keeps them, whatever their names). Findings at one
+place under several rules are all kept, in the order of start, then of the rules. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULE_VERSION = "1"
+RULE_VERSION, SALTS = "1", 16
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,7 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
 
 def scan(blobs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds `findings`, sorted by start, then rule."""
-    for n, rule in enumerate(rules):
-        blobs = blobs.withColumn(f"__found{n}", spans(F.col(text), rule, n))
-    cols = [f"__found{n}" for n in range(len(rules))]
-    return blobs.withColumn("findings", F.array_sort(F.flatten(F.array(*cols)))).drop(*cols)
+    return blobs.withColumn("findings", F.array_sort(F.flatten(F.array(*[spans(F.col(text), rule, n) for n, rule in enumerate(rules)]))))
 
 
 def addressed(versions: DataFrame, text_col: str = "text") -> Column:
@@ -104,11 +103,19 @@ def ledger_entries(versions: DataFrame, ledger: DataFrame | None = None, text_co
     return scan(unseen(versions, ledger, text_col, rule_version), rules=rules).select("blob", "rule_version", "findings")
 
 
+def _salted(rows: DataFrame, salt: Column, found: DataFrame) -> DataFrame:
+    """rows (with their blob) and `findings` of theirs; found: (blob, findings), one row for each blob."""
+    dealt = rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)))
+    every = found.select(F.col("blob").alias("own"), "findings", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("own_salt"))
+    return dealt.join(every, (F.col("blob") == F.col("own")) & (F.col("salt") == F.col("own_salt")), "left").drop("own", "own_salt", "salt")
+
+
 def join_back(versions: DataFrame, ledger: DataFrame, keys: list[str], text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """The findings of every version of every path: `keys`, blob, findings."""
-    rows = versions.select(*keys, addressed(versions, text_col).alias("blob"))
-    own = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    return rows.join(own, "blob", "left").select(*keys, "blob", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
+    """The findings of every version of every path: `keys`, blob, findings (null if the ledger has not seen the blob)."""
+    rows = versions.select(F.struct(*keys).alias("key"), addressed(versions, text_col).alias("blob"))
+    own = ledger.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.max("findings").alias("findings"))
+    out = _salted(rows, F.xxhash64("key"), own)
+    return out.select("key.*", "blob", "findings")
 
 
 def written(spans_: Column) -> Column:
@@ -116,9 +123,11 @@ def written(spans_: Column) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A run with an empty ledger, as one row of counts and spans for each document."""
+    """A run with an empty ledger, as one row of counts and spans for each document. Here no blob is unseen, so those without
+    findings needn't be joined."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = join_back(rows, ledger_entries(rows), ["doc_id"])
+    found = join_back(rows, ledger_entries(rows).where(F.size("findings") > 0), ["doc_id"])
+    found = found.withColumn("findings", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")))
     bases = [n for n, r in enumerate(RULES) if r.base]
     base = F.filter("findings", lambda x: x["rank"].isin(bases))
     count = lambda n: F.size(F.filter("findings", lambda x: x["rank"] == n)).cast("long")
@@ -141,10 +150,12 @@ def redacted(text: Column, findings: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with secrets replaced in the text; null texts stay null. Each blob is scanned and redacted once."""
-    names = docs.columns
-    keyed = docs.select("*", addressed(docs, text_col).alias("__blob"))
-    entries = scan(unseen(docs, None, text_col)).where(F.size("findings") > 0)
-    clean = entries.select(F.col("blob").alias("__blob"), redacted(F.col("text"), F.col("findings")).alias("__clean"))
-    out = keyed.join(clean, "__blob", "left")
-    return out.select(*[F.coalesce("__clean", F.col(text_col)).alias(text_col) if c == text_col else out[c] for c in names])
+    """The same rows and columns with secrets replaced in the text; null texts stay null. Each blob is scanned once; only findings
+    are joined, and rows are cut by their own text."""
+    plain = [docs[c] for c, kind in docs.dtypes if c != text_col and "map<" not in kind] or [F.lit(0)]  # maps have no hash
+    rows = docs.select(F.struct("*").alias("row"), addressed(docs, text_col).alias("blob"), F.xxhash64(*plain).alias("spread"))
+    found = scan(unseen(docs, None, text_col)).where(F.size("findings") > 0).select("blob", "findings")
+    out = _salted(rows, F.col("spread"), found)
+    text = F.col("row")[text_col].cast("string")
+    clean = F.when(F.col("findings").isNull(), text).otherwise(redacted(text, F.col("findings")))
+    return out.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
