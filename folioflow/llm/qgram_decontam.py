@@ -6,11 +6,13 @@ place in the item). Shared q-grams are counted in diagonal bands of `band` diago
 diagonals lie in one band; bands that reach the bound are verified by banded alignment of the whole item within the region.
 
 The edit budget is e = edit_share * m, or less where the bound would fall under 1; items shorter than q must occur unchanged.
-The benchmark is broadcast in blocks of `block_bytes`; a larger one takes more blocks, each against all rows.
+The benchmark is broadcast in blocks of `block_bytes`; a larger one takes more blocks, each against all rows. Shared q-grams are
+summed by band in runs of `RUN` at most, so a long text that repeats what an item repeats takes time, not memory; regions are
+verified in the order of their places until one without an edit is found.
 
-Defined results: null or empty items match nothing; null or empty texts match nothing; repeated rows are reported each; an
-empty table on either side gives no rows (`clean` keeps all). Of several regions the one with the fewest edits, then the first,
-is reported. Extra columns are ignored (`clean` returns them).
+Defined results: null or empty items match nothing; null or empty texts match nothing; repeated rows are reported each; very long
+and repetitive texts are searched whole; an empty table on either side gives no rows (`clean` keeps all). Of several regions the
+one with the fewest edits, then the first, is reported. Extra columns are ignored (`clean` returns them, whatever their names).
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .common import C1, C2, blocks, id_text, mix
 
 Q = 10
 BITS = 22
+RUN = 1 << 20  # shared q-grams that are held at once
 FOLD = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256)).lower()
 
 
@@ -82,51 +85,55 @@ class Index:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.known >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def hits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item)"""
+    def hits(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, item, place in the item), in runs of at most RUN or of one place."""
         if not len(self.known) or len(raw) <= 16:
-            return (np.zeros(0, np.int64),) * 3
+            return
         h = gram_hashes(raw)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         ok = self.known[k] == h[at]
         at, k = at[ok], k[ok]
-        n = self.count[k]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[k], n) + inner
-        return np.repeat(at, n), self.item[entry], self.place[entry]
-
-    def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, start, end, edits, shared q-grams) with places in bytes; the best of each text and item."""
+        ends = np.cumsum(self.count[k])
+        begin = 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + RUN, "right")))
+            own, n = k[begin:stop], self.count[k[begin:stop]]
+            entry = np.repeat(self.first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(at[begin:stop], n), self.item[entry], self.place[entry]
+            begin = stop
+
+    def banded(self, at: np.ndarray, item: np.ndarray, place: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """[band, (text, item, band, hits, least diagonal, most)], a row for each band that is hit. start: of the texts."""
+        text = np.searchsorted(start, at, "right") - 1
+        diagonal = at - place - start[text]
+        z, e = self.settings.band, self.edits[item]
+        band = np.floor_divide(diagonal, z)
+        keys = [(text, item, band, diagonal)]
+        for back in range(1, -(-int(self.edits.max(initial=0)) // z) + 1):  # bands before, which reach e diagonals on
+            again = diagonal - band * z < e - (back - 1) * z
+            keys.append((text[again], item[again], band[again] - back, diagonal[again]))
+        text, item, band, diagonal = map(np.concatenate, zip(*keys, strict=True))
+        return summed(np.stack((text, item, band, np.ones(len(text), np.int64), diagonal, diagonal), axis=1))
+
+    def matches(self, texts: list[bytes], any_item: bool = False) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item, start, end, edits, shared q-grams) with places in bytes; the best of each text and item. If `any_item`,
+        one match for each text is enough."""
         folded = [t.translate(FOLD) for t in texts]
         size = np.fromiter(map(len, folded), np.int64, len(folded)) + 1
         start = np.cumsum(size) - size
-        at, item, place = self.hits(spare(b"\0".join(folded)))
         best: dict[tuple[int, int], tuple] = {}
-        if len(at):
-            text = np.searchsorted(start, at, "right") - 1
-            diagonal = at - place - start[text]
-            z, e = self.settings.band, self.edits[item]
-            band = np.floor_divide(diagonal, z)
-            again = diagonal - band * z < e  # also in the band before, which reaches e diagonals on
-            reach = -(-int(self.edits.max(initial=0)) // z)
-            keys = [(text, item, band, diagonal)]
-            for back in range(1, reach + 1):
-                again = diagonal - band * z < e - (back - 1) * z
-                keys.append((text[again], item[again], band[again] - back, diagonal[again]))
-            text, item, band, diagonal = map(np.concatenate, zip(*keys, strict=True))
-            order = np.lexsort((band, item, text))
-            text, item, band, diagonal = text[order], item[order], band[order], diagonal[order]
-            first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
-            shared = np.diff(np.append(first, len(text)))
-            ok = shared >= self.least[item[first]]
-            low, high = np.minimum.reduceat(diagonal, first)[ok], np.maximum.reduceat(diagonal, first)[ok]
-            for t, i, a, b, n in zip(text[first][ok].tolist(), item[first][ok].tolist(), low.tolist(), high.tolist(), shared[ok].tolist(), strict=True):
-                e, pattern = int(self.edits[i]), self.items[i][1]
-                begin = max(0, a - e)
-                found = aligned(pattern, folded[t][begin : max(0, b + len(pattern) + e)], e, (a - e) - begin, b - a + 2 * e)
-                if found and (found[0], begin + found[1]) < best.get((t, i), (1 << 60,))[:2]:
-                    best[t, i] = (found[0], begin + found[1], begin + found[2], n)
+        found = [self.banded(*hit, start) for hit in self.hits(spare(b"\0".join(folded)))]
+        settled: set[int] = set()
+        for t, i, _, n, a, b in summed(np.concatenate(found)).tolist() if found else []:
+            if n < self.least[i] or best.get((t, i), (1,))[0] == 0 or any_item and t in settled:
+                continue
+            e, pattern = int(self.edits[i]), self.items[i][1]
+            begin = max(0, a - e)
+            hit = aligned(pattern, folded[t][begin : max(0, b + len(pattern) + e)], e, (a - e) - begin, b - a + 2 * e)
+            if hit and (hit[0], begin + hit[1]) < best.get((t, i), (1 << 60,))[:2]:
+                best[t, i] = (hit[0], begin + hit[1], begin + hit[2], n)
+                settled.add(t)
         for i in self.short:
             pattern = self.items[i][1]
             for t, x in enumerate(folded):
@@ -135,6 +142,15 @@ class Index:
         return [(t, i, a, b, e, n) for (t, i), (e, a, b, n) in sorted(best.items())]
 
 
+def summed(rows: np.ndarray) -> np.ndarray:
+    """Rows of (text, item, band, hits, least, most), one for each band, sorted."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
+    return np.column_stack((rows[first, :3], np.add.reduceat(rows[:, 3], first), np.minimum.reduceat(rows[:, 4], first), np.maximum.reduceat(rows[:, 5], first)))
+
+
 def aligned(pattern: bytes, region: bytes, edits: int, shift: int, width: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence of the pattern in the region, if it needs at most `edits`; only diagonals
     shift .. shift + width (start in the region less start in the pattern) are computed."""
@@ -217,7 +233,7 @@ def _found(sent, settings: Settings):
             while end < len(raw) and (end == at or size + len(raw[end]) <= 1 << 20):
                 size += len(raw[end])
                 end += 1
-            out[[at + x[0] for x in held[0].matches(raw[at:end])]] = True
+            out[[at + x[0] for x in held[0].matches(raw[at:end], True)]] = True
             at = end
         return pd.Series(out)
 
