@@ -8,19 +8,19 @@ with more than `pair_limit` fingerprints under one entry are not paired: each on
 run's sorted fingerprints, which is linear in the run. Tasks return a star for each local component instead of pairs; the
 components of the whole are found by alternating large-star and small-star steps over tables.
 
-`keep_one` decides by exact similarity: texts are near copies if their sets of five-word shingles have similarity 0.8 or more
-(`SIMILAR`). Pairs are proposed by bands of min-wise hashes of the sets, at a chance that depends on their similarity only (0.9994
-at 0.8, more above); the groups of what meets are then compared by their sets, and components are formed of the links that hold.
-
-Similarity 0.8 of word shingles is about 0.156 of the bits, too many for 64: `wide_grouped` uses 256 bits (`WORDS` of 64) and links
-at `REACH` bits without a look at the texts, which a pair of similarity 0.8 stays within in about nine of ten cases. The index is again one of positional
-bytes: the sets of `WIDTH` = 2 byte positions inside each 64-bit word, so every pair that shares more than 4 of its 32 positional
-bytes meets; pairs with fewer meet as chance has it. That share is the same for any number of fingerprints; more of them make
-longer runs. Pairs that meet and share `TALLY` bytes or more are verified by their differing bits.
+`keep_one` is for near copies: texts whose sets of five-word shingles have similarity 0.8 or more (`SIMILAR`). That is about 0.15
+of the bits of a fingerprint, too many for 64, so the sets get fingerprints of 256 bits (`WORDS` of 64) and the same kind of index: the
+sets of `WIDTH` = 2 byte positions inside each 64-bit word. Pairs that meet are tallied by their positional bytes in common; those
+that reach `TALLY` of 32 and differ in at most `REACH` bits are proposed; the groups of what is proposed are then compared by their
+shingle sets, and components are formed of the links of similarity 0.8 or more alone. A pair that shares more than 4 of its 32
+bytes always meets; at similarity 0.8, where a byte is shared with chance 0.27, a pair meets with chance 0.989, at 0.85 with 0.998.
+The chance doesn't depend on the number of texts; `WORDS` raises it. Entries with more than `pair_limit` fingerprints hold each
+text only against those that nothing has reached yet; the work of an entry of unlike texts grows with its square, and an entry has
+n / 65,536 texts, so for more than some 100 million texts a larger `WIDTH` with more `WORDS` is due.
 
 Defined results: a null, empty or blank text has fingerprint 0, which is linked like any other; repeated rows each get the same
-result; null ids don't count for the component's smallest id (a component of null ids only has id null); an empty table gives an
-empty table; extra columns are ignored (`keep_one` returns them).
+result; null ids don't count for the component's smallest id (a component of null ids only has id null); a very long text is
+hashed in pieces; an empty table gives an empty table; extra columns are ignored (`keep_one` returns them, whatever their names).
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, C3, S32, blocks, ensure_checkpoints, id_text, mix, pair_hash, partitions
+from .common import C1, blocks, ensure_checkpoints, id_text, mix, partitions
 
 SEED = 42
-WORDS, REACH, TALLY = 4, 46, 3  # 64-bit words of a wide fingerprint; most differing bits and least shared bytes of a link
-WIDTH = 2  # byte positions of a set of the wide index, whatever the number of fingerprints
+WORDS, REACH, TALLY = 4, 62, 3  # 64-bit words of a wide fingerprint; most differing bits and least shared bytes of a proposal
+WIDTH = 2  # byte positions of a set of the wide index
+SIMILAR = (4, 5)  # least similarity of a near copy
+BLOCK = 256  # texts that are held against each other in one step
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -203,14 +205,6 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return _named(rows, nodes, link_stars(nodes.select("fp"), bits))
 
 
-def wide_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id) of every row, by wide fingerprints."""
-    ensure_checkpoints(docs.sparkSession)
-    rows = wide_rows(id_text(docs, id_col, text_col), shingle).checkpoint()
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    return _named(rows, nodes, wide_stars(nodes.select("fp"), nodes.count()))
-
-
 def _named(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     stars = components(links)
     rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -237,33 +231,24 @@ def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(texts: list[bytes], shingle: int = 5, words: int = WORDS) -> np.ndarray:
-    """[text, word] as uint64; the first word is the fingerprint of 64 bits."""
+def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included."""
     import xxhash
 
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    size, hashes = np.zeros(len(texts), np.int64), []
-    for k, t in enumerate(texts):
-        w = t.lower().split()
-        pieces = list(map(join, zip(*(w[n:] for n in range(shingle)), strict=False))) if len(w) >= shingle else [join(w)] if w else []
-        size[k] = len(pieces)
-        hashes.append(np.fromiter((digest(p, SEED) for p in pieces), np.uint64, len(pieces)))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return majority(np.concatenate((h[:, None], mix(h[:, None] + C1 * np.arange(1, words, dtype=np.uint64))), axis=1), size)
-
+    digest, join, w = xxhash.xxh64_intdigest, b" ".join, text.lower().split()
+    pieces = map(join, zip(*(w[n:] for n in range(shingle)), strict=False)) if len(w) >= shingle else [join(w)] if w else []
+    return np.fromiter((digest(p, SEED) for p in pieces), np.uint64)
 
-def wide_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp) from (doc_id, text); fp is the wide fingerprint's bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array([r.tobytes() for r in wide_fingerprints(texts, shingle)], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, fp binary")
+def wide_fingerprints(hashes: list[np.ndarray], words: int = WORDS) -> np.ndarray:
+    """[text, word] as uint64 from each text's shingle hashes; the first word is the fingerprint of 64 bits."""
+    size = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return majority(np.concatenate((h[:, None], mix(h[:, None] + C1 * np.arange(1, words, dtype=np.uint64))), axis=1), size)
 
 
 def linked(x: np.ndarray) -> np.ndarray:
-    """Of differences [..., word]: whether shared bytes and differing bits make a link."""
+    """Of differences [..., word]: whether shared bytes and differing bits make a proposal."""
     ok = (x.view(np.uint8) == 0).sum(axis=-1) >= TALLY
     ok[ok] = np.bitwise_count(x[ok]).sum(axis=-1) <= REACH
     return ok
@@ -312,11 +297,11 @@ def wide_links(fp: np.ndarray, run: np.ndarray, pair_limit: int = 64) -> tuple[n
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-ENTRY = np.dtype([("kind", "u1"), ("fp", "<u8", (WORDS,))])
+ENTRY = np.dtype([("kind", "u1"), ("node", "<i8"), ("fp", "<u8", (WORDS,))])
 
 
 def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
-    """(u, v): a star for each component that one task of the index sees. nodes: n distinct fp; n sizes the tasks only."""
+    """(u, v): a star of nodes for each component that one task of the index sees. nodes: n rows of (node, fp); n sizes the tasks."""
     masks = np.array([sum(0xFF << 8 * p for p in c) for c in combinations(range(8), WIDTH)], np.uint64)
     kinds = WORDS * len(masks)
     groups = max(4 * partitions(nodes.sparkSession), -(-n * kinds * ENTRY.itemsize >> 24))
@@ -324,12 +309,13 @@ def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
-                fp = np.frombuffer(b"".join(batch.column(0).slice(k, 4096).to_pylist()), "<u8").reshape(-1, WORDS)
+                part = batch.slice(k, 4096)
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
                 key = (fp[:, :, None] & masks).reshape(len(fp), kinds)
                 g = (mix(key + C1 * np.arange(kinds, dtype=np.uint64)) % np.uint64(groups)).astype(np.int64).ravel()
                 order = np.argsort(g, kind="stable")
                 e = np.empty(len(order), ENTRY)
-                e["kind"], e["fp"] = order % kinds, fp[order // kinds]
+                e["kind"], e["node"], e["fp"] = order % kinds, part.column(0).to_numpy()[order // kinds], fp[order // kinds]
                 cut = np.flatnonzero(np.diff(g[order], prepend=-1, append=groups))
                 yield pa.RecordBatch.from_pydict({"g": pa.array(g[order][cut[:-1]]), "blob": pa.array([e[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
 
@@ -338,49 +324,20 @@ def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
         kind = e["kind"].astype(np.int64)
         key = e["fp"][np.arange(len(e)), kind // len(masks)] & masks[kind % len(masks)]
         order = np.lexsort((key, kind))
-        fp, key, kind = np.ascontiguousarray(e["fp"][order]), key[order], kind[order]
+        fp, node, key, kind = np.ascontiguousarray(e["fp"][order]), e["node"][order], key[order], kind[order]
         a, b = wide_links(fp, np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))))
-        distinct, place = np.unique(fp[np.concatenate((a, b))], axis=0, return_inverse=True)
-        place = place.ravel()
-        root = local_roots(len(distinct), place[: len(a)], place[len(a) :])
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return pa.Table.from_pydict({"u": pa.array([r.tobytes() for r in distinct[own]], pa.binary()), "v": pa.array([r.tobytes() for r in distinct[root[own]]], pa.binary())})
+        return _stars(node[a], node[b])
 
-    return nodes.mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u binary, v binary")
-
-
-SIMILAR = (4, 5)  # least similarity of a near copy
-BANDS, ROWS = 40, 8  # of min-wise hashes: a pair of similarity s meets with chance 1 - (1 - s^8)^40, 0.9994 at 0.8
-BLOCK = 256  # texts that are held against each other in one step
-ODD = mix(C1 * np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).view(np.uint32)[::2] | np.uint32(1)
-PLUS = mix(C3 * np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).view(np.uint32)[::2].copy()
+    return nodes.select("node", "fp").mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u long, v long")
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    import xxhash
-
-    digest, w = xxhash.xxh64_intdigest, text.lower().split()
-    pieces = set(map(b" ".join, zip(*(w[n:] for n in range(shingle)), strict=False))) if len(w) >= shingle else {b" ".join(w)} if w else set()
-    return np.unique(np.fromiter((digest(p, SEED) for p in pieces), np.uint64, len(pieces)))
-
-
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a set's min-wise hashes. No length, no number of texts and no common shingle matters."""
-    h, low = (own >> S32).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(h), 512):
-        x = ODD[:, None] * h[None, k : k + 512] + PLUS[:, None]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        low = np.minimum(low, x.min(axis=1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        key = pair_hash(key, column.astype(np.uint64))
-    return key
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def set_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, tag, node, keys) from (doc_id, text): the hash of the text, the hash of its shingle set, and the set's bands."""
+    """(doc_id, tag, node, fp) from (doc_id, text): the hash of the text, the hash of its shingle set, and its wide fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -388,38 +345,11 @@ def set_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for ids, texts in blocks(batches):
             sets = [shingle_set(t, shingle) for t in texts]
             tag = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64)
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "tag": tag.view(np.int64), "node": node.view(np.int64), "keys": pa.array([band_keys(s).tobytes() for s in sets], pa.binary())})
-
-    return docs.mapInArrow(run, "doc_id long, tag long, node long, keys binary")
-
-
-PAIR = np.dtype([("key", "<u8"), ("node", "<i8")])
-
-
-def band_stars(nodes: DataFrame, n: int) -> DataFrame:
-    """(u, v): a star for each component of what meets in a band, as one task sees it. nodes: n rows of (node, keys)."""
-    groups = max(4 * partitions(nodes.sparkSession), -(-n * BANDS * PAIR.itemsize >> 24))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                e = np.empty(part.num_rows * BANDS, PAIR)
-                e["key"] = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8")
-                e["node"] = np.repeat(part.column(0).to_numpy(), BANDS)
-                g = (e["key"] % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(g, kind="stable")
-                e, cut = e[order], np.flatnonzero(np.diff(g[order], prepend=-1, append=groups))
-                yield pa.RecordBatch.from_pydict({"g": pa.array(g[order][cut[:-1]]), "blob": pa.array([e[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
-
-    def link(group: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(b, PAIR) for b in group.column("blob").to_pylist()])
-        e = e[np.argsort(e["key"], kind="stable")]
-        at = np.flatnonzero(e["key"][1:] == e["key"][:-1])  # neighbours in a band
-        return _stars(e["node"][at], e["node"][at + 1])
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
+            fp = wide_fingerprints(sets)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "tag": tag.view(np.int64), "node": node.view(np.int64), "fp": pa.array([r.tobytes() for r in fp], pa.binary())})
 
-    return nodes.select("node", "keys").mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u long, v long")
+    return docs.mapInArrow(run, "doc_id long, tag long, node long, fp binary")
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -478,11 +408,11 @@ def similar_stars(held: DataFrame, n: int, key: list[str]) -> DataFrame:
 def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
     """(u, v): v is the smallest node of the component of links of similarity SIMILAR or more, for each u that isn't.
 
-    What meets in a band is proposed as one group; within a group all texts are compared by their shingle sets. Groups over BLOCK
+    What is proposed over the index is one group; within a group all texts are compared by their shingle sets. Groups over BLOCK
     texts are dealt in blocks, each with the group's smallest node; only what is not joined to that one by then is held against
-    the other blocks. nodes: (node, doc_id, tag, keys), the text of a node being that of the row (doc_id, tag).
+    the other blocks. nodes: (node, doc_id, tag, fp), the text of a node being that of the row (doc_id, tag).
     """
-    met = components(band_stars(nodes, nodes.count()))
+    met = components(wide_stars(nodes, nodes.count()))
     member = met.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(met.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     big = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks")).where("n_blocks > 1")
     member = member.join(F.broadcast(big), "root", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
@@ -525,7 +455,7 @@ def least_of_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     ensure_checkpoints(docs.sparkSession)
     rows = set_rows(id_text(docs), shingle)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    nodes = rows.groupBy("node").agg(F.min(row).alias("row"), F.first("keys").alias("keys")).select("node", "row", "row.doc_id", "row.tag", "keys").checkpoint()
+    nodes = rows.groupBy("node").agg(F.min(row).alias("row"), F.min("fp").alias("fp")).select("node", "row", "row.doc_id", "row.tag", "fp").checkpoint()
     stars = similar_components(docs, nodes, shingle).select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.select("node", "row").join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.doc_id", "row.tag")
 
@@ -537,8 +467,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all columns. Rows without an id can't be named as a copy and
     stay; of repeated rows (id and text) one stays, and of an id's different texts each is judged by itself."""
-    keep = least_of_similar(docs, shingle).select("doc_id", F.col("tag").alias("_tag"))
-    names = docs.columns
-    own = docs.where("doc_id is not null").withColumn("_tag", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    known = own.join(keep, ["doc_id", "_tag"], "left_semi").dropDuplicates(["doc_id", "_tag"])
-    return known.select(*names).unionByName(docs.where("doc_id is null").select(*names))
+    keep = least_of_similar(docs, shingle).select(F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tag"), F.struct("*").alias("row"))
+    known = rows.join(keep, (F.col("id") == F.col("keep_id")) & (F.col("tag") == F.col("keep_tag")), "left_semi")
+    # rows of one id and text are copies; one is chosen by its place, as rows may hold columns that can't be compared
+    known = known.groupBy("id", "tag").agg(F.any_value("row").alias("row"))
+    return known.select("row.*").unionByName(rows.where("id is null").select("row.*"))
