@@ -12,7 +12,7 @@ builds a segment, of a size that follows its number of items (`bits_per_item`),
 size. A model of at most `max_bits` bits and `max_words` words is broadcast. A larger one stays where it is: groups of documents
 send their distinct n-grams to the segments, and the segments send back levels and counts. Both ways give the same scores.
 
-Words are compared by 64-bit hashes. Defined results: a null or empty text is its end token alone; a null doc_id counts as the
+Words are compared by 64-bit hashes, pairs by their first word and 48 bits of a hash of both. Defined results: a null or empty text is its end token alone; a null doc_id counts as the
 text "" (held out); repeated rows are scored each and train each; a very long text is a block of its own; an empty table gives an
 empty table; extra columns are ignored. With no training rows N = V = 0 and the scores are log10((0 + 0.1) / 0.1) = 0 a token.
 """
@@ -30,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C3, WordHashes, blocks, ensure_checkpoints, id_text, mix, pair_hash, partitions
+from .common import C3, S32, WordHashes, blocks, ensure_checkpoints, id_text, mix, pair_hash, partitions
 from .repeat_groups import dealt, load
 
-END = np.uint64(0x5EED0FE4D)
+END, LOW48 = np.uint64(0x5EED0FE4D), np.uint64((1 << 48) - 1)
 SMOOTH = 0.1
 
 
@@ -94,24 +94,36 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def pair_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return pair_hash(before, token) & LOW48
+
+
 def pack_pairs(context: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows sorted by context."""
+    """Rows sorted by context; pairs take 6 bytes."""
     first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
     runs = np.diff(np.append(first, len(context))).astype("<u4")
-    return struct.pack("<I", len(first)) + context[first].astype("<u8").tobytes() + runs.tobytes() + pack(pair, counts)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    body = zstandard.ZstdCompressor(level=1).compress(runs.tobytes() + small.tobytes() + counts[counts >= 255].astype("<i8").tobytes())
+    keys = np.ascontiguousarray(pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return struct.pack("<II", len(first), len(pair)) + context[first].astype("<u8").tobytes() + keys.tobytes() + body
 
 
 def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = struct.unpack("<I", blob[:4])[0]
-    context, runs = np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-    return np.repeat(context, runs), *unpack(blob[4 + 12 * n :])
+    n, m = struct.unpack("<II", blob[:8])
+    context, at = np.frombuffer(blob, "<u8", n, 8), 8 + 8 * n
+    keys = np.zeros((m, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, at).reshape(m, 6)
+    body = zstandard.ZstdDecompressor().decompress(blob[at + 6 * m :])
+    counts = np.frombuffer(body, np.uint8, m, 4 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(body, "<i8", -1, 4 * n + m)
+    return np.repeat(context, np.frombuffer(body, "<u4", n)), keys.view("<u8").ravel(), counts
 
 
 def summed_pairs(context: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by context, then pair."""
     order = np.lexsort((pair, context))
     context, pair, counts = context[order], pair[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (context[1:] != context[:-1])))) if len(pair) else np.zeros(0, np.int64)
     return context[first], pair[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
@@ -154,9 +166,8 @@ def count_ngrams(docs: DataFrame, segments: int, flush: int = 2_000_000) -> Data
             token, start = tokens(train, hashes)
             before = contexts(token, start)
             single.append(np.unique(token, return_counts=True))
-            pair, first, counts = np.unique(pair_hash(before, token), return_index=True, return_counts=True)
-            double.append((before[first], pair, counts))
-            size += len(single[-1][0]) + len(pair)
+            double.append((before, pair_key(before, token), np.ones(len(token), np.int64)))
+            size += len(single[-1][0]) + len(token)
             if size > flush:
                 yield from out()
                 size = 0
@@ -175,61 +186,60 @@ def weight(q: np.ndarray) -> np.ndarray:
 
 
 def addresses(keys: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k-th bit of an item is at one + k * two (64 bits); a segment uses the low bits."""
+    """The k-th bit of an item is at one + k * two, of which the high 32 bits are scaled to the segment's size."""
     one = mix(keys ^ np.uint64(at_level * int(C3) & 0xFFFFFFFFFFFFFFFF))
     return one, mix(one) | np.uint64(1)
 
 
+def scaled(at: np.ndarray, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """Places below `bits` (under 2^32)."""
+    return (at >> S32) * bits >> S32
+
+
 def build_segment(counts: np.ndarray, keys: np.ndarray, settings: Settings) -> np.ndarray:
     q = level(counts)
-    bits = 1 << max(6, int(q.sum() * settings.bits_per_item - 1).bit_length())
-    out = np.zeros(bits // 8, np.uint8)
+    bits = 8 * max(8, -(-int(q.sum()) * settings.bits_per_item // 8))
+    out = np.zeros(bits, bool)
     for at_level in range(1, int(q.max(initial=0)) + 1):
         one, two = addresses(keys[q >= at_level], at_level)
         for k in range(settings.hashes):
-            p = ((one + np.uint64(k) * two) & np.uint64(bits - 1)).astype(np.int64)
-            flag = np.zeros(bits, bool)
-            flag[p] = True
-            out |= np.packbits(flag, bitorder="little")
-    return out
+            out[scaled(one + np.uint64(k) * two, np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
 
 
-def levels(bits: np.ndarray, base: np.ndarray, mask: np.ndarray, part: np.ndarray, keys: np.ndarray, hashes: int) -> np.ndarray:
-    """Quantised counts by probing level after level. A part's bits begin at byte base[part]; mask[part] is its size less 1, or 0."""
-    out, alive, q = np.zeros(len(keys), np.int64), np.flatnonzero(mask[part] > 0), 0
+def levels(bits: np.ndarray, base: np.ndarray, size: np.ndarray, part: np.ndarray, keys: np.ndarray, hashes: int) -> np.ndarray:
+    """Quantised counts by probing level after level. A part's bits begin at byte base[part]; size[part] is their number."""
+    out, alive, q = np.zeros(len(keys), np.int64), np.flatnonzero(size[part] > 0), 0
     while len(alive):
         q += 1
         one, two = addresses(keys[alive], q)
         own = part[alive]
         for k in range(hashes):
-            hit = _set(bits, base, mask, own, one + np.uint64(k) * two)
+            hit = _set(bits, base[own], size[own], one + np.uint64(k) * two)
             if not hit.all():
                 alive, one, two, own = alive[hit], one[hit], two[hit], own[hit]
         out[alive] = q
     return out
 
 
-def _set(bits: np.ndarray, base: np.ndarray, mask: np.ndarray, part: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at & mask[part]
-    return (bits[base[part] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+def _set(bits: np.ndarray, base: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = scaled(at, size)
+    return (bits[base + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 class Table:
-    """Exact numbers by word: its count, and the sum of weights and the number of the pairs that begin with it."""
-
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], begun: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.key, self.n = words
-        self.context, self.total, self.follow = begun
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = []
-        for known, values in ((self.key, self.n), (self.context, self.total), (self.context, self.follow)):
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                found.append(np.where(known[at] == keys, values[at], 0))
-            else:
-                found.append(np.zeros(len(keys), values.dtype))
-        return tuple(found)
+    """Exact numbers by word: its count, and the sum of weights and the number of the pairs that begin with it. Every word begins a
+    pair, as a text's last word is followed by the end; so one list of words does for all."""
+
+    def __init__(self, key: np.ndarray, *values: np.ndarray):
+        self.key, self.values = key, values
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(self.key):
+            return tuple(np.zeros(len(keys), v.dtype) for v in self.values)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        known = self.key[at] == keys
+        return tuple(np.where(known, v[at], 0) for v in self.values)
 
 
 @dataclass(frozen=True)
@@ -281,12 +291,12 @@ class Model:
         self.settings, self.segments, self.sums, self.table = settings, segments, sums, table
         size = np.array([len(parts.get(k, b"")) for k in range(2 * segments)], np.int64)
         self.base = np.cumsum(size) - size
-        self.mask = np.maximum(size * 8 - 1, 0).astype(np.uint64)
+        self.size = (size * 8).astype(np.uint64)
         self.bits = np.frombuffer(b"".join(parts.get(k, b"") for k in range(2 * segments)), np.uint8)
 
     def levels(self, words: np.ndarray, keys: np.ndarray, order: int) -> np.ndarray:
         """`order` 0: of words, 1: of pairs that begin with the words."""
-        return levels(self.bits, self.base, self.mask, segment_of(words, self.segments) + order * self.segments, keys, self.settings.hashes)
+        return levels(self.bits, self.base, self.size, segment_of(words, self.segments) + order * self.segments, keys, self.settings.hashes)
 
 
 class Lexicon(dict):
@@ -362,6 +372,12 @@ def joined(parts: list[tuple], empty: tuple[str, ...]) -> tuple[np.ndarray, ...]
 WORD, BEGUN = ("<u8", "<i8"), ("<u8", "<f8", "<i8")
 
 
+def tabled(words: list[tuple], begun: list[tuple]) -> Table:
+    """Lists of equal order by segment."""
+    (key, n), (_, total, follow) = joined(words, WORD), joined(begun, BEGUN)
+    return Table(key, n, total, follow.astype("<u4"))
+
+
 def train(docs: DataFrame, segments: int, settings: Settings = Settings()) -> tuple[DataFrame, Sums, bool]:
     """(a row for each segment as `build` makes it, sums over all, whether the model may be broadcast)"""
     kinds = [(f.split()[0], f.split()[1]) for f in BUILT.split(", ")]
@@ -379,19 +395,19 @@ def train(docs: DataFrame, segments: int, settings: Settings = Settings()) -> tu
 
 def gathered(built: DataFrame, segments: int, sums: Sums, settings: Settings) -> Model:
     """At most max_bits bits and max_words words."""
-    parts, words, begun = {}, [], []
-    for r in built.orderBy("part").select("part", "bits", "words", "begun").toLocalIterator():
+    parts, words, begun = {}, {}, {}
+    for r in built.select("part", "bits", "words", "begun").toLocalIterator():
         parts[r.part] = bytes(r.bits)
         if r.words is not None:
-            words.append(unpack(bytes(r.words)))
+            words[r.part] = unpack(bytes(r.words))
         else:
-            begun.append(unpack_begun(bytes(r.begun)))
-    return Model(settings, segments, parts, sums, Table(joined(words, WORD), joined(begun, BEGUN)))
+            begun[r.part] = unpack_begun(bytes(r.begun))
+    return Model(settings, segments, parts, sums, tabled(*([x[k] for k in sorted(x)] for x in (words, begun))))
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows, spark = id_text(docs, id_col, text_col), docs.sparkSession
-    segments = 1 << max(0, (4 * partitions(spark, docs) - 1).bit_length())
+    segments = 1 << max(0, (8 * partitions(spark, docs) - 1).bit_length())
     built, sums, small = train(rows, segments, settings)
     if not small:
         return _asked(docs, built, segments, sums, settings, id_col, text_col)
@@ -405,7 +421,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
             before = np.concatenate((token[:1], token[:-1]))
             before[start] = 0
             first = lexicon.words.hash[before]
-            found = m.levels(first, pair_hash(first, lexicon.words.hash[token]), 1)
+            found = m.levels(first, pair_key(first, lexicon.words.hash[token]), 1)
             yield pa.RecordBatch.from_arrays(columns(ids, lexicon.words, before, token, start, found, sums, settings), names=NAMES)
 
     return rows.mapInArrow(run, SCHEMA)
@@ -420,11 +436,12 @@ def _asked(docs: DataFrame, built: DataFrame, segments: int, sums: Sums, setting
         token, start = tokens(texts, WordHashes())
         word, place = np.unique(token, return_inverse=True)
         before = contexts(token, start)
-        pair, first, pair_place = np.unique(pair_hash(before, token), return_index=True, return_inverse=True)
-        order = np.lexsort((pair, before[first]))
+        pair = pair_key(before, token)
+        order = np.lexsort((pair, before))
+        new = np.concatenate(([True], (pair[order[1:]] != pair[order[:-1]]) | (before[order[1:]] != before[order[:-1]])))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return word, place, start, before[first][order], pair[order], rank[pair_place]
+        rank[order] = np.cumsum(new) - 1
+        return word, place, start, before[order[new]], pair[order[new]], rank
 
     def ask(group: pa.Table) -> pa.Table:
         word, _, _, context, pair, _ = questions(load(group)[1])
@@ -439,15 +456,17 @@ def _asked(docs: DataFrame, built: DataFrame, segments: int, sums: Sums, setting
         part = asked.column("part")[0].as_py() if asked.num_rows else 0
         row = own.select(["bits", "words", "begun"]).to_pylist()[0] if own.num_rows else None
         bits = np.frombuffer(row["bits"], np.uint8) if row else np.zeros(0, np.uint8)
-        base, mask = np.zeros(1, np.int64), np.array([max(8 * len(bits) - 1, 0)], np.uint64)
-        table = Table(unpack(row["words"]) if row and row["words"] is not None else joined([], WORD), unpack_begun(row["begun"]) if row and row["begun"] is not None else joined([], BEGUN))
-        probe = lambda keys: levels(bits, base, mask, np.zeros(len(keys), np.int64), keys, settings.hashes)
+        base, size = np.zeros(1, np.int64), np.array([8 * len(bits)], np.uint64)
+        key, n = unpack(row["words"]) if row and row["words"] is not None else joined([], WORD)
+        context, total, follow = unpack_begun(row["begun"]) if row and row["begun"] is not None else joined([], BEGUN)
+        counts, begun = Table(key, n), Table(context, total, follow)
+        probe = lambda keys: levels(bits, base, size, np.zeros(len(keys), np.int64), keys, settings.hashes)
         for word, pairs in zip(asked.column("word").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
             keys = np.frombuffer(word, "<u8")
-            count, total, follow = table.of(keys)
             if pairs is None:
-                out.append(count.astype("<i8").tobytes() + probe(keys).astype("<i8").tobytes())
+                out.append(counts.of(keys)[0].astype("<i8").tobytes() + probe(keys).astype("<i8").tobytes())
             else:
+                total, follow = begun.of(keys)
                 out.append(total.astype("<f8").tobytes() + follow.astype("<i8").tobytes() + probe(np.frombuffer(pairs, "<u8")[len(pairs) // 16 :]).astype("<i8").tobytes())
         return pa.Table.from_arrays([asked.column("p").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["p", "part", "blob"])
 
