@@ -144,6 +144,16 @@ def neighbour_prefix(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def shared_bytes(suffixes: np.ndarray, low: bytes | None, high: bytes | None) -> np.ndarray:
+    """Leading bytes that each suffix has in common with one of the splitters around its bucket."""
+    out = np.zeros(len(suffixes), np.int64)
+    for edge in (low, high):
+        if edge is not None:
+            differ = suffixes != np.frombuffer(edge[:RIGHT].ljust(RIGHT, b"\0"), np.uint8)
+            out = np.maximum(out, np.where(differ.any(axis=1), differ.argmax(axis=1), RIGHT))
+    return out
+
+
 class Classes:
     """The windows of distinct records: for each number d of bytes before the anchor, which are equal. `low` and `high` are the
     splitters around the bucket (None at either end)."""
@@ -161,12 +171,7 @@ class Classes:
         self.before[:1] = -1
         self.alone = np.bincount(anchor, minlength=1)[anchor] < 2
         self.least, self.most = records[:, LEFT + RIGHT].astype(np.int64), records[:, LEFT + RIGHT + 1].astype(np.int64)
-        shared = np.zeros(len(records), np.int64)
-        for edge in (low, high):
-            if edge is not None:
-                differ = self.right != np.frombuffer(edge[:RIGHT].ljust(RIGHT, b"\0"), np.uint8)
-                shared = np.maximum(shared, np.where(differ.any(axis=1), differ.argmax(axis=1), RIGHT))
-        self.shared = shared  # leading bytes that a record has in common with a splitter
+        self.shared = shared_bytes(self.right, low, high)
 
     def each(self, local: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(d, records, begins of their classes, smallest id of each class); records in order of class. Local classes of one
@@ -293,24 +298,27 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         p = group.column("p")[0].as_py()
         return pa.Table.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "p": pa.array([p] * len(out["bucket"]), pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
-    def opened(group: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, Classes]:
+    def unpacked_parts(group: pa.Table) -> tuple[list, np.ndarray, np.ndarray, bytes | None, bytes | None]:
         parts = [unpacked(b, "u1", "<i8", "<u4", "<u4", "<u4", "u1") for b in group.column("blob").to_pylist()]
         records = np.concatenate([x[0].reshape(-1, LEFT + RIGHT + 4) for x in parts])
-        doc = np.concatenate([x[1] for x in parts])
-        own, kind = distinct_records(records, doc)  # the copy with the smallest id
         b = group.column("bucket")[0].as_py()
-        low, high = (cuts[b - 1] if b else None), (cuts[b] if b < len(cuts) else None)
-        return parts, records, own, kind, Classes(records[own], doc[own], low, high)
+        return parts, records, np.concatenate([x[1] for x in parts]), cuts[b - 1] if b else None, cuts[b] if b < len(cuts) else None
 
     def compare(group: pa.Table) -> pa.Table:
-        found, ids = opened(group)[-1].crossing()
+        _, records, doc, low, high = unpacked_parts(group)
+        near = shared_bytes(records[:, LEFT : LEFT + RIGHT], low, high) >= K  # no other record is in a class that crosses
+        records, doc = records[near], doc[near]
+        own, _ = distinct_records(records, doc)
+        found, ids = Classes(records[own], doc[own], low, high).crossing()
         return pa.Table.from_pydict({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(ids), pa.int32()), "window": pa.array(found, pa.binary()), "least": pa.array(ids, pa.int64())})
 
     def decide(group: pa.Table, crossed: pa.Table) -> pa.Table:
         if not group.num_rows:
             return blob.empty_table()
-        parts, records, own, kind, classes = opened(group)
-        doc = classes.doc
+        parts, records, doc, low, high = unpacked_parts(group)
+        own, kind = distinct_records(records, doc)  # the copy with the smallest id
+        doc = doc[own]
+        classes = Classes(records[own], doc, low, high)
         pattern = classes.removable(dict(zip(crossed.column("window").to_pylist(), crossed.column("least").to_pylist(), strict=True)))
         low, high = records[own, LEFT + RIGHT].astype(np.int64), records[own, LEFT + RIGHT + 1].astype(np.int64)
         edges = np.diff(np.pad(pattern.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -338,8 +346,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         cover = np.zeros(int(size.sum()) + len(size) + 1, np.int32)
         for b in reply.column("blob").to_pylist():
             d, s, e = unpacked(b, "<u4", "<u4", "<u4")
-            cover += np.bincount(start[d] + s, minlength=len(cover)).astype(np.int32)
-            cover -= np.bincount(start[d] + e, minlength=len(cover)).astype(np.int32)
+            np.add.at(cover, start[d] + s, np.int32(1))
+            np.add.at(cover, start[d] + e, np.int32(-1))
         gone = np.cumsum(cover) > 0
         out = []
         for i, t, a in zip(ids, texts, start.tolist(), strict=True):
