@@ -31,6 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import C1, blocks, ensure_checkpoints, id_text, mix, partitions
@@ -176,10 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
 
-    def small_star(e: DataFrame) -> DataFrame:  # u > v in each row
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    def small_star(e: DataFrame) -> DataFrame:  # u > v in each row; a node has few smaller neighbours, so they fit a window
+        low = F.min("v").over(W.partitionBy("u"))
+        return e.select(F.when(F.col("v") > low, F.col("v")).otherwise(F.col("u")).alias("u"), low.alias("v")).distinct()
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -275,26 +275,34 @@ def spanning(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a or [left]), np.concatenate(b or [left])
 
 
-def wide_links(fp: np.ndarray, run: np.ndarray, pair_limit: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of links that join the components of each run; fp [node, word] sorted by run."""
-    none = np.zeros(0, np.int64)
+def wide_roots(fp: np.ndarray, run: np.ndarray, place: np.ndarray, pair_limit: int = 64) -> np.ndarray:
+    """Smallest node of the component of each of the nodes 0..max(place); entries (fp [entry, word], place of its node) are sorted by
+    run, and proposed pairs of a run are links. Pairs that are joined already are not looked at, so copies cost next to nothing."""
+    n = int(place.max(initial=-1)) + 1
+    root = np.arange(n)
+
+    def join(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return local_roots(n, root[place[i]], root[place[j]])[root] if len(i) else root
+
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(run)), bool), run[1:] != run[:-1])))
     size = np.diff(np.append(first, len(run)))
     of, end = np.repeat(size, size), np.repeat(first + size, size)
-    small, left, right = np.flatnonzero((of > 1) & (of <= pair_limit)), [], []
+    small = np.flatnonzero((of > 1) & (of <= pair_limit))
     step = 1
     while len(small):
         small = small[small + step < end[small]]
-        for part in (small[k : k + (1 << 18)] for k in range(0, len(small), 1 << 18)):
-            own = part[linked(fp[part] ^ fp[part + step])]
-            left.append(own)
-            right.append(own + step)
+        apart = small[root[place[small]] != root[place[small + step]]]
+        found = [part[linked(fp[part] ^ fp[part + step])] for part in (apart[k : k + (1 << 17)] for k in range(0, len(apart), 1 << 17))]
+        if found:
+            own = np.concatenate(found)
+            root = join(own, own + step)
         step += 1
     for at, m in zip(first[size > pair_limit].tolist(), size[size > pair_limit].tolist(), strict=True):
-        a, b = spanning(fp[at : at + m])
-        left.append(at + a)
-        right.append(at + b)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+        _, one = np.unique(root[place[at : at + m]], return_index=True)
+        if len(one) > 1:
+            a, b = spanning(fp[at : at + m])
+            root = join(at + a, at + b)
+    return root
 
 
 ENTRY = np.dtype([("kind", "u1"), ("node", "<i8"), ("fp", "<u8", (WORDS,))])
@@ -304,7 +312,7 @@ def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
     """(u, v): a star of nodes for each component that one task of the index sees. nodes: n rows of (node, fp); n sizes the tasks."""
     masks = np.array([sum(0xFF << 8 * p for p in c) for c in combinations(range(8), WIDTH)], np.uint64)
     kinds = WORDS * len(masks)
-    groups = max(4 * partitions(nodes.sparkSession), -(-n * kinds * ENTRY.itemsize >> 24))
+    groups = max(partitions(nodes.sparkSession), -(-n * kinds * ENTRY.itemsize >> 22))  # of 4 MB: few groups make few, large stars
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +333,10 @@ def wide_stars(nodes: DataFrame, n: int) -> DataFrame:
         key = e["fp"][np.arange(len(e)), kind // len(masks)] & masks[kind % len(masks)]
         order = np.lexsort((key, kind))
         fp, node, key, kind = np.ascontiguousarray(e["fp"][order]), e["node"][order], key[order], kind[order]
-        a, b = wide_links(fp, np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))))
-        return _stars(node[a], node[b])
+        distinct, place = np.unique(node, return_inverse=True)
+        root = wide_roots(fp, np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))), place)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return pa.Table.from_pydict({"u": distinct[own], "v": distinct[root[own]]})
 
     return nodes.select("node", "fp").mapInArrow(entries, "g long, blob binary").groupBy("g").applyInArrow(link, "u long, v long")
 

@@ -659,7 +659,7 @@ def test_wide_links_join_what_all_pairs_join(spark, n):
     want = simhash_neardup.local_roots(len(fp), a[ok], b[ok])
     for limit in (8, 10_000):
         if n * limit < 1_000_000:
-            assert (simhash_neardup.local_roots(len(fp), *simhash_neardup.wide_links(fp, np.zeros(len(fp), np.int64), limit)) == want).all()
+            assert (simhash_neardup.wide_roots(fp, np.zeros(len(fp), np.int64), np.arange(len(fp)), limit) == want).all()
     nodes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(fp)], "node long, fp binary").repartition(3)
     root = {x.u: x.v for x in simhash_neardup.components(simhash_neardup.wide_stars(nodes, len(fp))).collect()}
     assert [root.get(k, k) for k in range(len(fp))] == want.tolist()
