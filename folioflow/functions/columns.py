@@ -7,6 +7,7 @@ from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the layout rules.
 TOLERANCE_IN = 0.005
@@ -15,6 +16,7 @@ SLIDE_W, SLIDE_H = 13.333, 7.5
 FONT_SIZE_RULES = {"body": (10.0, 11.0), "caption": (8.0, 10.0), "card-title": (12.0, 14.0), "card-metric": (20.0, 28.0), "title": (16.0, 18.0), "heading": (16.0, 18.0), "metric": (24.0, 32.0)}
 LINE_HEIGHT_RULES = {"body": (1.0, 1.35), "caption": (1.0, 1.35), "card-title": (1.0, 1.15), "card-metric": (0.9, 1.0), "title": (0.95, 1.1), "heading": (0.95, 1.1), "metric": (0.9, 1.0)}
 CONTRAST_RULES = {"body": (3.0, 4.5), "caption": (3.0, 4.5), "title": (3.0, 3.0), "heading": (3.0, 3.0), "metric": (3.0, 3.0)}
+SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 CJK = "[\\x{3000}-\\x{303F}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{FF00}-\\x{FFEF}]"
 EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F000}-\\x{1F1FF}]"
 
@@ -61,12 +63,18 @@ class Rect:
         dy = F.greatest(F.lit(0.0), F.greatest(self.y, o.y) - F.least(self.bottom, o.bottom))
         return F.hypot(dx, dy)
 
+    def meets(self, o: Rect) -> Column:
+        """They share more than an edge."""
+        return (self.x < o.right) & (o.x < self.right) & (self.y < o.bottom) & (o.y < self.bottom)
+
     def contains(self, o: Rect, slack: float = 0.01) -> Column:
         return (o.x >= self.x - slack) & (o.y >= self.y - slack) & (o.right <= self.right + slack) & (o.bottom <= self.bottom + slack)
 
-    def outside(self, width: float = SLIDE_W, height: float = SLIDE_H, slack: float = TOLERANCE_IN) -> Column:
-        """lines may have negative extents."""
-        return (F.least(self.x, self.right) < -slack) | (F.least(self.y, self.bottom) < -slack) | (F.greatest(self.x, self.right) > width + slack) | (F.greatest(self.y, self.bottom) > height + slack)
+    def outside(self, width: float = SLIDE_W, height: float = SLIDE_H, slack: float = TOLERANCE_IN, line: Column | None = None) -> Column:
+        """lines may have negative extents (`line`: whether it is one; unknown: any may)."""
+        ends = [(F.least(a, b), F.greatest(a, b), a, b) for a, b in ((self.x, self.right), (self.y, self.bottom))]
+        low, high = ([e[k] if line is None else F.when(line, e[k]).otherwise(e[k + 2]) for e in ends] for k in (0, 1))
+        return (low[0] < -slack) | (low[1] < -slack) | (high[0] > width + slack) | (high[1] > height + slack)
 
     def outside_strict(self, width: float = SLIDE_W, height: float = SLIDE_H) -> Column:
         """no tolerance, extents must be positive."""
@@ -80,7 +88,7 @@ class Rect:
     def anchor_toward(self, o: Rect) -> Column:
         """Middle of the side that faces the other rectangle."""
         dx, dy = (o.x + o.w / 2) - (self.x + self.w / 2), (o.y + o.h / 2) - (self.y + self.h / 2)
-        flat = F.abs(dx) >= F.abs(dy)
+        flat = F.abs(dx) > F.abs(dy)
         px = F.when(flat, F.when(dx >= 0, self.right).otherwise(self.x)).otherwise(self.x + self.w / 2)
         py = F.when(flat, self.y + self.h / 2).otherwise(F.when(dy >= 0, self.bottom).otherwise(self.y))
         return F.struct(px.alias("x"), py.alias("y"))
@@ -184,11 +192,12 @@ def wrapped_height(text: Column, width: Column, font_size: Column, line_height:
 
 def normal_space(v: Column) -> Column:
     """P16"""
-    return F.trim(F.regexp_replace(v, r"[ \t\n\r\f\x0B\u00A0]+", " "))
+    return F.trim(F.regexp_replace(v, SPACE + "+", " "))
 
 
 def without_bullet(v: Column) -> Column:
-    return F.regexp_replace(normal_space(v), "^[\u2022\u00b7\\-*]\\s*", "")
+    """A bullet that begins the text, and the space after it, before space is normalised."""
+    return normal_space(F.regexp_replace(v, "^[\u2022\u00b7-]" + SPACE + "*", ""))
 
 
 def has_emoji(v: Column) -> Column:
@@ -200,6 +209,32 @@ def all_caps(v: Column) -> Column:
     return v.rlike("[A-Z]") & (v == F.upper(v))
 
 
+def shouts(text: Column, stroke: Column, shadow: Column) -> Column:
+    """All capitals with both a stroke and a shadow; "none" and "" are neither."""
+    is_set = lambda v: F.coalesce((v != "none") & (v != ""), F.lit(False))
+    return F.coalesce(all_caps(text), F.lit(False)) & is_set(stroke) & is_set(shadow)
+
+
+#: English phrases that are often bolted onto Chinese titles.
+RHETORIC = ("the future of", "unlock the power of", "elevate your", "in today's world", "in the age of", "next-generation", "next gen", "world-class", "best-in-class", "cutting-edge", "revolutionary", "transform your", "supercharge", "game-changing", "delight your", "innovative solutions", "synergy", "leverage", "paradigm shift", "disrupt")
+
+
+def bolted_rhetoric(role: Column, text: Column) -> Column:
+    """A title or subtitle with Chinese characters and one of the phrases."""
+    return F.coalesce(role.isin("title", "subtitle") & text.rlike("[\\x{4E00}-\\x{9FFF}]") & text.rlike(rf"(?i)\b({'|'.join(RHETORIC)})\b"), F.lit(False))
+
+
+#: The named radii.
+RADII = ("none", "sm", "md", "lg", "xl", "full")
+
+
+def radius_token(*styles: Column) -> Column:
+    """The first named radius in some style values (border radius, radius, component, fill), else a border radius in figures."""
+    named = [F.nullif(F.regexp_extract(v, rf"(rounded\.(?:{'|'.join(RADII)}))", 1), F.lit("")) for v in styles]
+    figures = F.when(F.trim(styles[0]).rlike(r"^\d"), F.trim(styles[0]))
+    return F.coalesce(*named, figures)
+
+
 def has_gradient(v: Column) -> Column:
     return v.rlike(r"(?i)(linear|radial|conic)-gradient\s*\(")
 
@@ -229,15 +264,30 @@ def level_report(text: Column, shape: Column, image: Column, table: Column, crop
 
 
 def tone(level: Column, drift: Column, palette: Column, slop: Column) -> Column:
-    """A tone for each reading; null readings have none."""
+    """A tone for each reading, pass, warn or fail; null readings warn."""
+    of = lambda v, good, fair: F.when(v.isNull(), "warn").when(good, "pass").when(fair, "warn").otherwise("fail")
     return F.struct(
-        F.when(level >= 4, "good").when(level >= 3, "warn").when(level.isNotNull(), "bad").alias("level"),
-        F.when(drift <= 1, "good").when(drift <= 3, "warn").when(drift.isNotNull(), "bad").alias("drift"),
-        F.when(palette >= 0.85, "good").when(palette >= 0.7, "warn").when(palette.isNotNull(), "bad").alias("palette"),
-        F.when(slop >= 75, "fail").when(slop >= 40, "warn").when(slop.isNotNull(), "good").alias("slop"),
+        of(level, level >= 4, level == 3).alias("level"),
+        of(drift, drift <= 1, drift <= 3).alias("drift"),
+        of(palette, palette >= 0.85, palette >= 0.7).alias("palette"),
+        of(slop, slop < 40, slop < 75).alias("slop"),
     )
 
 
+def kind_tone(n_critical: Column, n_warning: Column) -> Column:
+    """Of the findings of one kind."""
+    return F.when(n_critical > 0, "fail").when(n_warning > 0, "warn").otherwise("pass")
+
+
+def safety_tone(status: Column) -> Column:
+    return F.when(status == "passed", "pass").when(status == "violated-blocked", "fail").otherwise("warn")
+
+
+def floor_tone(satisfied: Column) -> Column:
+    """`satisfied`: true, with-justification or false, as text."""
+    return F.when(satisfied.isNull() | (satisfied == "with-justification"), "warn").when(satisfied == "true", "pass").otherwise("fail")
+
+
 def diff_verdict(mean: Column) -> Column:
     """P25"""
     return F.when(mean < 12, "close").when(mean < 40, "moderate").otherwise("divergent")
@@ -251,6 +301,39 @@ def suggest(palette: Column, rules: Sequence[tuple[str, Sequence[str]]], default
     return out
 
 
+#: Design systems by the colours that tell of them, the first that meets the palette.
+DESIGNS = (("business-neutral", ("#2563EB", "#1D4ED8", "#3B82F6")), ("dark-tech", ("#0F172A", "#111827", "#1E293B")))
+
+
+def suggest_design(palette: Column) -> Column:
+    """Of colours as #RRGGBB."""
+    return suggest(F.transform(palette, F.upper), DESIGNS, "business-neutral")
+
+
+#: Layout patterns by slide role, and component types by region role.
+ROLE_LAYOUTS = {"cover": "hero", "architecture": "architecture-layered", "process": "process-flow", "metrics": "metrics-dashboard", "comparison": "comparison-matrix", "roadmap": "roadmap", "summary": "executive-summary"}
+ROLE_COMPONENTS = {"headline": "textBlock", "metric": "metric", "diagram": "semanticDiagram", "chart": "nativeChart"}
+
+
+def layout_pattern(slide_role: Column, role: Column) -> Column:
+    """Of the slide role, else the role, else summary."""
+    own = F.coalesce(F.nullif(slide_role, F.lit("")), F.nullif(role, F.lit("")), F.lit("summary"))
+    return mapped(own, ROLE_LAYOUTS, "executive-summary")
+
+
+def component_type(region_role: Column) -> Column:
+    """P29"""
+    return mapped(region_role, ROLE_COMPONENTS, "card")
+
+
+def layout_mode(markers: Column, containers: Column, archetype: Column, force: str | None = None) -> Column:
+    """Measured, auto-layout or hybrid. A known archetype decides for measured where there are markers."""
+    if force:
+        return F.lit(force)
+    both = (markers > 0) & (containers > 0)
+    return F.when(archetype.isNotNull() & (markers > 0), "measured").when(both, "hybrid").when(markers > 0, "measured").otherwise("auto-layout")
+
+
 def ocr_kind(confidence: Column, least: float = 0.7) -> Column:
     """P27"""
     return F.when(confidence >= least, "editable").otherwise("cropped")
@@ -286,9 +369,22 @@ def is_wide(width: Column, height: Column, least: float = 1.6) -> Column:
     return F.coalesce(F.try_divide(width, height) >= least, F.lit(False))
 
 
-def sorted_json(m: Column) -> Column:
-    """A map as JSON with its keys in order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+def key_sorted(v: Column, kind: T.DataType) -> Column:
+    """Fields of structs and keys of maps in order, at every depth; arrays keep theirs."""
+    if isinstance(kind, T.StructType):
+        return F.when(v.isNotNull(), F.struct(*[key_sorted(v[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(v, lambda x: key_sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        entries = F.array_sort(F.map_entries(v), order)
+        return F.map_from_arrays(F.transform(entries, lambda e: e["key"]), F.transform(entries, lambda e: key_sorted(e["value"], kind.valueType)))
+    return v
+
+
+def sorted_json(v: Column, kind: T.DataType) -> Column:
+    """A struct, map or array as JSON with all keys in order."""
+    return F.to_json(key_sorted(v, kind))
 
 
 def clamp(v: Column, low: float, high: float) -> Column:

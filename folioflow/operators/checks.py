@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import marks
 
-FINDING = ["kind", "severity"]
+CELL, MANY = 2.0, 64  # inches of a cell of the overlap grid; cells over which an element counts as wide
 
 
 def pairs(elements: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
@@ -20,28 +23,47 @@ def pairs(elements: DataFrame, keys: list[str], keep: Column | None = None) -> D
     return a.join(b, same & (F.col("a.ord") < F.col("b.ord")))
 
 
+CARD, SURFACE = "card", "card|panel|container|surface"  # fixed values
+
+
+def named_like(pattern: str, *cols: str) -> Column:
+    """A shape whose id or other names hold one of some words."""
+    return (F.col("type") == "shape") & F.lower(F.concat_ws(" ", *cols)).rlike(pattern)
+
+
 def overlap_pairs(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """J01"""
-    keep = (F.col("type") != "line") & ~C.is_decoration(F.col("role"), F.col("id"))
+    """What lies within a container's surface overlaps it on purpose; what is within anything else doesn't.
+
+    Pairs are looked for in cells of CELL inches, so a slide with very many elements is not one run of all pairs; a pair counts in
+    the cell of its common top left corner only. What covers more than MANY cells is held against all others of its slide.
+    """
+    own = ["component"] if "component" in elements.columns else []
+    keep = (F.col("type") != "line") & ~C.is_decoration(F.col("role"), F.col("id")) & (F.col("w") > 0) & (F.col("h") > 0)
+    e = elements.where(keep).withColumn("surface", named_like(SURFACE, "id", "role", *own))
+    first, last = ([F.floor(v / CELL) for v in pair] for pair in ((F.col("x"), F.col("y")), (F.col("x") + F.col("w"), F.col("y") + F.col("h"))))
+    e = e.select(*keys, "ord", "id", *"xywh", "surface").withColumn("wide", (last[0] - first[0] + 1) * (last[1] - first[1] + 1) > MANY)
+    cells = F.flatten(F.transform(F.sequence(first[0], last[0]), lambda a: F.transform(F.sequence(first[1], last[1]), lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
+    dealt = e.where("not wide").select("*", F.inline(cells))
+    wide = e.where("wide")
     a, b = C.Rect("a"), C.Rect("b")
-    hit = pairs(elements, keys, keep).where((a.x < b.right) & (b.x < a.right) & (a.y < b.bottom) & (b.y < a.bottom) & ~a.contains(b) & ~b.contains(a) & (a.share(b) > C.OVERLAP_SHARE))
-    return hit.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), C.half_up(a.share(b), 4).alias("ratio"))
+    same = reduce(lambda x, k: x & (F.col(f"a.{k}") == F.col(f"b.{k}")), keys, F.lit(True))
+    home = (F.floor(F.greatest(a.x, b.x) / CELL) == F.col("a.cx")) & (F.floor(F.greatest(a.y, b.y) / CELL) == F.col("a.cy"))
+    meant = (F.col("a.surface") & a.contains(b)) | (F.col("b.surface") & b.contains(a))
+    hit = a.meets(b) & ~meant & (a.share(b) > C.OVERLAP_SHARE)
+    cols = lambda one, two: [*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"{one}.ord").alias("a_ord"), F.col(f"{two}.ord").alias("b_ord"), F.col(f"{one}.id").alias("a_id"), F.col(f"{two}.id").alias("b_id"), C.half_up(a.share(b), 4).alias("ratio")]
+    near = dealt.alias("a").join(dealt.alias("b"), same & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.ord") < F.col("b.ord"))).where(home & hit).select(*cols("a", "b"))
+    big = wide.alias("a").join(e.alias("b"), same & (F.col("a.ord") != F.col("b.ord"))).where((~F.col("b.wide") | (F.col("a.ord") < F.col("b.ord"))) & hit)
+    early, late = big.where("a.ord < b.ord").select(*cols("a", "b")), big.where("a.ord > b.ord").select(*cols("b", "a"))
+    return near.unionByName(early).unionByName(late)
 
 
 def spacing_pairs(elements: DataFrame, keys: list[str], spacing: float = 0.5) -> DataFrame:
-    """A spacing over 2 is in points."""
+    """Cards (shapes named so) that don't overlap and are nearer than `spacing`; a spacing over 2 is in points."""
     least = spacing / 72 if spacing > 2 else spacing
+    own = ["component"] if "component" in elements.columns else []
     a, b = C.Rect("a"), C.Rect("b")
-    near = pairs(elements, keys, F.col("type") == "shape").where((a.overlap(b) <= 0) & (a.gap(b) < least))
-    return near.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), C.half_up(a.gap(b), 4).alias("gap"))
-
-
-def node_overlaps(nodes: DataFrame, key: str) -> DataFrame:
-    """Nodes (key, ord, path, x, y, w, h), neither an ancestor of the other, over 4 square units and 1 %."""
-    a, b = C.Rect("a"), C.Rect("b")
-    kin = F.startswith(F.col("b.path"), F.concat(F.col("a.path"), F.lit("/"))) | F.startswith(F.col("a.path"), F.concat(F.col("b.path"), F.lit("/")))
-    hit = pairs(nodes, [key]).where(~kin & (a.overlap(b) > 4) & (a.share(b) > 0.01))
-    return hit.select(F.col(f"a.{key}").alias(key), F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), C.half_up(a.share(b), 4).alias("ratio"))
+    near = pairs(elements, keys, named_like(CARD, "id", *own)).where(~a.meets(b) & (a.gap(b) < least))
+    return near.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), C.half_up(a.gap(b), 4).alias("gap"))
 
 
 def bounds(elements: DataFrame) -> DataFrame:
@@ -69,65 +91,47 @@ def letter_spacing(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("role_bucket").isin("body", "caption") & (F.col("letter_spacing") < least))
 
 
-def overflow_severity(mode: str) -> str:
-    """F05, I02"""
-    return "warning" if mode == "replica" else "critical"
-
+def connectors(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (source_id, target_id) with `status`, `severity`, the `related` id and a `suggestion`.
 
-def connectors(elements: DataFrame, key: str) -> DataFrame:
-    """Lines (source_ord, target_ord) with their ends; of duplicate ids the last wins."""
-    boxes = elements.groupBy(key, "ord").agg(F.max_by(F.struct("x", "y", "w", "h"), "ord").alias("box"))
+    Ends are found by id in the slide; of duplicate ids the last wins. Lines without either id are judged only if they are named
+    connector or arrow: their ends can't be verified (warning). A missing or untouched end is critical; with both ends there, the
+    line between the facing sides is suggested.
+    """
+    boxes = elements.where(F.coalesce("id", F.lit("")) != "").groupBy(*keys, "id").agg(F.max_by(F.struct("x", "y", "w", "h"), "ord").alias("box"))
     lines = elements.where("type = 'line'")
-    s = boxes.select(F.col(key), F.col("ord").alias("source_ord"), F.col("box").alias("source"))
-    t = boxes.select(F.col(key), F.col("ord").alias("target_ord"), F.col("box").alias("target"))
-    both = lines.join(s, [key, "source_ord"], "left").join(t, [key, "target_ord"], "left")
-    start = C.Rect("source").touched_by(F.col("x"), F.col("y"))
-    end = C.Rect("target").touched_by(F.col("x") + F.col("w"), F.col("y") + F.col("h"))
-    status = F.when(F.col("source").isNull(), "missing-source").when(F.col("target").isNull(), "missing-target").when(~start | ~end, "detached").otherwise("attached")
-    return both.withColumn("status", status)
-
-
-def structure_issues(elements: DataFrame) -> DataFrame:
-    """the first broken rule of each element's type, by rule order; elements in order have none."""
-    c = F.col
-    rules = [
-        ("text needs text", (c("type") == "text") & (F.coalesce(F.trim("text"), F.lit("")) == "")),
-        ("shape needs a shape", (c("type") == "shape") & c("shape").isNull()),
-        ("image needs a source", c("type").isin("image", "cropped-asset") & c("src").isNull()),
-        ("table needs headers or rows", (c("type") == "table") & (F.coalesce(F.size("rows"), F.lit(0)) == 0) & (F.coalesce(F.size("headers"), F.lit(0)) == 0)),
-        ("chart needs data", (c("type") == "chart") & (F.coalesce(F.size("data"), F.lit(0)) == 0)),
-        ("icon needs a name", (c("type") == "icon") & c("name").isNull()),
-        ("diagram needs a kind", (c("type") == "diagram") & c("kind").isNull()),
-        ("unknown type", ~c("type").isin("text", "shape", "image", "table", "line", "chart", "icon", "diagram", "cropped-asset")),
-    ]
-    broken = F.filter(F.array(*[F.when(test, F.lit(text)) for text, test in rules]), lambda x: x.isNotNull())
-    return elements.withColumn("violations", broken).withColumn("first_violation", F.try_element_at("violations", F.lit(1))).where(F.size("violations") > 0)
-
-
-def critic_rules(elements: DataFrame) -> DataFrame:
-    """dominant empty containers, crowded chart labels, missing descriptions, empty diagram layers."""
+    ends = [boxes.select(*keys, F.col("id").alias(f"{end}_id"), F.col("box").alias(end)) for end in ("source", "target")]
+    both = lines.join(ends[0], [*keys, "source_id"], "left").join(ends[1], [*keys, "target_id"], "left")
+    s, t = C.Rect("source"), C.Rect("target")
+    start, stop = s.touched_by(F.col("x"), F.col("y")), t.touched_by(F.col("x") + F.col("w"), F.col("y") + F.col("h"))
+    bare = (F.coalesce("source_id", F.lit("")) == "") & (F.coalesce("target_id", F.lit("")) == "")
+    status = F.when(bare & F.coalesce(F.lower("id").rlike("connector|arrow"), F.lit(False)), "unverified").when(bare, "plain")
+    status = status.when(F.col("source").isNull(), "missing-source").when(F.col("target").isNull(), "missing-target").when(~start | ~stop, "detached").otherwise("attached")
+    a, b = s.anchor_toward(t), t.anchor_toward(s)
+    line = F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("w"), (b["y"] - a["y"]).alias("h"))
+    out = both.withColumn("status", status)
+    return out.select("*", F.when(F.col("status") == "unverified", "warning").when(~F.col("status").isin("attached", "plain"), "critical").alias("severity"), F.when(F.col("status") == "missing-source", F.col("source_id")).when(F.col("status").isin("missing-target", "detached"), F.col("target_id")).alias("related"), F.when(F.col("status") == "detached", line).alias("suggestion"))
+
+
+def critic_rules(elements: DataFrame, keys: list[str], width: float = C.SLIDE_W, height: float = C.SLIDE_H) -> DataFrame:
+    """(keys, ord, id, issue, severity) of dominant empty containers, crowded chart labels, missing descriptions and
+    layered diagrams without layers."""
     c, r = F.col, C.Rect()
-    bare = (F.coalesce(c("text"), F.lit("")) == "") & c("role").isNull() & ~F.coalesce(F.lower("id").rlike("background|canvas|card|panel"), F.lit(False))
+    bare = (F.coalesce(c("text"), F.lit("")) == "") & (F.coalesce(c("role"), F.lit("")) == "") & ~F.coalesce(F.lower("id").rlike("background|backdrop|canvas"), F.lit(False))
+    plain = F.coalesce("description", F.lit("")) == ""
+    layers = F.coalesce("layers", "lanes")
+    row = lambda test, issue, severity: F.when(test, F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity")))
     found = F.array(
-        F.when((c("type") == "shape") & (r.w * r.h >= 0.7 * C.SLIDE_W * C.SLIDE_H) & bare, "dominant-empty-container"),
-        F.when((c("type") == "chart") & (F.size("data") > F.greatest(F.lit(1), F.floor(r.w / 0.45))), "chart-label-density"),
-        F.when(c("type").isin("chart", "diagram") & (F.coalesce("description", F.lit("")) == ""), "missing-description"),
-        F.when((c("type") == "diagram") & F.exists(F.coalesce("layers", F.array()), lambda x: F.size(x["nodes"]) <= 0), "empty-layer"),
+        row((c("type") == "shape") & (r.w * r.h / max(1.0, width * height) >= 0.7) & bare, "dominant-empty-container", "medium"),
+        row((c("type") == "chart") & (F.coalesce(F.size("data"), F.lit(0)) > F.greatest(F.lit(1), F.floor(r.w / 0.45))), "chart-label-density", "medium"),
+        row((c("type") == "chart") & plain, "chart-description", "medium"),
+        row((c("type") == "diagram") & plain, "diagram-description", "medium"),
+        row((c("type") == "diagram") & c("kind").isin(*marks.LAYERED) & (layers.isNull() | (F.size(layers) <= 0)), "diagram-empty-layers", "high"),
     )
-    return elements.select("*", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue"))
+    return elements.select(*keys, "ord", "id", F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
-def measured_nodes(nodes: DataFrame, width: float = 1280, height: float = 720, slack: float = 2) -> DataFrame:
-    """F16: rules over measured page nodes."""
-    c, r = F.col, C.Rect()
-    over = C.box_overflow(c("scroll_w"), c("scroll_h"), c("client_w"), c("client_h"), slack)
-    found = F.array(
-        F.when((c("kind") == "canvas") & ((F.abs(r.w - width) > slack) | (F.abs(r.h - height) > slack)), "canvas-size"),
-        F.when((r.w <= 0) | (r.h <= 0), "zero-size"),
-        F.when(r.outside(width, height, slack), "bounds"),
-        F.when(over & c("clipped"), "clipped").when(over, "overflow"),
-        F.when((c("kind") == "image") & ~c("ready"), "image-not-ready"),
-        F.when((c("kind") == "connector") & ~c("supported"), "connector-unsupported"),
-        F.when((c("kind") == "connector") & c("supported") & ~c("marker"), "marker-missing"),
-    )
-    return nodes.select("*", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue"))
+def critic_repairs(issues: DataFrame) -> DataFrame:
+    """What the critic would do: adds `action`, null where there is no repair."""
+    action = F.when(F.col("issue") == "bounds", "resize").when(F.col("issue") == "dominant-empty-container", "removeElement").when(F.col("issue") == "font-size", "updateStyle")
+    return issues.withColumn("action", action)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only what is known to be small; beyond that the planner chooses."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast only what the planner's statistics say is small, without running a job; beyond that the planner chooses."""
+    return F.broadcast(df) if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most else df
 
 
 def nearest_token(items: DataFrame, tokens: DataFrame, by: str, threshold: float = 8.0) -> DataFrame:
@@ -100,8 +100,7 @@ def uncovered(blocks: DataFrame, texts: DataFrame, block_id: str) -> DataFrame:
     pairs = shingles.join(wanted.select("shingle", block_id, "block"), "shingle").select("__t", block_id, "block").distinct()
     hit = t.join(pairs, "__t").where(F.contains("body", "block")).select(block_id)
     short = keyed.where("shingle is null")
-    if short.take(1):
-        hit = hit.union(t.join(small(short), F.contains("body", "block")).select(block_id))
+    hit = hit.union(t.join(small(short), F.contains("body", "block")).select(block_id))
     return b.select(block_id).join(hit.distinct(), block_id, "left_anti")
 
 
@@ -151,24 +150,101 @@ def agreement(scores: DataFrame, annotations: DataFrame, key: str, band: float =
     return scores.join(annotations, key).withColumn("within", F.abs(F.col("score") - F.col("expected")) <= band)
 
 
+# Fixed values of the repair rules.
+SPACING = {"spacing.xs": 0.125, "spacing.sm": 0.25, "spacing.md": 0.5, "spacing.lg": 1.0, "spacing.xl": 1.5}
+DEFAULT_STYLE = {"font-too-small": ("updateStyle", "fontSize", "12"), "line-height-too-tight": ("adjustStyle", "lineHeight", "1.4"), "letter-spacing-too-tight": ("adjustStyle", "letterSpacing", "0"), "contrast-fail": ("adjustStyle", "color", "#000000")}
+OPERATIONS = ("move", "resize", "updateStyle", "updateText", "removeElement", "increaseSpacing", "reduceDensity", "adjustStyle")
+CHANGES = "struct<x:double,y:double,w:double,h:double,text:string,padding:string,inches:double,style:map<string,string>,suggestion_kind:string>"
+
+
+def spacing_inches(token: Column) -> Column:
+    """A named spacing, else the number that the text begins with, else half an inch."""
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in SPACING.items() for x in pair]), token)
+    return F.coalesce(named, F.regexp_extract(token, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double"), F.lit(0.5))
+
+
+def overlaid(had: Column, new: Column) -> Column:
+    """A map with another's entries before its own."""
+    return F.map_concat(F.map_filter(had, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
 def patches_for(checks: DataFrame) -> DataFrame:
-    """A check gives none, one or two patches. Style changes are not nested twice; overlaps have no patch."""
-    s = "suggest"
-    move = F.when(F.col("kind").isin("bounds", "connector-detached") & (F.col(f"{s}_x").isNotNull() | F.col(f"{s}_y").isNotNull()), "move")
-    size = F.when(F.col("kind").isin("bounds", "connector-detached") & (F.col(f"{s}_w").isNotNull() | F.col(f"{s}_h").isNotNull()), "resize")
-    style = F.when(F.col("kind") == "font-too-small", "updateStyle").when(F.col("kind").isin("line-height-too-tight", "letter-spacing-too-tight", "contrast-fail"), "adjustStyle")
-    ops = F.filter(F.array(move, size, style), lambda x: x.isNotNull())
-    return checks.select("*", F.explode(ops).alias("operation"))
+    """A check (element_id, kind, suggestion struct<x, y, w, h>) gives none, one or two patches (operation, changes).
+
+    Bounds and connectors move and resize to what is suggested, if anything is; overlaps and unknown kinds have no patch. `padding`
+    and `style`, where the table has them, are suggestions that go before the defaults.
+    """
+    kind, s = F.col("kind"), F.col("suggestion")
+    padding = F.coalesce("padding", F.lit("spacing.md")) if "padding" in checks.columns else F.lit("spacing.md")
+
+    def patch(operation: str, **changes: Column) -> Column:
+        fields = [x.split(":")[0] for x in CHANGES.replace("map<string,string>", "map")[7:-1].split(",")]
+        kinds = {"text": "string", "padding": "string", "style": "map<string,string>", "suggestion_kind": "string"}
+        return F.struct(F.lit(operation).alias("operation"), F.struct(*[changes.get(f, F.lit(None)).cast(kinds.get(f, "double")).alias(f) for f in fields]).alias("changes"))
+
+    placed = kind.isin("bounds", "connector-detached")
+    found = [
+        F.when(placed & (s["x"].isNotNull() | s["y"].isNotNull()), patch("move", x=s["x"], y=s["y"])),
+        F.when(placed & (s["w"].isNotNull() | s["h"].isNotNull()), patch("resize", w=s["w"], h=s["h"])),
+        F.when(kind == "card-spacing-tight", patch("increaseSpacing", padding=padding, inches=spacing_inches(padding), suggestion_kind=kind)),
+        F.when(kind == "text-overflow", patch("reduceDensity", suggestion_kind=kind)),
+    ]
+    for name, (operation, key, value) in DEFAULT_STYLE.items():
+        style = F.create_map(F.lit(key), F.lit(value))
+        if "style" in checks.columns and operation == "adjustStyle":
+            given = F.coalesce("style", F.create_map().cast("map<string,string>"))
+            style = overlaid(style, given)
+        found.append(F.when(kind == name, patch(operation, style=style, suggestion_kind=kind)))
+    rows = checks.where(F.coalesce("element_id", F.lit("")) != "")
+    return rows.select("*", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
 def apply_patches(elements: DataFrame, patches: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(patched elements, patches without an element). Patches (key, patch_ord, x, y, w, h, font_size) fold in order: the
-    last value given for a column wins."""
-    cols = ["x", "y", "w", "h", "font_size"]
-    folded = patches.groupBy(*key).agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("patch_ord"))).alias(f"__{c}") for c in cols])
-    out = elements.join(folded, key, "left")
-    new = out.select(*[F.coalesce(f"__{c}", c).alias(c) if c in cols else F.col(c) for c in elements.columns])
-    return new, patches.join(elements.select(*key), key, "left_anti")
+    """(patched elements, patches that can't be applied, with `error`). Elements have x, y, w, h, and text and style
+    (map<string,string>) where these are patched; patches (key, patch_ord, operation, changes struct of what they change).
+
+    Patches fold in order: moves and resizes set what they give, styles are merged key by key (`style` of the changes, for both
+    style operations), padding only grows, and nothing can be done to an element after it was removed.
+    """
+    own = [c for c in (*"xywh", "text", "style") if c in elements.columns]
+    known = set(patches.schema["changes"].dataType.fieldNames())
+    kinds = {c: "double" for c in "xywh"} | {"text": "string", "padding": "string", "style": "map<string,string>"}
+    changes = F.struct(*[(F.col("changes")[c] if c in known else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    folded = patches.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("patch_ord", "operation", F.to_json(changes).alias("c")))).alias("steps"))
+    shape = "struct<" + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">"
+    steps = F.transform("steps", lambda p: F.struct(p["operation"].alias("operation"), F.from_json(p["c"], shape).alias("c")))
+    blank = F.create_map().cast("map<string,string>")
+
+    def step(acc: Column, p: Column) -> Column:
+        c, op = p["c"], p["operation"]
+        live = ~acc["gone"]
+        out = []
+        for name in own:
+            at = acc[name]
+            if name in "xywh":
+                out.append(F.when(live & (op == ("move" if name in "xy" else "resize")), F.coalesce(c[name], at)).otherwise(at).alias(name))
+            elif name == "text":
+                out.append(F.when(live & (op == "updateText"), F.coalesce(c["text"], at)).otherwise(at).alias(name))
+            else:
+                had, new = F.coalesce(at, blank), F.coalesce(c["style"], blank)
+                merged = overlaid(had, new)
+                pad = F.greatest(F.coalesce(F.try_element_at(had, F.lit("padding")).try_cast("double"), F.lit(0.0)), F.coalesce(F.regexp_extract(c["padding"], r"^\s*([-+]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double"), F.lit(0.5)))
+                padded = F.map_concat(F.map_filter(had, lambda k, _: k != "padding"), F.create_map(F.lit("padding"), pad.cast("string")))
+                out.append(F.when(live & op.isin("updateStyle", "adjustStyle"), merged).when(live & (op == "increaseSpacing"), padded).otherwise(at).alias(name))
+        return F.struct(*out, (acc["gone"] | (op == "removeElement")).alias("gone"))
+
+    joined = elements.join(folded, key, "left")
+    begin = F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in own], F.lit(False).alias("gone"))
+    done = joined.withColumn("steps", F.aggregate(F.coalesce(steps, F.array().cast(f"array<struct<operation:string,c:{shape}>>")), begin, step))
+    new = done.where("not steps.gone").select(*[F.col(f"steps.{c}").alias(c) if c in own else F.col(c) for c in elements.columns])
+
+    there = elements.select(*key).distinct().withColumn("there", F.lit(True))
+    before = F.max(F.when(F.col("operation") == "removeElement", 1).otherwise(0)).over(W.partitionBy(*key).orderBy("patch_ord").rowsBetween(W.unboundedPreceding, -1))
+    judged = patches.join(there, key, "left").withColumn("removed", F.coalesce(before, F.lit(0)) > 0)
+    error = F.when(~F.col("operation").isin(*OPERATIONS) | F.col("operation").isNull(), "unsupported operation").when(F.col("there").isNull(), "missing element").when(F.col("removed"), "removed before")
+    if "text" in known:
+        error = error.when((F.col("operation") == "updateText") & F.col("changes.text").isNull(), "updateText requires a text")
+    return new, judged.withColumn("error", error).where("error is not null").drop("there", "removed")
 
 
 def sequential(col: str, order: list[Column], by: list[str]) -> Column:

@@ -141,61 +141,81 @@ def findings(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-CHART_KINDS = ("bar", "line", "pie", "stackedBar", "groupedBar", "sparkline", "progress", "donut")
-LAYERED = ("layered", "swimlane", "architecture")
-
-
-def chart_marks(charts: DataFrame) -> DataFrame:
-    """One mark for each point and series; unknown kinds raise. charts (id, kind, data array<label, value, series map>)."""
-    known = F.when(F.col("kind").isin(*CHART_KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown chart kind "), "kind")).cast("string"))
-    points = charts.select("id", known.alias("kind"), F.posexplode("data").alias("ord", "d"))
-    series = F.coalesce(F.col("d.series"), F.create_map(F.lit("value"), F.coalesce("d.value", F.lit(0.0))))
-    return points.select("id", "kind", "ord", F.col("d.label").alias("label"), F.explode(series).alias("series", "value")).withColumn("value", C.number(F.col("value")))
-
-
-def diagram_marks(diagrams: DataFrame) -> DataFrame:
-    """Layers become rows of nodes; unknown kinds raise. diagrams (id, kind, layers array<label, nodes>)."""
-    known = F.when(F.col("kind").isin(*LAYERED), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown diagram kind "), "kind")).cast("string"))
-    layers = diagrams.select("id", known.alias("kind"), F.posexplode("layers").alias("row", "l"))
-    return layers.select("id", "kind", "row", F.col("l.label").alias("label"), F.posexplode("l.nodes").alias("col", "node"))
-
-
-def matrix_cells(rows: DataFrame, cols: DataFrame, width: float, height: float) -> DataFrame:
-    """Every row label with every column label. rows (row, row_label), cols (col, col_label): a page's labels, so few."""
-    n_rows, n_cols = rows.agg(F.count("*").alias("n_rows")), cols.agg(F.count("*").alias("n_cols"))
-    cells = rows.crossJoin(F.broadcast(cols)).crossJoin(F.broadcast(n_rows)).crossJoin(F.broadcast(n_cols))
-    return cells.select("row", "col", "row_label", "col_label", C.half_up(F.col("col") * width / F.col("n_cols"), 3).alias("x"), C.half_up(F.col("row") * height / F.col("n_rows"), 3).alias("y"))
-
-
-def flattened(elements: DataFrame, chart_parts: DataFrame, diagram_parts: DataFrame) -> DataFrame:
-    """Charts and diagrams replaced by their parts, the rest as it is."""
-    return elements.where(~F.col("type").isin("chart", "diagram")).unionByName(chart_parts, allowMissingColumns=True).unionByName(diagram_parts, allowMissingColumns=True)
+def _box(name: str, inches: bool = False) -> Column:
+    return F.struct(*[F.col(f"{'in_' if inches else ''}{c}").alias(c) for c in "xywh"]).alias(name)
 
 
 def band_candidates(bands: DataFrame) -> DataFrame:
-    """One or two candidates for each labelled band of an image."""
-    box = lambda kind, x, w: F.struct(F.lit(kind).alias("kind"), (F.col("w") * x).alias("x"), F.col("y"), (F.col("w") * w).alias("w"), F.col("h"))
-    parts = F.when(F.col("label") == "header", F.array(box("title", 0.05, 0.9))).when(F.col("label") == "content", F.array(box("text", 0.05, 0.45), box("image", 0.52, 0.43))).otherwise(F.array(box("shape", 0.0, 1.0)))
-    return bands.select("image_id", F.col("ord").alias("band"), F.inline(parts))
+    """A background for each band, and one more for headers, contents and sections. bands (image_id, band from 1, label, x, y,
+    w, h, in_x, in_y, in_w, in_h)."""
+    id_ = F.concat(F.lit("band-"), "band")
+    one = lambda suffix, type_, as_, sure: F.struct(F.concat(id_, F.lit(suffix)).alias("id"), F.lit(type_).alias("type"), F.lit(as_).alias("editable_as"), F.lit(sure).alias("confidence"))
+    more = F.when(F.col("label") == "header", one("-title-text", "title-text", "native-text", 0.58)).when(F.col("label").isin("content", "section"), one("-content-group", "content-group", "native-shape", 0.52))
+    parts = F.filter(F.array(one("-background", "background-band", "native-shape", 0.72), more), lambda x: x.isNotNull())
+    return bands.select("image_id", "band", id_.alias("source_region"), F.posexplode(parts).alias("ord", "c"), _box("pixel_box"), _box("inch_box", True)).select("image_id", "band", "ord", "source_region", "c.*", "pixel_box", "inch_box")
+
+
+def skeleton(bands: DataFrame, width: float) -> DataFrame:
+    """Placeholders of an image's slide: a title for each header, a card with its text for a second band of content, a title at
+    its usual place where neither is."""
+    r4 = lambda v: C.half_up(v, 4)
+    half = (width - 1.6) / 2
+    place = lambda id_, type_, x, y, w, h: F.struct(F.lit(id_).alias("id"), F.lit(type_).alias("type"), *[r4(v if isinstance(v, Column) else F.lit(float(v))).alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True)])
+    x, y, w, h = (F.col(f"in_{c}") for c in "xywh")
+    title = place("title-placeholder", "text", F.greatest(F.lit(0.7), x + 0.05), y + 0.05, F.least(F.lit(width - 1.4), w - 0.1), F.least(F.lit(0.9), h - 0.1))
+    card = [place("card-left-placeholder", "shape", 0.7, y + 0.1, half, F.least(F.lit(2.2), h - 0.2)), place("card-left-text-placeholder", "text", 0.95, y + 0.25, half - 0.4, 0.5)]
+    parts = F.when(F.col("label") == "header", F.array(title)).when(F.col("label").isin("content", "section") & (F.col("band") == 2), F.array(*card)).otherwise(F.array().cast("array<struct<id:string,type:string,x:double,y:double,w:double,h:double>>"))
+    own = bands.groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("band", parts.alias("p")))), lambda b: b["p"])).alias("all"))
+    usual = F.array(place("title-placeholder", "text", 0.7, 0.6, 11.8, 0.8))
+    return own.select("image_id", F.posexplode(F.when(F.size("all") > 0, F.col("all")).otherwise(usual)).alias("ord", "e")).select("image_id", "ord", "e.*")
+
+
+#: Colours of a slide whose direction has none.
+COLOURS = {"background": "#FFFFFF", "text": "#111827", "primary": "#2563EB", "surface": "#F3F4F6"}
 
 
 def compiled_slides(specs: DataFrame) -> DataFrame:
-    """The elements of a slide by its layout type."""
-    one = lambda role, y, h, text: F.struct(F.lit(role).alias("role"), F.lit(y).alias("y"), F.lit(h).alias("h"), text.alias("text"))
-    title = F.col("main_idea")
-    parts = F.when(F.col("layout_type") == "cover", F.array(one("title", 2.6, 1.4, title))).when(F.col("layout_type") == "layered", F.array(one("title", 0.5, 0.8, title), one("diagram", 1.6, 5.2, F.array_join("slots", "\n")))).otherwise(F.array(one("title", 0.5, 0.8, title), one("body", 1.6, 5.2, F.array_join("slots", "\n"))))
-    return specs.select("slide_id", F.inline(parts))
-
-
-def directions(scorecards: DataFrame, names: list[str]) -> DataFrame:
-    """The fixed candidates with each scorecard."""
-    fixed = scorecards.sparkSession.createDataFrame([(n,) for n in names], "direction_id string")
-    return F.broadcast(fixed).crossJoin(scorecards)
+    """The elements of each slide specification: (slide_id, ord, id, type, kind, shape, x, y, w, h, text, font_size, bold, color,
+    fill, border, layers).
 
-
-def merged_slides(images: DataFrame) -> DataFrame:
-    """Slides of sorted files with new ids; the first design and size hold for all."""
-    w = W.orderBy("path")
+    specs (slide_id, slide_ord, layout_type, intent, main_idea, slots map<string,string>, layers array<struct<label, nodes>>,
+    palette map<string,string>, layered boolean). The first slide's headline is larger; `layered` slides get a diagram.
+    """
+    slot = lambda name, other: F.coalesce(F.try_element_at("slots", F.lit(name)), other)
+    tint = lambda name, other=None: F.coalesce(F.try_element_at("palette", F.lit(name)), other if other is not None else F.lit(COLOURS[name]))
+    layers = "array<struct<label:string,nodes:array<string>>>"
+    fields = {"id": "string", "type": "string", "kind": "string", "shape": "string", "x": "double", "y": "double", "w": "double", "h": "double", "text": "string", "font_size": "double", "bold": "boolean", "color": "string", "fill": "string", "border": "string", "layers": layers}
+
+    def one(type_: str, id_: Column, box: tuple, **more: Column) -> Column:
+        own = {"type": F.lit(type_), "id": id_} | {k: F.lit(float(v)) for k, v in zip("xywh", box, strict=True)} | more
+        return F.struct(*[own.get(k, F.lit(None)).cast(t).alias(k) for k, t in fields.items()])
+
+    text, primary = tint("text"), tint("primary")
+    headline = one("text", F.lit("headline"), (0.7, 0.5, 11.8, 0.7), text=slot("headline", F.col("main_idea")), font_size=F.when(F.col("slide_ord") == 0, 38).otherwise(28), bold=F.lit(True), color=text)
+    cover = [one("text", F.lit("subtitle"), (0.75, 1.35, 7.2, 0.45), text=slot("subtitle", F.col("intent")), font_size=F.lit(17), color=text), one("shape", F.lit("accent-bar"), (0.75, 6.45, 3.4, 0.08), shape=F.lit("roundRect"), fill=primary, border=primary)]
+    plain = [one("text", F.lit("main-idea"), (0.75, 1.25, 5.1, 1.1), text=F.col("main_idea"), font_size=F.lit(16), color=text), one("shape", F.lit("content-panel"), (6.2, 1.25, 6.0, 4.9), shape=F.lit("roundRect"), fill=tint("surface"), border=primary)]
+    deep = [one("diagram", F.concat("slide_id", F.lit("-diagram")), (0.8, 1.4, 11.7, 5.2), kind=F.lit("layeredArchitecture"), layers=F.coalesce("layers", F.array().cast(layers)), color=primary), one("text", F.lit("main-idea"), (0.75, 6.7, 11.8, 0.4), text=F.col("main_idea"), font_size=F.lit(12), color=tint("accent", primary))]
+    parts = F.when(F.coalesce("layered", F.lit(False)), F.array(headline, *deep)).when(F.col("layout_type") == "cover", F.array(headline, *cover)).otherwise(F.array(headline, *plain))
+    return specs.select("slide_id", F.posexplode(parts).alias("ord", "e")).select("slide_id", "ord", "e.*")
+
+
+#: The three design directions that are offered.
+DIRECTIONS = (
+    ("direction-001", "Conservative Business", "#F7F9FC", "#FFFFFF", "#1D4ED8", "#14B8A6", "#172033"),
+    ("direction-002", "Premium Tech Roadshow", "#07111F", "#101C2E", "#35D0FF", "#7CFFB2", "#E8F1FF"),
+    ("direction-003", "Editorial Technical", "#FBFAF7", "#FFFFFF", "#0F766E", "#F59E0B", "#1F2937"),
+)
+
+
+def directions(scorecards: DataFrame) -> DataFrame:
+    """The fixed candidates, in order, with each scorecard."""
+    fields = ("direction_id", "label", "background", "surface", "primary", "accent", "text")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(fields, d, strict=True)]) for d in DIRECTIONS])
+    return scorecards.select("*", F.inline(rows))
+
+
+def merged_slides(images: DataFrame, deck: str) -> DataFrame:
+    """The images of a deck as its slides, in the order of their files, with new ids; the first design and size hold for all."""
+    w = W.partitionBy(deck).orderBy("path")
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return images.select("*", F.concat(C.numbered("slide", F.row_number().over(w)), F.lit("-"), stem).alias("slide_id"), F.first("design").over(w).alias("deck_design"), F.first("size").over(w).alias("deck_size"))
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,21 @@ def quality_cells(checks: DataFrame, kinds: list[str]) -> DataFrame:
     return F.broadcast(fixed).join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("r").isNull(), "none").when(F.col("r") == 0, "critical").when(F.col("r") == 1, "warning").otherwise("info").alias("worst"))
 
 
+#: Fonts that most machines have, and shapes that every program draws alike.
+PORTABLE_FONTS = ("Arial", "Calibri", "Aptos", "Microsoft YaHei", "SimSun", "Noto Sans SC")
+PLAIN_SHAPES = ("rect", "roundRect", "ellipse")
+
+
 def type_counters(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """G02; cropped assets are counted once."""
-    names = {"text": "text", "shape": "shape", "image": "image", "line": "line", "table": "table", "chart": "chart", "cropped_asset": "cropped-asset"}
-    return elements.groupBy(*keys).agg(*[count_if(F.col("type") == t, n) for n, t in names.items()])
+    """Lines count as shapes too, and cropped assets as images too. With columns `shape` and `src` also unusual shapes and
+    remote images are counted."""
+    names = {"text": ("text",), "shape": ("shape", "line"), "image": ("image", "cropped-asset"), "line": ("line",), "table": ("table",), "chart": ("chart",), "cropped_asset": ("cropped-asset",)}
+    more = []
+    if "shape" in elements.columns:
+        more.append(count_if((F.col("type") == "shape") & ~F.coalesce(F.col("shape").isin(*PLAIN_SHAPES), F.lit(False)), "odd_shapes"))
+    if "src" in elements.columns:
+        more.append(count_if((F.col("type") == "image") & C.is_remote(F.col("src")), "remote_images"))
+    return elements.groupBy(*keys).agg(F.count("*").alias("n_elements"), *[count_if(F.col("type").isin(*t), n) for n, t in names.items()], *more)
 
 
 def levels(counters: DataFrame) -> DataFrame:
@@ -41,17 +54,26 @@ def levels(counters: DataFrame) -> DataFrame:
     return counters.withColumn("level_render", C.level_render(*args).cast("long")).withColumn("level_report", C.level_report(*args).cast("long"))
 
 
-def deck_editability(levelled: DataFrame, deck: str) -> DataFrame:
-    """The least level; risk by number of kinds of issue (remote images, unusual shapes, raster objects)."""
+def deck_editability(levelled: DataFrame, deck: str, fonts: DataFrame | None = None) -> DataFrame:
+    """The least level, and a risk by the number of kinds of issue: fonts that aren't portable (fonts: (deck, font) of the
+    design's typography), remote images, unusual shapes, raster objects."""
+    total = lambda c: F.sum(c) if c in levelled.columns else F.lit(0)
     raster = F.sum(F.col("image") + F.col("cropped_asset"))
-    issues = (raster > 0).cast("int") + (F.sum("line") > 5).cast("int") + (F.sum("shape") > 20).cast("int")
-    return levelled.groupBy(deck).agg(F.min("level_render").alias("level"), raster.alias("rasterized"), F.when(issues == 0, "low").when(issues <= 2, "medium").otherwise("high").alias("risk"))
+    out = levelled.groupBy(deck).agg(F.min("level_render").alias("level"), raster.alias("rasterized"), total("remote_images").alias("remote_images"), total("odd_shapes").alias("odd_shapes"))
+    if fonts is not None:
+        odd = fonts.where(~F.col("font").isin(*PORTABLE_FONTS)).groupBy(deck).agg(F.array_sort(F.collect_set("font")).alias("odd_fonts"))
+        out = out.join(odd, deck, "left")
+    else:
+        out = out.withColumn("odd_fonts", F.lit(None).cast("array<string>"))
+    out = out.withColumn("odd_fonts", F.coalesce("odd_fonts", F.array().cast("array<string>")))
+    issues = sum(((F.col(c) > 0).cast("int") for c in ("remote_images", "odd_shapes", "rasterized")), (F.size("odd_fonts") > 0).cast("int"))
+    return out.withColumn("n_issues", issues.cast("long")).withColumn("risk", F.when(F.col("n_issues") == 0, "low").when(F.col("n_issues") <= 2, "medium").otherwise("high"))
 
 
 def slide_scores(issues: DataFrame, counters: DataFrame, key: str) -> DataFrame:
     """Issues (key, severity, kind)."""
     lost = issues.groupBy(key).agg(F.sum(F.when(F.col("severity") == "high", 18).otherwise(10)).alias("penalty"), F.bool_or(F.col("kind") == "bounds").alias("off"))
-    total = sum((F.col(c) for c in ("shape", "image", "line", "table", "chart", "cropped_asset")), F.col("text"))
+    total = F.col("n_elements")
     out = counters.join(lost, key, "left")
     return out.select(key, F.greatest(F.lit(0), 100 - F.coalesce("penalty", F.lit(0))).cast("long").alias("score"), F.when(F.col("text") > 0, 85).otherwise(45).cast("long").alias("hierarchy"), F.when(F.coalesce("off", F.lit(False)), 55).otherwise(88).cast("long").alias("alignment"), F.when(total > 14, 65).otherwise(85).cast("long").alias("density"), F.when(F.col("image") > 0, 78).otherwise(95).cast("long").alias("editability"))
 
@@ -75,6 +97,34 @@ def risk_score(flags: DataFrame) -> DataFrame:
     return flags.withColumn("risk", F.least(F.lit(100), total).cast("long"))
 
 
+def style_flags(elements: DataFrame, keys: list[str], token_fonts: Column | None = None) -> DataFrame:
+    """The nine signals of each group, in one grouping. Elements have (type, id, role, typography,
+    font_size, y, text, shape) and, where they have them, font_family, fill, background, stroke, shadow, border_radius, radius and
+    component. `token_fonts`: families of the design."""
+    has = lambda c: F.col(c) if c in elements.columns else F.lit(None).cast("string")
+    role = C.style_role(F.col("role"), F.col("typography"), F.col("id"), F.col("font_size"))
+    height = C.half_up(F.coalesce("y", F.lit(0.0)) * 4) / 4
+    e = elements.select(
+        *keys, F.coalesce("y", F.lit(0.0)).alias("y"), height.alias("bucket"), C.families(has("font_family")).alias("families"), F.coalesce(C.has_emoji(has("text")), F.lit(False)).alias("emoji"),
+        reduce(lambda x, c: x | F.coalesce(C.has_gradient(has(c)), F.lit(False)), ("fill", "background", "background_image"), F.lit(False)).alias("gradient"),
+        C.shouts(has("text"), has("stroke"), has("shadow")).alias("shouts"), C.bolted_rhetoric(role, has("text")).alias("rhetoric"),
+        F.when(F.col("type") == "shape", C.radius_token(has("border_radius"), has("radius"), has("component"), has("fill"))).alias("rounded"),
+        ((F.col("type") == "shape") & F.coalesce(F.lower(has("shape")).isin("ellipse", "circle", "oval"), F.lit(False))).alias("circle"), (role == "metric").alias("metric"),
+    )
+    whole = e.groupBy(*keys).agg(
+        F.array_distinct(F.flatten(F.collect_set("families"))).alias("fonts"), *[F.bool_or(c).alias(c) for c in ("emoji", "gradient", "shouts", "rhetoric")],
+        F.count_distinct("rounded").alias("radii"), F.collect_list(F.when(F.col("circle"), F.col("bucket"))).alias("circles"), F.collect_list(F.when(F.col("metric"), F.col("bucket"))).alias("metrics"), F.array_sort(F.collect_list("y")).alias("ys"),
+    )
+    row = lambda c: F.exists(F.array_distinct(c), lambda v: F.size(F.filter(c, lambda x: x == v)) >= 3)
+    gaps = F.filter(F.transform(F.slice("ys", 1, F.size("ys") - 1), lambda v, n: C.half_up(F.element_at("ys", n + 2) - v, 3)), lambda g: g > 0)
+    fonts = F.array_distinct(F.concat("fonts", token_fonts)) if token_fonts is not None else F.col("fonts")
+    return whole.select(
+        *keys, (F.size(fonts) > 3).alias("font_family_dedup"), F.col("emoji").alias("emoji_as_icon"), F.col("gradient").alias("css_gradient"), F.col("shouts").alias("all_caps_stroke_shadow"), F.col("rhetoric").alias("rhetoric_on_cjk"),
+        (F.col("radii") == 1).alias("rounded_token_variance"), row(F.col("circles")).alias("icon_circle_triad"), row(F.col("metrics")).alias("kpi_sandwich"),
+        F.when(F.size("ys") < 3, False).otherwise((F.size(gaps) >= 2) & (F.size(F.array_distinct(gaps)) == 1)).alias("vertical_rhythm_variance"),
+    )
+
+
 def y_buckets(elements: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Groups of elements at one height (quarter inches)."""
     return elements.withColumn("y_bucket", C.half_up(F.col("y") * 4) / 4).groupBy(*keys, "y_bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -85,10 +135,14 @@ def single_radius(cards: DataFrame, keys: list[str]) -> DataFrame:
     return cards.groupBy(*keys).agg(F.countDistinct("radius").alias("n")).where("n <= 1")
 
 
-def floor_violation(level: Column, kind: Column, own_floor: Column, source_level: Column) -> Column:
-    """The floor is the larger of the default and the manifest's own; who caused it."""
-    least = F.greatest(C.mapped(kind, {k: str(v) for k, v in EDITABILITY_FLOOR.items()}, "4").cast("int"), F.coalesce(own_floor, F.lit(0)))
-    return F.when(level < least, F.struct(least.alias("floor"), F.when(source_level < least, "source").otherwise("pipeline").alias("cause")))
+def floor_violation(level: Column, kind: Column, own_floor: Column, source_caused: Column, allow_source: bool = True) -> Column:
+    """The floor is the larger of the default and the deck's own (a positive number); below it, who caused it, and whether that
+    satisfies: an image, or a source that says so, is an excuse if these are allowed."""
+    own = F.when(F.coalesce(own_floor, F.lit(0)) > 0, own_floor).otherwise(0)
+    least = F.greatest(C.mapped(kind, {k: str(v) for k, v in EDITABILITY_FLOOR.items()}, "4").cast("double"), own.cast("double"))
+    source = F.coalesce(source_caused, F.lit(False)) | (kind == "image")
+    excused = "with-justification" if allow_source else "false"
+    return F.when(level < least, F.struct(least.alias("floor"), (least - level).alias("gap"), F.when(source, "source").otherwise("pipeline").alias("cause"), F.when(source, excused).otherwise("false").alias("satisfied")))
 
 
 def palette_match(items: DataFrame, keys: list[str], threshold: float = 8.0) -> DataFrame:
@@ -98,8 +152,8 @@ def palette_match(items: DataFrame, keys: list[str], threshold: float = 8.0) ->
 
 
 def mean_drift(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """G11"""
-    return rows.groupBy(*keys).agg(F.coalesce(F.avg(F.hypot("dx", "dy")), F.lit(0.0)).alias("drift"))
+    """0 where there is nothing to measure, else three digits."""
+    return rows.groupBy(*keys).agg(C.half_up(F.coalesce(F.avg(F.hypot("dx", "dy")), F.lit(0.0)), 3).alias("drift"))
 
 
 def batch_report(decks: DataFrame) -> DataFrame:
@@ -185,7 +239,13 @@ def accessibility_status(issues: DataFrame, key: str) -> DataFrame:
     return issues.groupBy(key).agg(F.count("*").alias("n_issues"), F.when(F.bool_or(F.col("severity") == "error"), "review").otherwise("warning").alias("status"))
 
 
-def layout_mode(nodes: DataFrame, key: str) -> DataFrame:
-    """By counts of markers and containers; a named archetype decides at once."""
-    n = nodes.groupBy(key).agg(F.count_if(F.col("marked")).alias("marks"), F.count_if(F.col("container")).alias("boxes"), F.max("archetype").alias("archetype"))
-    return n.withColumn("mode", F.when(F.col("archetype").isNotNull(), "archetype").when((F.col("marks") > 0) & (F.col("boxes") > 0), "hybrid").when(F.col("marks") > 0, "explicit").when(F.col("boxes") > 0, "containers").otherwise("auto"))
+def layout_modes(nodes: DataFrame, key: str, known: DataFrame | None = None, force: str | None = None) -> DataFrame:
+    """By the numbers of marked nodes (data-pptx-kind or -type) and of containers (cards, card-grid, data-cards) among a slide's
+    nodes. `known`: (archetype) names that resolve. nodes (key, attrs)."""
+    a = F.col("attrs")
+    marked = F.map_contains_key(a, "data-pptx-kind") | F.map_contains_key(a, "data-pptx-type")
+    boxes = F.coalesce(a["class"].rlike(r"(^|\s)(cards|card-grid)(\s|$)"), F.lit(False)) | F.map_contains_key(a, "data-cards")
+    n = nodes.groupBy(key).agg(F.count_if(marked).alias("markers"), F.count_if(boxes).alias("containers"), F.max(a["data-archetype"]).alias("archetype"))
+    if known is not None:
+        n = n.join(known.select("archetype", F.lit(True).alias("there")), "archetype", "left").withColumn("archetype", F.when(F.col("there"), F.col("archetype")))
+    return n.select(key, "markers", "containers", "archetype", C.layout_mode(F.col("markers"), F.col("containers"), F.col("archetype"), force).alias("mode"))

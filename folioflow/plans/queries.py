@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import checks, matching, ordered, scoring, validation
+from ..operators import checks, marks, matching, ordered, pages, preflight, scoring, structure, validation
 from ..sources import readers, sinks
-from .views import E_SQL, NT_SQL, PC_SQL, colour, elements, nation_tokens, part_colours, table
+from .views import E_SQL, NT_SQL, PC_SQL, ST_SQL, colour, elements, nation_tokens, part_colours, table, with_styles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,13 +48,13 @@ def with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(spark, sf_dir).withColumn("role_bucket", C.layout_role(F.col("role"), F.col("typography"), F.col("id"), F.col("font_size")))
 
 
-@query(f"""WITH {E_SQL} SELECT a.slide, a.ord AS a_ord, b.ord AS b_ord, {up(f"{AREA} / least(a.w * a.h, b.w * b.h)")} AS ratio
-FROM e a JOIN e b ON a.slide = b.slide AND a.ord < b.ord
-WHERE a.type <> 'line' AND b.type <> 'line' AND coalesce(a.role, '') <> 'background' AND coalesce(b.role, '') <> 'background'
-AND NOT {HOLDS.format("a", "b")} AND NOT {HOLDS.format("b", "a")} AND {AREA} / least(a.w * a.h, b.w * b.h) > 0.05::DOUBLE""")
+@query(f"""WITH {E_SQL}, {ST_SQL}, o AS (SELECT *, type = 'shape' AND (id LIKE 'card%' OR id LIKE 'panel%') AS surface FROM st WHERE type <> 'line' AND coalesce(role, '') <> 'background' AND id NOT LIKE 'backdrop%')
+SELECT a.slide, a.ord AS a_ord, b.ord AS b_ord, {up(f"{AREA} / least(a.w * a.h, b.w * b.h)")} AS ratio
+FROM o a JOIN o b ON a.slide = b.slide AND a.ord < b.ord
+WHERE NOT (a.surface AND {HOLDS.format("a", "b")}) AND NOT (b.surface AND {HOLDS.format("b", "a")}) AND {AREA} / least(a.w * a.h, b.w * b.h) > 0.05::DOUBLE""")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J01, P11, F06"""
-    return checks.overlap_pairs(elements(spark, sf_dir), ["slide"])
+    return checks.overlap_pairs(with_styles(elements(spark, sf_dir)), ["slide"]).select("slide", "a_ord", "b_ord", "ratio")
 
 
 @query(f"WITH {E_SQL} SELECT slide, ord, (x < 0 OR y < 0 OR w <= 0 OR h <= 0 OR x + w > 13.333::DOUBLE OR y + h > 7.5::DOUBLE) AS strict FROM e WHERE {OUT_SQL}")
@@ -68,10 +68,10 @@ SELECT slide, ord, rb, 'font-size' AS metric, font_size AS v, c, r.w AS k FROM e
 UNION ALL SELECT slide, ord, rb, 'line-height', line_height, c, r.w FROM er JOIN {values(C.LINE_HEIGHT_RULES)} ON r.role = CASE WHEN rb IN ('background') THEN 'body' ELSE rb END)
 SELECT slide, ord, rb AS role_bucket, metric, v AS value, CASE WHEN v < c THEN 'critical' ELSE 'warning' END AS severity FROM m WHERE v < c OR v < k""")
 def role_threshold_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P04, F03"""
-    e = with_roles(spark, sf_dir)
-    parts = [checks.threshold_checks(e, v, m, r).select("slide", "ord", "role_bucket", "metric", F.col(v).alias("value"), "severity") for v, m, r in (("font_size", "font-size", C.FONT_SIZE_RULES), ("line_height", "line-height", C.LINE_HEIGHT_RULES))]
-    return parts[0].unionByName(parts[1])
+    """Both rules in one pass."""
+    row = lambda metric, v, rules: F.struct(F.lit(metric).alias("metric"), F.col(v).alias("value"), preflight.severity(F.col(v), rules, F.col("role_bucket")).alias("severity"))
+    found = F.array(row("font-size", "font_size", C.FONT_SIZE_RULES), row("line-height", "line_height", C.LINE_HEIGHT_RULES))
+    return with_roles(spark, sf_dir).select("slide", "ord", "role_bucket", F.inline(F.filter(found, lambda x: x["severity"].isNotNull())))
 
 
 @query(f"""WITH {E_SQL} SELECT ord, count(*) AS n, style_role FROM (SELECT *, CASE WHEN role IS NOT NULL THEN CASE WHEN lower(role) IN ('title', 'caption') THEN lower(role) ELSE 'body' END
@@ -86,10 +86,11 @@ def style_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAP = "sqrt(pow(greatest(0, greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w)), 2) + pow(greatest(0, greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h)), 2))"
 
 
-@query(f"WITH {E_SQL} SELECT a.slide, a.ord AS a_ord, b.ord AS b_ord, {up(GAP)} AS gap FROM e a JOIN e b ON a.slide = b.slide AND a.ord < b.ord WHERE a.type = 'shape' AND b.type = 'shape' AND {AREA} <= 0 AND {GAP} < 0.5::DOUBLE")
+@query(f"""WITH {E_SQL}, {ST_SQL}, k AS (SELECT * FROM st WHERE type = 'shape' AND id LIKE 'card%')
+SELECT a.slide, a.ord AS a_ord, b.ord AS b_ord, {up(GAP)} AS gap FROM k a JOIN k b ON a.slide = b.slide AND a.ord < b.ord WHERE (a.x + a.w <= b.x OR b.x + b.w <= a.x OR a.y + a.h <= b.y OR b.y + b.h <= a.y) AND {GAP} < 0.5::DOUBLE""")
 def card_spacing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J02, P11"""
-    return checks.spacing_pairs(elements(spark, sf_dir), ["slide"])
+    return checks.spacing_pairs(with_styles(elements(spark, sf_dir)), ["slide"]).select("slide", "a_ord", "b_ord", "gap")
 
 
 def touch_sql(px: str, py: str, r: str) -> str:
@@ -97,13 +98,30 @@ def touch_sql(px: str, py: str, r: str) -> str:
     return f"({px} >= {r}.x - {s} AND {px} <= {r}.x + {r}.w + {s} AND {py} >= {r}.y - {s} AND {py} <= {r}.y + {r}.h + {s} AND least(abs({px} - {r}.x), abs({px} - ({r}.x + {r}.w)), abs({py} - {r}.y), abs({py} - ({r}.y + {r}.h))) <= {s})"
 
 
-@query(f"""WITH {E_SQL} SELECT l.slide, l.ord, CASE WHEN s.ord IS NULL THEN 'missing-source' WHEN t.ord IS NULL THEN 'missing-target'
-WHEN NOT {touch_sql("l.x", "l.y", "s")} OR NOT {touch_sql("(l.x + l.w)", "(l.y + l.h)", "t")} THEN 'detached' ELSE 'attached' END AS status
-FROM e l LEFT JOIN e s ON s.slide = l.slide AND s.ord = l.ord - 1 LEFT JOIN e t ON t.slide = l.slide AND t.ord = l.ord + 1 WHERE l.type = 'line'""")
+END = "CASE WHEN p % 7 = 0 THEN NULL ELSE 'el-' || slide || '-' || ((ord + {}) % 5) END"
+LINE_SQL = f"""c AS (SELECT slide, ord, p, s, type, x, y, w, h, CASE WHEN s % 5 = 3 AND p % 7 = 0 THEN 'arrow' ELSE 'el-' || slide || '-' || (ord % 5) END AS id, {END.format(4)} AS source_id, {END.format(1)} AS target_id FROM e),
+b AS (SELECT slide, id, arg_max({{'x': x, 'y': y, 'w': w, 'h': h}}, ord) AS r FROM c GROUP BY 1, 2),
+j AS (SELECT l.*, s.r AS s_, t.r AS t_ FROM c l LEFT JOIN b s ON s.slide = l.slide AND s.id = l.source_id LEFT JOIN b t ON t.slide = l.slide AND t.id = l.target_id WHERE l.type = 'line')"""
+MID = "(({1}.x + {1}.w / 2) - ({0}.x + {0}.w / 2))", "(({1}.y + {1}.h / 2) - ({0}.y + {0}.h / 2))"
+
+
+def anchor_sql(a: str, b: str) -> tuple[str, str]:
+    dx, dy = (m.format(a, b) for m in MID)
+    flat = f"abs({dx}) > abs({dy})"
+    return f"CASE WHEN {flat} THEN CASE WHEN {dx} >= 0 THEN {a}.x + {a}.w ELSE {a}.x END ELSE {a}.x + {a}.w / 2 END", f"CASE WHEN {flat} THEN {a}.y + {a}.h / 2 ELSE CASE WHEN {dy} >= 0 THEN {a}.y + {a}.h ELSE {a}.y END END"
+
+
+@query(f"""WITH {E_SQL}, {LINE_SQL}, k AS (SELECT *, CASE WHEN source_id IS NULL AND target_id IS NULL THEN CASE WHEN id = 'arrow' THEN 'unverified' ELSE 'plain' END WHEN s_ IS NULL THEN 'missing-source' WHEN t_ IS NULL THEN 'missing-target'
+WHEN NOT {touch_sql("x", "y", "s_")} OR NOT {touch_sql("(x + w)", "(y + h)", "t_")} THEN 'detached' ELSE 'attached' END AS status FROM j)
+SELECT slide, ord, status, CASE WHEN status = 'unverified' THEN 'warning' WHEN status NOT IN ('attached', 'plain') THEN 'critical' END AS severity, CASE WHEN status = 'missing-source' THEN source_id WHEN status IN ('missing-target', 'detached') THEN target_id END AS related,
+CASE WHEN status = 'detached' THEN {up(anchor_sql("s_", "t_")[0])} END AS to_x, CASE WHEN status = 'detached' THEN {up(anchor_sql("s_", "t_")[1])} END AS to_y, CASE WHEN status = 'detached' THEN {up(f"({anchor_sql('t_', 's_')[0]}) - ({anchor_sql('s_', 't_')[0]})")} END AS to_w FROM k""")
 def connector_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J04, P13"""
-    e = elements(spark, sf_dir).withColumns({"source_ord": F.col("ord") - 1, "target_ord": F.col("ord") + 1})
-    return checks.connectors(e, "slide").select("slide", "ord", "status")
+    """Ids repeat in longer slides, so that the last wins."""
+    e = elements(spark, sf_dir)
+    end = lambda step: F.when(F.col("p") % 7 != 0, F.concat(F.lit("el-"), "slide", F.lit("-"), (F.col("ord") + step) % 5))
+    e = e.withColumns({"id": F.when((F.col("s") % 5 == 3) & (F.col("p") % 7 == 0), "arrow").otherwise(F.concat(F.lit("el-"), "slide", F.lit("-"), F.col("ord") % 5)), "source_id": end(4), "target_id": end(1)})
+    to = lambda c: C.half_up(F.col(f"suggestion.{c}"), 4).alias(f"to_{c}")
+    return checks.connectors(e, ["slide"]).select("slide", "ord", "status", "severity", "related", to("x"), to("y"), to("w"))
 
 
 def lin(c: str, cut: str) -> str:
@@ -171,10 +189,10 @@ UNION ALL SELECT slide, ord, 'font-too-small', CASE WHEN font_size < c THEN 'cri
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = with_roles(spark, sf_dir)
-    off = checks.bounds(e).select("slide", "ord", F.lit("bounds").alias("kind"), F.lit("critical").alias("severity"))
-    small = checks.threshold_checks(e, "font_size", "font-size", C.FONT_SIZE_RULES).select("slide", "ord", F.lit("font-too-small").alias("kind"), "severity")
-    return off.unionByName(small)
+    """Bounds and font sizes, in one pass."""
+    row = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), severity.alias("severity"))
+    both = F.array(row("bounds", F.when(C.Rect().outside(), "critical")), row("font-too-small", preflight.severity(F.col("font_size"), C.FONT_SIZE_RULES, F.col("role_bucket"))))
+    return with_roles(spark, sf_dir).select("slide", "ord", F.inline(F.filter(both, lambda x: x["severity"].isNotNull())))
 
 
 @query(f"""WITH {FIND_SQL} SELECT slide, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'warning') AS n_warning, bool_or(severity = 'critical') AS blocked,
@@ -190,7 +208,7 @@ def quality_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.quality_cells(found(spark, sf_dir), ["bounds", "overlap", "font-too-small"])
 
 
-COUNT_SQL = f"{E_SQL}, k AS (SELECT slide, count(*) FILTER (type = 'text') AS text, count(*) FILTER (type = 'shape') AS shape, count(*) FILTER (type = 'image') AS image, count(*) FILTER (type = 'line') AS line FROM e GROUP BY 1)"
+COUNT_SQL = f"{E_SQL}, k AS (SELECT slide, count(*) FILTER (type = 'text') AS text, count(*) FILTER (type IN ('shape', 'line')) AS shape, count(*) FILTER (type = 'image') AS image, count(*) FILTER (type = 'line') AS line FROM e GROUP BY 1)"
 LEVEL_SQL = f"""{COUNT_SQL}, lv AS (SELECT *, CASE WHEN image > 0 AND text = 0 THEN 1 WHEN image = 0 AND text > 0 THEN 5 WHEN text > 0 AND shape > 0 THEN 4 WHEN text > 0 THEN 3 ELSE 2 END::BIGINT AS level_render,
 CASE WHEN text > 0 AND shape > 0 AND image = 0 THEN 5 WHEN text > 0 AND shape > 0 THEN 4 WHEN text > 0 AND image > 0 THEN 3 WHEN shape > 0 THEN 2 ELSE 1 END::BIGINT AS level_report FROM k)"""
 
@@ -201,12 +219,16 @@ def type_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.levels(scoring.type_counters(elements(spark, sf_dir), ["slide"])).select("slide", "text", "shape", "image", "line", "level_render", "level_report")
 
 
-@query(f"""WITH {LEVEL_SQL} SELECT o_custkey, min(level_render) AS level, sum(image)::BIGINT AS rasterized,
-CASE (sum(image) > 0)::INT + (sum(line) > 5)::INT + (sum(shape) > 20)::INT WHEN 0 THEN 'low' WHEN 3 THEN 'high' ELSE 'medium' END AS risk FROM lv JOIN orders ON o_orderkey = slide GROUP BY 1""")
+@query(f"""WITH {LEVEL_SQL}, {ST_SQL}, o AS (SELECT slide, count(*) FILTER (type = 'shape' AND shape = 'star') AS odd, count(*) FILTER (type = 'image' AND src LIKE 'http%') AS remote FROM st GROUP BY 1),
+d AS (SELECT o_custkey, min(level_render) AS level, sum(image)::BIGINT AS rasterized, (sum(image) > 0)::BIGINT + (sum(odd) > 0)::BIGINT + (sum(remote) > 0)::BIGINT + (o_custkey % 3 > 0)::BIGINT AS n_issues FROM lv JOIN o USING (slide) JOIN orders ON o_orderkey = slide GROUP BY o_custkey)
+SELECT *, CASE WHEN n_issues = 0 THEN 'low' WHEN n_issues <= 2 THEN 'medium' ELSE 'high' END AS risk FROM d""")
 def deck_editability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders are a deck."""
-    lv = scoring.levels(scoring.type_counters(elements(spark, sf_dir), ["slide"]))
-    return scoring.deck_editability(lv.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slide"), "o_custkey"), "slide"), "o_custkey")
+    """A customer's orders are a deck; its number tells the design's font."""
+    lv = scoring.levels(scoring.type_counters(with_styles(elements(spark, sf_dir)), ["slide"]))
+    orders = table(spark, sf_dir, "orders")
+    fonts = orders.select("o_custkey", F.when(F.col("o_custkey") % 3 == 0, "Arial").otherwise(F.concat(F.lit("Font"), F.col("o_custkey") % 3)).alias("font"))
+    decks = scoring.deck_editability(lv.join(orders.select(F.col("o_orderkey").alias("slide"), "o_custkey"), "slide"), "o_custkey", fonts)
+    return decks.select("o_custkey", "level", "rasterized", "n_issues", "risk")
 
 
 SCORE_SQL = f"""{FIND_SQL}, k AS (SELECT slide, count(*) AS n, count(*) FILTER (type = 'text') AS text, count(*) FILTER (type = 'image') AS image FROM e GROUP BY 1),
@@ -259,31 +281,28 @@ def vertical_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.even_gaps(elements(spark, sf_dir), "slide", "y")
 
 
-@query(f"""WITH {E_SQL}, t AS (SELECT DISTINCT slide FROM ({TRIAD_SQL})), r AS ({RHYTHM_SQL}), m AS (SELECT DISTINCT slide FROM (SELECT slide, floor(y * 4 + 0.5) AS k FROM e WHERE typography LIKE '%metric%' GROUP BY 1, 2 HAVING count(*) >= 3)),
-g AS (SELECT slide, count(DISTINCT p % 5) > 3 AS ff, count(DISTINCT s % 3) <= 1 AS rt FROM e GROUP BY 1)
-SELECT g.slide, ff AS font_family_dedup, t.slide IS NOT NULL AS icon_circle_triad, m.slide IS NOT NULL AS kpi_sandwich, r.slide IS NOT NULL AS vertical_rhythm_variance, rt AS rounded_token_variance,
-least(100, ff::INT * 20 + (t.slide IS NOT NULL)::INT * 15 + (m.slide IS NOT NULL)::INT * 10 + (r.slide IS NOT NULL)::INT * 10 + rt::INT * 20)::BIGINT AS risk
-FROM g LEFT JOIN t ON t.slide = g.slide LEFT JOIN m ON m.slide = g.slide LEFT JOIN r ON r.slide = g.slide""")
+ROLE5 = "CASE WHEN role IS NOT NULL THEN CASE WHEN lower(role) IN ('title', 'caption') THEN lower(role) ELSE 'body' END WHEN typography IS NOT NULL THEN CASE WHEN typography LIKE '%footnote%' THEN 'caption' ELSE 'body' END WHEN font_size >= 24 THEN 'title' WHEN font_size >= 16 THEN 'heading' WHEN font_size <= 10 THEN 'caption' WHEN id LIKE 'kpi%' THEN 'metric' ELSE 'body' END"
+FLAGS = {"font_family_dedup": 20, "emoji_as_icon": 15, "css_gradient": 15, "all_caps_stroke_shadow": 10, "rhetoric_on_cjk": 10, "rounded_token_variance": 20, "icon_circle_triad": 15, "kpi_sandwich": 10, "vertical_rhythm_variance": 10}
+
+
+@query(f"""WITH {E_SQL}, {ST_SQL}, q AS (SELECT *, {ROLE5} AS r5, floor(y * 4 + 0.5) AS yb FROM st), r AS ({RHYTHM_SQL}),
+tr AS (SELECT DISTINCT slide FROM (SELECT slide, yb FROM q WHERE type = 'shape' AND shape = 'ellipse' GROUP BY 1, 2 HAVING count(*) >= 3)), kp AS (SELECT DISTINCT slide FROM (SELECT slide, yb FROM q WHERE r5 = 'metric' GROUP BY 1, 2 HAVING count(*) >= 3)),
+g AS (SELECT slide, count(DISTINCT font) > 3 AS font_family_dedup, bool_or(p % 5 = 4) AS emoji_as_icon, bool_or(s % 3 = 1) AS css_gradient, bool_or(p % 5 = 0 AND p % 4 <> 0 AND s % 3 <> 0) AS all_caps_stroke_shadow, bool_or(r5 IN ('title', 'subtitle') AND p % 5 = 2) AS rhetoric_on_cjk, bool_or(type = 'shape' AND s % 3 = 2) AS rounded_token_variance FROM q GROUP BY 1),
+w AS (SELECT g.*, tr.slide IS NOT NULL AS icon_circle_triad, kp.slide IS NOT NULL AS kpi_sandwich, r.slide IS NOT NULL AS vertical_rhythm_variance FROM g LEFT JOIN tr ON tr.slide = g.slide LEFT JOIN kp ON kp.slide = g.slide LEFT JOIN r ON r.slide = g.slide)
+SELECT *, least(100, {" + ".join(f"{k}::INT * {v}" for k, v in FLAGS.items())})::BIGINT AS risk FROM w""")
 def style_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G06, G07, G08, G09, W01"""
-    e = elements(spark, sf_dir)
-    flag = lambda df, name: df.select("slide").distinct().withColumn(name, F.lit(True))
-    whole = e.groupBy("slide").agg((F.countDistinct(F.col("p") % 5) > 3).alias("font_family_dedup"), (F.countDistinct(F.col("s") % 3) <= 1).alias("rounded_token_variance"))
-    flags = [
-        flag(scoring.y_buckets(e.where("type = 'shape'"), ["slide"]), "icon_circle_triad"),
-        flag(scoring.y_buckets(e.where("typography like '%metric%'"), ["slide"]), "kpi_sandwich"),
-        flag(ordered.even_gaps(e, "slide", "y"), "vertical_rhythm_variance"),
-    ]
-    for f in flags:
-        whole = whole.join(f, "slide", "left")
-    return scoring.risk_score(whole.na.fill(False)).select("slide", "font_family_dedup", "icon_circle_triad", "kpi_sandwich", "vertical_rhythm_variance", "rounded_token_variance", "risk")
-
-
-@query("SELECT doc_id, regexp_matches(text, '[A-Z]') AND text = upper(text) AS all_caps, regexp_matches(lower(text), '(linear|radial|conic)-gradient\\s*\\(') AS gradient FROM documents")
+    """Nine signals in one grouping."""
+    return scoring.risk_score(scoring.style_flags(with_styles(elements(spark, sf_dir)), ["slide"]))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F000}-\\x{1F1FF}]') AS emoji, regexp_matches(text, '[A-Z]') AND text = upper(text) AND doc_id % 2 = 1 AND doc_id % 3 > 0 AS shouts, regexp_matches(lower(text), '(linear|radial|conic)-gradient\\s*\\(') AS gradient FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || chr(128512) WHEN doc_id % 4 = 1 THEN upper(lang) WHEN doc_id % 4 = 2 THEN text || ' LINEAR-gradient (' ELSE text END AS text FROM documents)")
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P17, P18"""
+    k, t = F.col("doc_id"), F.col("text")
+    text = F.when(k % 4 == 0, F.concat(t, F.lit("\U0001F600"))).when(k % 4 == 1, F.upper("lang")).when(k % 4 == 2, F.concat(t, F.lit(" LINEAR-gradient ("))).otherwise(t)
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", C.all_caps(t).alias("all_caps"), C.has_gradient(t).alias("gradient"))
+    return d.select("doc_id", C.has_emoji(t).alias("emoji"), C.shouts(t, F.when(k % 2 == 1, "1px").otherwise("none"), F.when(k % 3 > 0, "soft")).alias("shouts"), C.has_gradient(t).alias("gradient"))
 
 
 @query("""SELECT doc_id, (length(text) * (8 + doc_id % 12)::DOUBLE * 0.55::DOUBLE * (CASE WHEN doc_id % 3 = 0 THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN doc_id % 5 = 0 THEN 0.95::DOUBLE ELSE 1 END) / 72)
@@ -409,29 +428,65 @@ def pie_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT series, label, value::DOUBLE AS value FROM (SELECT n_regionkey AS label, 'nations' AS series, count(*) AS value FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, 'letters', sum(length(n_name)) FROM nation GROUP BY 1)")
 def chart_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped bar chart with a label for each region."""
+    """The values of a grouped bar chart with a label for each region."""
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").cast("double").alias("a"), F.sum(F.length("n_name")).cast("double").alias("b"))
     point = F.struct(F.col("n_regionkey").alias("label"), F.lit(None).cast("double").alias("value"), F.create_map(F.lit("nations"), "a", F.lit("letters"), "b").alias("series"))
     chart = n.groupBy().agg(F.collect_list(point).alias("data"))
-    return ordered.chart_marks(chart.select(F.lit("chart").alias("id"), F.lit("groupedBar").alias("kind"), "data")).select("series", "label", "value")
-
-
-@query("""WITH r AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS row FROM region), c AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS col FROM nation)
-SELECT row, col, r_name AS row_label, n_name AS col_label, floor(col * 12::DOUBLE / (SELECT count(*) FROM nation) * 1000 + 0.5) / 1000 AS x, floor(row * 6::DOUBLE / (SELECT count(*) FROM region) * 1000 + 0.5) / 1000 AS y FROM r, c""")
-def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matrix of a page's labels."""
-    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("row_label"), (F.row_number().over(W.orderBy("r_name")) - 1).cast("long").alias("row"))
-    c = table(spark, sf_dir, "nation").select(F.col("n_name").alias("col_label"), (F.row_number().over(W.orderBy("n_name")) - 1).cast("long").alias("col"))
-    return ordered.matrix_cells(r, c, 12.0, 6.0)
-
-
-@query("""SELECT row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS col, dense_rank() OVER (ORDER BY r_name) - 1 AS row, r_name AS label, n_name AS node FROM nation JOIN region ON r_regionkey = n_regionkey""")
-def layered_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions are layers, nations their nodes."""
+    return marks.chart_marks(chart.select(F.lit("chart").alias("id"), F.lit("groupedBar").alias("kind"), "data")).select("series", "label", "value")
+
+
+POINTS = """pt AS (SELECT user_id, event_type AS label, count(*)::DOUBLE AS n, floor(sum(value)) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS k, 1::DOUBLE AS x, user_id % 5 / 8::DOUBLE AS y, (4 + user_id % 3)::DOUBLE AS w, 2::DOUBLE AS h FROM events GROUP BY user_id, event_type),
+q AS (SELECT *, greatest(1, max(n + v) OVER u) AS most, greatest(1, max(n) OVER u) AS top, least(0, min(n) OVER u) AS low, least(0.12::DOUBLE, w / (k * 4)) AS gap, 0.32::DOUBLE AS lh, 0.26::DOUBLE AS vh, h - 0.68::DOUBLE AS ch FROM pt WINDOW u AS (PARTITION BY user_id)),
+a AS (SELECT *, greatest(0.08::DOUBLE, (w - gap * (k - 1)) / k) AS bw, least(0.4::DOUBLE, h / k) AS rh, least(1.2::DOUBLE, w * 0.22::DOUBLE) AS lw, greatest(0.8::DOUBLE, (w - 0.2::DOUBLE * (k - 1)) / k) AS cw, lead(n) OVER (PARTITION BY user_id ORDER BY i) AS nn,
+greatest(0.02::DOUBLE, n / most * ch) AS s1, greatest(0.02::DOUBLE, v / most * ch) AS s2 FROM q)"""
+CHART_PARTS = """SELECT user_id, 3 * i AS part, 'shape' AS type, x + i * (bw + gap) AS x, y + vh + ch - s1 AS y, bw AS w, s1 AS h, NULL AS text FROM a WHERE user_id % 4 = 0
+UNION ALL SELECT user_id, 3 * i + 1, 'shape', x + i * (bw + gap), y + vh + ch - s1 - s2, bw, s2, NULL FROM a WHERE user_id % 4 = 0
+UNION ALL SELECT user_id, 3 * i + 2, 'text', x + i * (bw + gap), y + vh + ch + 0.05::DOUBLE, bw, lh, label FROM a WHERE user_id % 4 = 0
+UNION ALL SELECT user_id, 3 * k + 2 * j, 'shape', x + j, y + h - 0.24::DOUBLE + 0.04::DOUBLE, 0.12::DOUBLE, 0.12::DOUBLE, NULL FROM a, (VALUES (0), (1)) AS t(j) WHERE user_id % 4 = 0 AND i = 0
+UNION ALL SELECT user_id, 3 * k + 2 * j + 1, 'text', x + j + 0.16::DOUBLE, y + h - 0.24::DOUBLE, 0.8::DOUBLE, 0.2::DOUBLE, CASE j WHEN 0 THEN 'n' ELSE 'v' END FROM a, (VALUES (0), (1)) AS t(j) WHERE user_id % 4 = 0 AND i = 0
+UNION ALL SELECT user_id, 3 * i, 'text', x, y + i * (rh + 0.08::DOUBLE), lw - 0.08::DOUBLE, rh, label FROM a WHERE user_id % 4 = 1
+UNION ALL SELECT user_id, 3 * i + 1, 'shape', x + lw, y + i * (rh + 0.08::DOUBLE), greatest(0.05::DOUBLE, n / top * (w - lw)), rh, NULL FROM a WHERE user_id % 4 = 1
+UNION ALL SELECT user_id, 3 * i + 2, 'text', x + lw + greatest(0.05::DOUBLE, n / top * (w - lw)) + 0.05::DOUBLE, y + i * (rh + 0.08::DOUBLE), 0.6::DOUBLE, rh, n::BIGINT::VARCHAR FROM a WHERE user_id % 4 = 1
+UNION ALL SELECT user_id, 4 * i, 'shape', x + i * (cw + 0.2::DOUBLE), y, cw, h, NULL FROM a WHERE user_id % 4 = 2
+UNION ALL SELECT user_id, 4 * i + 1, 'shape', x + i * (cw + 0.2::DOUBLE), y, 0.08::DOUBLE, h, NULL FROM a WHERE user_id % 4 = 2
+UNION ALL SELECT user_id, 4 * i + 2, 'text', x + i * (cw + 0.2::DOUBLE) + 0.2::DOUBLE, y + 0.1::DOUBLE, cw - 0.3::DOUBLE, h * 0.55::DOUBLE, n::BIGINT::VARCHAR FROM a WHERE user_id % 4 = 2
+UNION ALL SELECT user_id, 4 * i + 3, 'text', x + i * (cw + 0.2::DOUBLE) + 0.2::DOUBLE, y + h * 0.6::DOUBLE, cw - 0.3::DOUBLE, h * 0.3::DOUBLE, label FROM a WHERE user_id % 4 = 2
+UNION ALL SELECT user_id, i, 'line', x + i * (w / (k - 1)), y + h - (n - low) / greatest(1, top - low) * h, w / (k - 1), (n - nn) / greatest(1, top - low) * h, NULL FROM a WHERE user_id % 4 = 3 AND nn IS NOT NULL
+UNION ALL SELECT user_id, i, 'text', x + w - 0.6::DOUBLE, y, 0.6::DOUBLE, 0.24::DOUBLE, n::BIGINT::VARCHAR FROM a WHERE user_id % 4 = 3 AND nn IS NULL AND k > 1"""
+
+
+@query(f"WITH {POINTS}, z AS ({CHART_PARTS}) SELECT user_id, part::INT AS part, type, {', '.join(f'{up(c, 6)} AS {c}' for c in 'xywh')}, text FROM z")
+def chart_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart for each user, of a kind by its number, with a point for each type of event: all parts with their places."""
+    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"), F.floor(F.sum("value")).cast("double").alias("v"))
+    point = F.struct(F.col("event_type").alias("label"), F.col("n").alias("value"), F.create_map(F.lit("n"), "n", F.lit("v"), "v").alias("series"))
+    sort = lambda a, b: F.when(a["label"] < b["label"], -1).otherwise(1)
+    charts = n.groupBy("user_id").agg(F.array_sort(F.collect_list(point), sort).alias("data"))
+    kind = F.element_at(F.array(*map(F.lit, ("stackedBar", "horizontalBar", "kpiGroup", "sparkline"))), (F.col("user_id") % 4 + 1).cast("int"))
+    charts = charts.select("user_id", F.col("user_id").cast("string").alias("id"), F.lit("chart").alias("type"), kind.alias("kind"), F.lit(1.0).alias("x"), (F.col("user_id") % 5 / 8.0).alias("y"), (F.col("user_id") % 3 + 4).cast("double").alias("w"), F.lit(2.0).alias("h"), "data")
+    return marks.expanded(charts, ["user_id"]).select("user_id", "part", "type", *[C.half_up(F.col(c), 6).alias(c) for c in "xywh"], "text")
+
+
+DIAGRAM = """l AS (SELECT r_name AS label, row_number() OVER (ORDER BY r_name) - 1 AS k, (SELECT count(*) FROM region) AS n FROM region), nd AS (SELECT r_name AS label, n_name AS node, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS m, count(*) OVER (PARTITION BY r_name) AS many FROM nation JOIN region ON r_regionkey = n_regionkey),
+g AS (SELECT *, (5 - 0.16::DOUBLE * (n - 1)) / n AS tall FROM l), t AS (SELECT *, 1 + k * (tall + 0.16::DOUBLE) AS top FROM g), j AS (SELECT t.*, node, m, (11 - 2.6::DOUBLE - 0.12::DOUBLE * (many - 1)) / many AS wide FROM t JOIN nd USING (label)),
+c AS (SELECT n_name AS label, row_number() OVER (ORDER BY n_name) - 1 AS k, (SELECT count(*) FROM nation) AS n FROM nation)"""
+DIAGRAM_PARTS = """SELECT 'd__layer-' || k AS id, 'shape' AS type, 1::DOUBLE AS x, top AS y, 11::DOUBLE AS w, tall AS h, NULL AS text FROM t UNION ALL SELECT 'd__layer-label-' || k, 'text', 1.2::DOUBLE, top + 0.1::DOUBLE, 2, 0.32::DOUBLE, label FROM t
+UNION ALL SELECT 'd__node-' || k || '-' || m, 'shape', 3.3::DOUBLE + m * (wide + 0.12::DOUBLE), top + 0.18::DOUBLE, wide, tall - 0.36::DOUBLE, NULL FROM j UNION ALL SELECT 'd__node-label-' || k || '-' || m, 'text', 3.38::DOUBLE + m * (wide + 0.12::DOUBLE), top + 0.28::DOUBLE, wide - 0.16::DOUBLE, tall - 0.56::DOUBLE, node FROM j
+UNION ALL SELECT 'd__connector-' || k, 'line', 6.5::DOUBLE, top + tall, 0, 0.16::DOUBLE, NULL FROM t WHERE k < n - 1
+UNION ALL SELECT 'm__col-' || k, 'text', 2.5::DOUBLE + k * (9.5::DOUBLE / n), 1, 9.5::DOUBLE / n, 0.45::DOUBLE, label FROM c UNION ALL SELECT 'm__row-' || k, 'text', 1, 1.45::DOUBLE + k * (4.55::DOUBLE / n), 1.5::DOUBLE, 4.55::DOUBLE / n, label FROM l
+UNION ALL SELECT 'm__cell-' || l.k || '-' || c.k, 'shape', 2.5::DOUBLE + c.k * (9.5::DOUBLE / c.n), 1.45::DOUBLE + l.k * (4.55::DOUBLE / l.n), 9.5::DOUBLE / c.n, 4.55::DOUBLE / l.n, NULL FROM l, c"""
+
+
+@query(f"WITH {DIAGRAM}, z AS ({DIAGRAM_PARTS}) SELECT id, type, {', '.join(f'{up(c, 6)} AS {c}' for c in 'xywh')}, text FROM z")
+def diagram_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as layers with their nations, and regions by nations as a matrix."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     layer = n.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("nodes"))
-    d = layer.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("r_name").alias("label"), "nodes"))).alias("layers"))
-    return ordered.diagram_marks(d.select(F.lit("d").alias("id"), F.lit("layered").alias("kind"), "layers")).select(F.col("row").cast("long"), "label", F.col("col").cast("long"), "node")
+    one = layer.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("r_name").alias("label"), "nodes"))).alias("layers"))
+    box = {"x": 1.0, "y": 1.0, "w": 11.0, "h": 5.0}
+    d = one.select(F.explode(F.array(F.struct(F.lit("d").alias("id"), F.lit("capabilityStack").alias("kind")), F.struct(F.lit("m").alias("id"), F.lit("matrixMap").alias("kind")))).alias("i"), "layers")
+    d = d.select("i.*", F.lit("diagram").alias("type"), "layers", F.transform("layers", lambda x: x["label"]).alias("rows"), F.array_sort(F.flatten(F.transform("layers", lambda x: x["nodes"]))).alias("columns"), *[F.lit(v).alias(k) for k, v in box.items()])
+    return marks.expanded(d, []).select("id", "type", *[C.half_up(F.col(c), 6).alias(c) for c in "xywh"], "text")
 
 
 CONF = "(s * 13 + ord * 7) % 101"
@@ -494,21 +549,20 @@ def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.batch_report(decks)
 
 
-@query(f"SELECT slide, {up('coalesce(avg(sqrt(dx * dx + dy * dy)), 0)')} AS drift FROM (WITH {E_SQL} SELECT slide, (p % 9 - 4) / 8::DOUBLE AS dx, (s % 7 - 3) / 8::DOUBLE AS dy FROM e) GROUP BY 1")
+@query(f"SELECT slide, {up('coalesce(avg(sqrt(dx * dx + dy * dy)), 0)', 3)} AS drift FROM (WITH {E_SQL} SELECT slide, (p % 9 - 4) / 8::DOUBLE AS dx, (s % 7 - 3) / 8::DOUBLE AS dy FROM e) GROUP BY 1")
 def mean_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G11"""
-    d = scoring.mean_drift(elements(spark, sf_dir).select("slide", F.expr("(p % 9 - 4) / 8D").alias("dx"), F.expr("(s % 7 - 3) / 8D").alias("dy")), ["slide"])
-    return d.select("slide", C.half_up(F.col("drift"), 4).alias("drift"))
+    return scoring.mean_drift(elements(spark, sf_dir).select("slide", F.expr("(p % 9 - 4) / 8D").alias("dx"), F.expr("(s % 7 - 3) / 8D").alias("dy")), ["slide"])
 
 
-@query(f"""WITH {LEVEL_SQL}, fk AS (SELECT slide, level_render, level_report, CASE slide % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'image' ELSE 'design-first' END AS input FROM lv)
-SELECT slide, CASE WHEN input = 'image' THEN 3 ELSE 4 END AS floor, CASE WHEN level_report < CASE WHEN input = 'image' THEN 3 ELSE 4 END THEN 'source' ELSE 'pipeline' END AS cause FROM fk WHERE level_render < CASE WHEN input = 'image' THEN 3 ELSE 4 END""")
+@query(f"""WITH {LEVEL_SQL}, fk AS (SELECT slide, level_render AS v, CASE slide % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'image' ELSE 'other' END AS input, greatest(CASE WHEN slide % 3 = 1 THEN 3 ELSE 4 END, CASE WHEN slide % 11 = 0 THEN 5 ELSE 0 END)::DOUBLE AS floor FROM lv)
+SELECT slide, floor, floor - v AS gap, CASE WHEN slide % 5 = 0 OR input = 'image' THEN 'source' ELSE 'pipeline' END AS cause, CASE WHEN slide % 5 = 0 OR input = 'image' THEN 'with-justification' ELSE 'false' END AS satisfied FROM fk WHERE v < floor""")
 def floor_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12"""
-    lv = type_counters(spark, sf_dir)
-    kind = F.when(F.col("slide") % 3 == 0, "html").when(F.col("slide") % 3 == 1, "image").otherwise("design-first")
-    bad = scoring.floor_violation(F.col("level_render"), kind, F.lit(None).cast("int"), F.col("level_report"))
-    return lv.select("slide", bad.alias("v")).where("v is not null").select("slide", "v.*")
+    k = F.col("slide")
+    kind = F.when(k % 3 == 0, "html").when(k % 3 == 1, "image").otherwise("other")
+    bad = scoring.floor_violation(F.col("level_render"), kind, F.when(k % 11 == 0, 5), k % 5 == 0)
+    return type_counters(spark, sf_dir).select("slide", bad.alias("v")).where("v is not null").select("slide", "v.*")
 
 
 DUP = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
@@ -550,10 +604,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("doc-"), k)).alias("id"), F.when(F.col("lang") == "en", "web").when(F.col("lang") == "fr", "report").when(F.col("lang") == "de", None).otherwise("odd").alias("kind"), F.concat(F.when(k % 3 == 0, "ftp://").otherwise("https://"), "source").alias("url"), F.when(k % 2 == 0, "embedded").otherwise("reference").alias("final_use"))
 
 
-@query(f"WITH {REG} SELECT severity, code, count(*) AS n FROM i GROUP BY 1, 2")
+@query(f"WITH {REG} SELECT r.id, severity, code FROM i JOIN r USING (doc_id)")
 def registry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F11"""
-    return scoring.registry_issues(registry(spark, sf_dir), ["web", "report"]).groupBy("severity", "code").agg(F.count("*").alias("n"))
+    return scoring.registry_issues(registry(spark, sf_dir), ["web", "report"])
 
 
 @query(f"WITH {REG} SELECT (SELECT count(*) FROM r) AS n_sources, (SELECT count(*) FROM r WHERE doc_id % 2 = 0) AS n_embedded, count(*) AS n_issues, count(*) FILTER (severity = 'error') = 0 AS valid FROM i")
@@ -592,39 +646,49 @@ def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIND_SQL}, q AS (SELECT slide, ord, kind, e.x, e.y, e.w, e.h FROM f JOIN e USING (slide, ord))
-SELECT slide, ord, 'move' AS operation FROM q WHERE kind = 'bounds' AND (x > 6 OR y > 3) UNION ALL SELECT slide, ord, 'resize' FROM q WHERE kind = 'bounds' AND w > 2 UNION ALL SELECT slide, ord, 'updateStyle' FROM q WHERE kind = 'font-too-small'""")
+SELECT slide, ord, 'move' AS operation, CASE WHEN x > 6 THEN x / 2 END AS to_x, CASE WHEN y > 3 THEN y / 2 END AS to_y, NULL::DOUBLE AS to_w, NULL AS style, NULL AS suggestion_kind FROM q WHERE kind = 'bounds' AND (x > 6 OR y > 3)
+UNION ALL SELECT slide, ord, 'resize', NULL, NULL, w / 2, NULL, NULL FROM q WHERE kind = 'bounds' AND w > 2 UNION ALL SELECT slide, ord, 'updateStyle', NULL, NULL, NULL, '{{"fontSize":"12"}}', kind FROM q WHERE kind = 'font-too-small'
+UNION ALL SELECT slide, ord, 'increaseSpacing', NULL, NULL, NULL, NULL, 'card-spacing-tight' FROM e WHERE s % 6 = 0""")
 def patch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X04"""
-    f = found(spark, sf_dir).join(elements(spark, sf_dir).select("slide", "ord", *"xywh"), ["slide", "ord"])
-    s = lambda c, test: F.when(test, F.col(c) / 2)
-    f = f.withColumns({"suggest_x": s("x", F.col("x") > 6), "suggest_y": s("y", F.col("y") > 3), "suggest_w": s("w", F.col("w") > 2), "suggest_h": F.lit(None).cast("double")})
-    return matching.patches_for(f).select("slide", "ord", "operation")
+    e = elements(spark, sf_dir)
+    f = found(spark, sf_dir).join(e.select("slide", "ord", *"xywh", "s"), ["slide", "ord"])
+    more = e.select("slide", "ord", F.explode(F.array(F.lit("overlap"), F.when(F.col("s") % 6 == 0, "card-spacing-tight").otherwise("other"))).alias("kind"), F.lit("warning").alias("severity"), *"xywh", "s")
+    half = lambda c, least: F.when(F.col(c) > least, F.col(c) / 2).alias(c)
+    f = f.unionByName(more).select("slide", "ord", F.col("ord").cast("string").alias("element_id"), "kind", F.struct(half("x", 6), half("y", 3), half("w", 2), F.lit(None).cast("double").alias("h")).alias("suggestion"))
+    p, c = matching.patches_for(f), "changes."
+    return p.select("slide", "ord", "operation", *[F.col(f"{c}{k}").alias(f"to_{k}") for k in "xyw"], F.to_json(f"{c}style").alias("style"), F.col(f"{c}suggestion_kind").alias("suggestion_kind"))
 
 
 def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two patches in order: raw line items move what they name; keys that no element has are left over."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 4 = 0")
-    none = F.lit(None).cast("double")
-    cols = {"w": none, "h": none, "font_size": F.lit(12.0)}
-    key = [F.col("l_orderkey").alias("slide"), (F.col("l_linenumber") + F.when(F.col("l_suppkey") % 5 == 0, 1).otherwise(0)).cast("int").alias("ord")]
-    one = li.select(*key, (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("patch_ord"), F.expr("(l_partkey % 50) / 8D").alias("x"), F.when(F.col("l_suppkey") % 2 == 0, F.expr("(l_suppkey % 40) / 8D")).alias("y"))
-    return one.withColumns(cols).dropDuplicates(["slide", "ord", "patch_ord"])
+    """Patches in order: every raw line item moves, restyles or removes what it names, or asks for what can't be done; keys that no
+    element has are left over."""
+    k, n = F.col("l_partkey"), F.col("l_suppkey")
+    key = [F.col("l_orderkey").alias("slide"), (F.col("l_linenumber") + F.when(n % 5 == 0, 1).otherwise(0)).cast("int").alias("ord")]
+    operation = F.when(k % 13 == 0, "removeElement").when(k % 7 == 0, "adjustStyle").when(k % 17 == 0, "paint").otherwise("move")
+    changes = F.struct(F.expr("(l_partkey % 50) / 8D").alias("x"), F.when(n % 2 == 0, F.expr("(l_suppkey % 40) / 8D")).alias("y"), F.create_map(F.lit("size"), (k % 30).cast("string")).alias("style"))
+    rows = table(spark, sf_dir, "lineitem").select(*key, (k * 1000 + n).alias("patch_ord"), operation.alias("operation"), changes.alias("changes"))
+    return rows.groupBy("slide", "ord", "patch_ord").agg(F.any_value("operation").alias("operation"), F.any_value("changes").alias("changes"))
 
 
-PATCH = f"""{E_SQL}, pt AS (SELECT DISTINCT l_orderkey AS slide, l_linenumber + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS ord, l_partkey * 1000 + l_suppkey AS po, (l_partkey % 50) / 8::DOUBLE AS x, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 40) / 8::DOUBLE END AS y FROM lineitem WHERE l_partkey % 4 = 0),
-fo AS (SELECT slide, ord, arg_max(x, po) AS x, arg_max(y, po) FILTER (y IS NOT NULL) AS y FROM pt GROUP BY 1, 2)"""
+PATCH = f"""{E_SQL}, pt AS (SELECT DISTINCT l_orderkey AS slide, l_linenumber + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS ord, l_partkey * 1000 + l_suppkey AS po, CASE WHEN l_partkey % 13 = 0 THEN 'removeElement' WHEN l_partkey % 7 = 0 THEN 'adjustStyle' WHEN l_partkey % 17 = 0 THEN 'paint' ELSE 'move' END AS op,
+(l_partkey % 50) / 8::DOUBLE AS x, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 40) / 8::DOUBLE END AS y, (l_partkey % 30)::VARCHAR AS z FROM lineitem),
+pr AS (SELECT *, coalesce(bool_or(op = 'removeElement') OVER (PARTITION BY slide, ord ORDER BY po ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM pt),
+fo AS (SELECT slide, ord, arg_max(x, po) FILTER (op = 'move') AS x, arg_max(y, po) FILTER (op = 'move' AND y IS NOT NULL) AS y, arg_max(z, po) FILTER (op = 'adjustStyle') AS z, bool_or(op = 'removeElement') AS gone FROM pt GROUP BY 1, 2)"""
 
 
-@query(f"WITH {PATCH} SELECT e.slide, e.ord, coalesce(fo.x, e.x) AS x, coalesce(fo.y, e.y) AS y, CASE WHEN fo.slide IS NULL THEN font_size ELSE 12 END AS font_size FROM e LEFT JOIN fo ON fo.slide = e.slide AND fo.ord = e.ord")
+@query(f"WITH {PATCH} SELECT e.slide, e.ord, coalesce(fo.x, e.x) AS x, coalesce(fo.y, e.y) AS y, 'big' AS own, coalesce(z, '10') AS size FROM e LEFT JOIN fo ON fo.slide = e.slide AND fo.ord = e.ord WHERE NOT coalesce(gone, false)")
 def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J17"""
-    return matching.apply_patches(elements(spark, sf_dir), patch_rows(spark, sf_dir), ["slide", "ord"])[0].select("slide", "ord", "x", "y", "font_size")
+    e = elements(spark, sf_dir).withColumn("style", F.create_map(F.lit("own"), F.lit("big"), F.lit("size"), F.lit("10")))
+    new = matching.apply_patches(e, patch_rows(spark, sf_dir), ["slide", "ord"])[0]
+    return new.select("slide", "ord", "x", "y", F.col("style")["own"].alias("own"), F.col("style")["size"].alias("size"))
 
 
-@query(f"WITH {PATCH} SELECT slide, ord, po AS patch_ord FROM pt WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.slide = pt.slide AND e.ord = pt.ord)")
+@query(f"WITH {PATCH} SELECT pr.slide, pr.ord, po AS patch_ord, CASE WHEN op = 'paint' THEN 'unsupported operation' WHEN e.slide IS NULL THEN 'missing element' ELSE 'removed before' END AS error FROM pr LEFT JOIN e ON e.slide = pr.slide AND e.ord = pr.ord WHERE op = 'paint' OR e.slide IS NULL OR late")
 def patch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J17"""
-    return matching.apply_patches(elements(spark, sf_dir), patch_rows(spark, sf_dir), ["slide", "ord"])[1].select("slide", "ord", "patch_ord")
+    return matching.apply_patches(elements(spark, sf_dir), patch_rows(spark, sf_dir), ["slide", "ord"])[1].select("slide", "ord", "patch_ord", "error")
 
 
 def nation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -662,11 +726,12 @@ EVENT_SCHEMA = {
 }
 
 
-@query("""SELECT event_id, (event_type NOT IN ('click', 'view', 'purchase'))::BIGINT + (length(event_type) < 5)::BIGINT + (value < 1)::BIGINT + (value > 99)::BIGINT + (value <= 2)::BIGINT + (user_id = 7)::BIGINT + (event_type = 'click' AND value > 50)::BIGINT AS n_violations FROM events""")
+@query("""SELECT event_id, concat_ws(', ', CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN '$.event_type: enum' END, CASE WHEN length(event_type) < 5 THEN '$.event_type: minLength' END, CASE WHEN value < 1 THEN '$.value: minimum' END, CASE WHEN value > 99 THEN '$.value: maximum' END,
+CASE WHEN value <= 2 THEN '$.value: exclusiveMinimum' END, CASE WHEN user_id = 7 THEN '$.user_id: not' END, CASE WHEN event_type = 'click' AND value > 50 THEN '$.value: maximum' END) AS violations FROM events""")
 def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10"""
     e = table(spark, sf_dir, "events").select("event_id", F.struct("event_type", "value", "user_id").alias("e"))
-    return validation.violations(e, EVENT_SCHEMA, "e").select("event_id", F.size("violations").cast("long").alias("n_violations"))
+    return validation.violations(e, EVENT_SCHEMA, "e").select("event_id", F.array_join("violations", ", ").alias("violations"))
 
 
 IMG = f"""v AS (SELECT *, row_number() OVER (PARTITION BY label % 2 = 0, label // 2 ORDER BY vec_id) AS rank FROM embeddings), p AS (SELECT a.label // 2 AS pair, a.rank, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM v a JOIN v b ON a.label // 2 = b.label // 2 AND a.rank = b.rank AND a.label % 2 = 0 AND b.label % 2 = 1),
@@ -745,27 +810,36 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.hybrid_merge(e.where("p % 2 = 0"), e, "id").select("slide", "ord", "measured", "cursor")
 
 
-@query("SELECT o_orderkey AS slide_id, CASE o_orderstatus WHEN 'F' THEN 'cover' WHEN 'O' THEN 'layered' ELSE 'body' END AS layout_type, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END::BIGINT AS n FROM orders")
+X06 = """o AS (SELECT o_orderkey AS slide_id, o_orderstatus AS st, o_orderpriority AS idea, o_orderkey % 4 AS n, o_custkey % 2 = 0 AS head FROM orders),
+q AS (SELECT slide_id, 0 AS ord, 'headline' AS id, 'text' AS type, 0.7::DOUBLE AS x, 0.5::DOUBLE AS y, 11.8::DOUBLE AS w, 0.7::DOUBLE AS h, CASE WHEN head THEN 'Head' ELSE idea END AS text, CASE WHEN n = 0 THEN 38 ELSE 28 END AS font_size, NULL AS fill FROM o
+UNION ALL SELECT slide_id, 1, 'subtitle', 'text', 0.75, 1.35, 7.2, 0.45, 'why', 17, NULL FROM o WHERE st = 'F' UNION ALL SELECT slide_id, 2, 'accent-bar', 'shape', 0.75, 6.45, 3.4, 0.08, NULL, NULL, '#2563EB' FROM o WHERE st = 'F'
+UNION ALL SELECT slide_id, 1, slide_id || '-diagram', 'diagram', 0.8, 1.4, 11.7, 5.2, NULL, NULL, NULL FROM o WHERE st = 'O' UNION ALL SELECT slide_id, 2, 'main-idea', 'text', 0.75, 6.7, 11.8, 0.4, idea, 12, NULL FROM o WHERE st = 'O'
+UNION ALL SELECT slide_id, 1, 'main-idea', 'text', 0.75, 1.25, 5.1, 1.1, idea, 16, NULL FROM o WHERE st NOT IN ('F', 'O') UNION ALL SELECT slide_id, 2, 'content-panel', 'shape', 6.2, 1.25, 6.0, 4.9, NULL, NULL, '#EEEEEE' FROM o WHERE st NOT IN ('F', 'O'))"""
+
+
+@query(f"WITH {X06} SELECT slide_id, ord, id, type, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, text, font_size::DOUBLE AS font_size, fill FROM q")
 def compiled_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X06"""
-    o = table(spark, sf_dir, "orders")
-    specs = o.select(F.col("o_orderkey").alias("slide_id"), F.when(F.col("o_orderstatus") == "F", "cover").when(F.col("o_orderstatus") == "O", "layered").otherwise("body").alias("layout_type"), F.col("o_orderpriority").alias("main_idea"), F.array("o_orderstatus").alias("slots"))
-    n = ordered.compiled_slides(specs).groupBy("slide_id").agg(F.count("*").alias("n"))
-    return specs.select("slide_id", "layout_type").join(n, "slide_id")
+    st, text = F.col("o_orderstatus"), lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    slots = F.when(F.col("o_custkey") % 2 == 0, text("headline", "Head")).otherwise(F.create_map().cast("map<string,string>"))
+    specs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("slide_id"), (F.col("o_orderkey") % 4).alias("slide_ord"), F.when(st == "F", "cover").otherwise("body").alias("layout_type"), F.lit("why").alias("intent"), F.col("o_orderpriority").alias("main_idea"), slots.alias("slots"), F.lit(None).cast("array<struct<label:string,nodes:array<string>>>").alias("layers"), text("surface", "#EEEEEE").alias("palette"), (st == "O").alias("layered"))
+    return ordered.compiled_slides(specs).select(F.col("slide_id").cast("long").alias("slide_id"), "ord", "id", "type", *"xywh", "text", "font_size", "fill")
 
 
-@query("SELECT d.direction_id, r_regionkey, r_name FROM region CROSS JOIN (VALUES ('direction-001'), ('direction-002'), ('direction-003')) AS d(direction_id)")
+@query("SELECT d.direction_id, d.\"primary\", r_regionkey, r_name FROM region CROSS JOIN (VALUES ('direction-001', '#1D4ED8'), ('direction-002', '#35D0FF'), ('direction-003', '#0F766E')) AS d(direction_id, \"primary\")")
 def direction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X08, P33"""
-    return ordered.directions(table(spark, sf_dir, "region"), [f"direction-{k:03d}" for k in (1, 2, 3)])
+    return ordered.directions(table(spark, sf_dir, "region").select("r_regionkey", "r_name")).select("direction_id", "primary", "r_regionkey", "r_name")
 
 
-@query("SELECT o_custkey, to_json(map_from_entries(list_sort(list({k: o_orderpriority, v: n})))) AS doc, count(*) AS n FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+@query("""SELECT o_custkey, '{"a":' || count(*) || ',"z":[' || to_json(map_from_entries(list_sort(list({k: o_orderpriority, v: {b: n, c: o_custkey}}))))::VARCHAR || ']}' AS doc FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def sorted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K01"""
+    """Keys in order at every depth."""
     n = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
-    m = n.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("m"), F.count("*").alias("n"))
-    return m.select("o_custkey", C.sorted_json(F.col("m")).alias("doc"), "n")
+    inner = F.struct(F.col("o_custkey").alias("c"), F.col("n").alias("b"))
+    m = n.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", inner))).alias("m"), F.count("*").alias("n"))
+    doc = m.select("o_custkey", F.struct(F.array("m").alias("z"), F.col("n").alias("a")).alias("doc"))
+    return doc.select("o_custkey", C.sorted_json(F.col("doc"), doc.schema["doc"].dataType).alias("doc"))
 
 
 @query("SELECT conv_id, list_sort(list(DISTINCT role || '.md'))::VARCHAR AS files, list_sort(list_filter(['assistant.md', 'system.md', 'user.md'], lambda x: NOT list_contains(list(DISTINCT role || '.md'), x)))::VARCHAR AS missing FROM conversations GROUP BY 1")
@@ -807,26 +881,36 @@ def node_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(spark, sf_dir).select("slide", "ord", C.box_overflow(p % 50, s % 20, F.lit(40), F.lit(15)).alias("overflows"), C.direction_dot(x, y, x + w, y + h, p % 13, s % 7).alias("dot"))
 
 
-@query("""SELECT p_partkey, CASE WHEN v >= 4 THEN 'good' WHEN v >= 3 THEN 'warn' WHEN v IS NOT NULL THEN 'bad' END AS level, CASE WHEN p_partkey % 5 <= 1 THEN 'good' WHEN p_partkey % 5 <= 3 THEN 'warn' ELSE 'bad' END AS drift,
-CASE WHEN p_partkey % 100 >= 85 THEN 'good' WHEN p_partkey % 100 >= 70 THEN 'warn' ELSE 'bad' END AS palette, CASE WHEN p_partkey % 97 >= 75 THEN 'fail' WHEN p_partkey % 97 >= 40 THEN 'warn' ELSE 'good' END AS slop
+@query("""SELECT p_partkey, CASE WHEN v IS NULL THEN 'warn' WHEN v >= 4 THEN 'pass' WHEN v = 3 THEN 'warn' ELSE 'fail' END AS level, CASE WHEN p_partkey % 5 <= 1 THEN 'pass' WHEN p_partkey % 5 <= 3 THEN 'warn' ELSE 'fail' END AS drift,
+CASE WHEN p_partkey % 100 >= 85 THEN 'pass' WHEN p_partkey % 100 >= 70 THEN 'warn' ELSE 'fail' END AS palette, CASE WHEN p_partkey % 97 >= 75 THEN 'fail' WHEN p_partkey % 97 >= 40 THEN 'warn' ELSE 'pass' END AS slop,
+CASE WHEN p_partkey % 4 > 2 THEN 'fail' WHEN p_partkey % 3 > 0 THEN 'warn' ELSE 'pass' END AS bounds, CASE p_partkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'warn' END AS safety, CASE p_partkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'warn' END AS floor
 FROM (SELECT p_partkey, nullif(p_size % 6, 0) AS v FROM part)""")
 def reading_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P24"""
     k, v = F.col("p_partkey"), F.nullif(F.col("p_size") % 6, F.lit(0))
-    return table(spark, sf_dir, "part").select("p_partkey", C.tone(v, k % 5, k % 100 / 100, k % 97).alias("t")).select("p_partkey", "t.*")
+    of = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % 4 + 1).cast("int"))
+    more = [C.kind_tone(F.when(k % 4 > 2, 1).otherwise(0), k % 3).alias("bounds"), C.safety_tone(of("passed", "violated-blocked", "violated-with-flag", None)).alias("safety"), C.floor_tone(of("true", "false", "with-justification", None)).alias("floor")]
+    return table(spark, sf_dir, "part").select("p_partkey", C.tone(v, k % 5, k % 100 / 100, k % 97).alias("t"), *more).select("p_partkey", "t.*", "bounds", "safety", "floor")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size IN (1, 2) OR p_partkey % 10 IN (1, 2) THEN 'dark' WHEN p_size IN (3, 9) OR p_partkey % 10 IN (3, 9) THEN 'warm' ELSE 'plain' END AS suggestion FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 1 OR p_size % 7 = 1 THEN 'business-neutral' WHEN p_partkey % 5 = 2 OR p_size % 7 = 2 THEN 'dark-tech' ELSE 'business-neutral' END AS suggestion FROM part")
 def palette_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P26, U04"""
-    palette = F.array(colour(F.col("p_size")), colour(F.col("p_partkey") % 10))
-    return table(spark, sf_dir, "part").select("p_partkey", C.suggest(palette, [("dark", ["000001", "000002"]), ("warm", ["000003", "000009"])], "plain").alias("suggestion"))
+    of = lambda v, a, b: F.when(v == 1, a).when(v == 2, b).otherwise("#ffffff")
+    palette = F.array(of(F.col("p_partkey") % 5, "#3b82f6", "#111827"), of(F.col("p_size") % 7, "#1D4ED8", "#0f172a"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.suggest_design(palette).alias("suggestion"))
 
 
-@query(f"WITH {E_SQL} SELECT CASE type WHEN 'text' THEN 'paragraph' WHEN 'shape' THEN 'box' ELSE 'bounds' END AS component, count(*) AS n FROM e GROUP BY 1")
+@query("""SELECT p_partkey, CASE r WHEN 'cover' THEN 'hero' WHEN 'architecture' THEN 'architecture-layered' WHEN 'process' THEN 'process-flow' WHEN 'metrics' THEN 'metrics-dashboard' WHEN 'comparison' THEN 'comparison-matrix' WHEN 'roadmap' THEN 'roadmap' ELSE 'executive-summary' END AS layout,
+CASE g WHEN 'headline' THEN 'textBlock' WHEN 'metric' THEN 'metric' WHEN 'diagram' THEN 'semanticDiagram' WHEN 'chart' THEN 'nativeChart' ELSE 'card' END AS component, CASE k WHEN 'font-size' THEN 'font-too-small' WHEN 'odd' THEN 'bounds' ELSE k END AS kind
+FROM (SELECT p_partkey, list_extract(['cover', 'architecture', 'process', 'metrics', 'comparison', 'roadmap', 'summary', 'odd', ''], p_partkey % 9 + 1) AS r, list_extract(['headline', 'metric', 'diagram', 'chart', 'body'], p_partkey % 5 + 1) AS g, list_extract(['bounds', 'overlap', 'font-size', 'text-overflow', 'odd'], p_size % 5 + 1) AS k FROM part)""")
 def component_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P29, P30"""
-    return elements(spark, sf_dir).groupBy(C.mapped(F.col("type"), {"text": "paragraph", "shape": "box"}, "bounds").alias("component")).agg(F.count("*").alias("n"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    k = F.col("p_partkey")
+    role = pick(("cover", "architecture", "process", "metrics", "comparison", "roadmap", "summary", "odd", ""), k)
+    kind = C.mapped(pick(("bounds", "overlap", "font-size", "text-overflow", "odd"), F.col("p_size")), preflight.KINDS, "bounds")
+    return table(spark, sf_dir, "part").select("p_partkey", C.layout_pattern(F.lit(""), role).alias("layout"), C.component_type(pick(("headline", "metric", "diagram", "chart", "body"), k)).alias("component"), kind.alias("kind"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 40 > 0 AND p_size / (p_partkey % 40)::DOUBLE >= 1.6::DOUBLE")
@@ -854,3 +938,133 @@ def first_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limit is the operator; Spark keeps five rows of a key in each task before the exchange."""
     n = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
     return table(spark, sf_dir, "events").select("event_type", "event_id", n.alias("n")).where("n <= 5")
+
+
+CRITIC = """k AS (SELECT slide, ord, 'el-' || slide || '-' || ord AS id, CASE (p + ord) % 4 WHEN 0 THEN 'chart' WHEN 1 THEN 'shape' WHEN 2 THEN 'diagram' ELSE 'line' END AS t, w * 5 AS w, h * 6 AS h, role, p, s FROM e)"""
+
+
+@query(f"""WITH {E_SQL}, {CRITIC} SELECT slide, ord, 'dominant-empty-container' AS issue, 'medium' AS severity FROM k WHERE t = 'shape' AND w * h / (13.333::DOUBLE * 7.5::DOUBLE) >= 0.7::DOUBLE AND role IS NULL
+UNION ALL SELECT slide, ord, 'chart-label-density', 'medium' FROM k WHERE t = 'chart' AND p % 12 > greatest(1, floor(w / 0.45::DOUBLE)) UNION ALL SELECT slide, ord, t || '-description', 'medium' FROM k WHERE t IN ('chart', 'diagram') AND s % 2 = 1
+UNION ALL SELECT slide, ord, 'diagram-empty-layers', 'high' FROM k WHERE t = 'diagram' AND p % 2 = 0 AND s % 3 < 2""")
+def critic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F07, F08"""
+    p, s_ = F.col("p"), F.col("s")
+    layer = F.array(F.struct(F.lit("l").alias("label"), F.array(F.lit("n")).alias("nodes")))
+    e = elements(spark, sf_dir).withColumns({
+        "type": F.element_at(F.array(*map(F.lit, ("chart", "shape", "diagram", "line"))), ((p + F.col("ord")) % 4 + 1).cast("int")), "w": F.col("w") * 5, "h": F.col("h") * 6, "text": F.lit(""),
+        "data": F.array_repeat(F.lit(1), (p % 12).cast("int")), "description": F.when(s_ % 2 == 0, "said"), "kind": F.when(p % 2 == 0, "swimlane").otherwise("matrixMap"),
+        "layers": F.when(s_ % 3 == 1, F.slice(layer, 1, 0)), "lanes": F.when(s_ % 3 == 2, layer),
+    })
+    return checks.critic_rules(e, ["slide"]).select("slide", "ord", "issue", "severity")
+
+
+@query("""SELECT p_partkey, coalesce(CASE WHEN t = 'blob' THEN 'unsupported element type' END, CASE WHEN id = '' THEN 'element id is required' END, CASE WHEN x IS NULL THEN 'x must be numeric' END, CASE WHEN x IS NOT NULL AND w <= 0 THEN 'w and h must be positive' END, CASE WHEN w > 0 AND x + w > 13.333::DOUBLE THEN 'outside slide bounds' END,
+CASE WHEN t = 'text' AND p_size % 2 = 0 THEN 'text is required' WHEN t = 'shape' AND p_size % 2 = 0 THEN 'unsupported shape' WHEN t = 'image' AND p_size % 2 = 0 THEN 'src is required' WHEN t = 'image' AND p_size % 3 = 0 THEN 'remote src must be downloaded before validation: http://x' WHEN t = 'table' AND p_size % 2 = 0 THEN 'rows are required' WHEN t = 'icon' AND p_size % 2 = 0 THEN 'unsupported icon name'
+WHEN t = 'chart' AND p_size % 2 = 0 THEN 'chart.kind must be one of bar, groupedBar, horizontalBar, kpiGroup, line, pie, sparkline, stackedBar' WHEN t = 'chart' AND p_size % 3 = 0 THEN 'chart.data is required' WHEN t = 'chart' AND p_size % 5 = 0 THEN 'chart.data[0].label is required' WHEN t = 'chart' AND p_size % 7 = 0 THEN 'chart.data[0].value must be numeric'
+WHEN t = 'diagram' AND p_size % 2 = 0 THEN 'diagram layers are required' WHEN t = 'diagram' AND p_size % 3 = 0 THEN 'diagram layer 0 label is required' WHEN t = 'cropped-asset' AND p_size % 2 = 0 THEN 'cropped-asset requires src or assets.id' WHEN t = 'cropped-asset' AND p_size % 3 = 0 THEN 'cropped-asset crop w and h must be positive' END) AS first_violation
+FROM (SELECT p_partkey, p_size, list_extract(['text', 'shape', 'image', 'table', 'line', 'chart', 'icon', 'diagram', 'cropped-asset', 'blob'], p_partkey % 10 + 1) AS t, CASE WHEN p_partkey % 23 = 0 THEN '' ELSE 'e' END AS id, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_partkey % 14 END::DOUBLE AS x, (p_partkey % 3 - 0.5::DOUBLE) AS w FROM part)""")
+def element_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the rule that a checker which stops at the first would name."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    even, third = n % 2 == 0, n % 3 == 0
+    label = F.when(n % 5 != 0, "a")
+    point = F.struct(label.alias("label"), F.when(n % 7 != 0, 1.0).alias("value"), F.lit(None).cast("map<string,double>").alias("series"))
+    layer = F.struct(F.when(~third, "a").alias("label"), F.array(F.lit("n")).alias("nodes"))
+    e = table(spark, sf_dir, "part").select(
+        "p_partkey", F.element_at(F.array(*map(F.lit, (*structure.TYPES[:4], "line", "chart", "icon", "diagram", "cropped-asset", "blob"))), (k % 10 + 1).cast("int")).alias("type"), F.when(k % 23 == 0, "").otherwise("e").alias("id"),
+        F.when(k % 19 != 0, (k % 14).cast("double")).alias("x"), F.lit(0.0).alias("y"), (k % 3 - 0.5).alias("w"), F.lit(1.0).alias("h"), F.when(~even, "t").alias("text"), F.when(even, "star").otherwise("rect").alias("shape"),
+        F.when(~even, F.when(third & (k % 10 == 2), "http://x").otherwise("a.png")).alias("src"), F.when(k % 10 == 5, F.when(even, "odd").otherwise("bar")).otherwise("swimlane").alias("kind"), F.when(even, "star").otherwise("x").alias("name"), F.when(~even, F.array(F.lit("r"))).alias("rows"),
+        F.when(~third, F.array(point)).alias("data"), F.when(~even, F.array(layer)).alias("layers"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.when(third, 0.0).otherwise(1.0).alias("w"), F.lit(1.0).alias("h")).alias("crop"),
+    )
+    return structure.element_issues(e).select("p_partkey", "first_violation")
+
+
+@query("""SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderkey % 5 = 0 THEN 'storyboard.title must be a non-empty string' END, CASE WHEN o_orderkey % 7 = 0 THEN 'storyboard.audience must be a non-empty string' END, CASE WHEN o_orderkey % 11 = 0 THEN 'storyboard.slides must not be empty' END,
+CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 3 = 0 THEN 'storyboard.slides[0].id must be a non-empty string' END, CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 4 = 0 THEN 'storyboard.slides[0].contentBlocks must be an array' END) AS violations FROM orders""")
+def storyboard_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13"""
+    k = F.col("o_orderkey")
+    slide = F.struct(F.when(k % 3 != 0, "s").alias("id"), F.lit("r").alias("role"), F.lit("m").alias("message"), F.when(k % 4 != 0, F.array(F.lit("b"))).alias("contentBlocks"))
+    board = F.struct(F.when(k % 5 == 0, " ").otherwise("t").alias("title"), F.when(k % 7 != 0, "a").alias("audience"), F.lit("g").alias("goal"), F.lit("en").alias("language"), F.when(k % 11 == 0, F.slice(F.array(slide), 1, 0)).otherwise(F.array(slide)).alias("slides"))
+    rows = structure.storyboard_issues(table(spark, sf_dir, "orders").select("o_orderkey", board.alias("board")), "board")
+    return rows.select("o_orderkey", F.array_join("violations", "|").alias("violations"))
+
+
+PX = f"{AREA} * 10000"
+
+
+@query(f"""WITH {E_SQL}, {ST_SQL}, n AS (SELECT * FROM st WHERE id NOT LIKE 'connector%'), sl AS (SELECT DISTINCT slide, 1280 + slide % 5 AS sw FROM e),
+i AS (SELECT slide, 'slide-size-mismatch' AS kind FROM sl WHERE sw > 1282 UNION ALL SELECT n.slide, 'slide-bounds' FROM n JOIN sl USING (slide) WHERE (x + w) * 100 > sw + 2 OR (y + h) * 100 > 722 UNION ALL SELECT slide, CASE WHEN s % 2 = 0 THEN 'content-clipped' ELSE 'text-overflow' END FROM n WHERE text IS NOT NULL AND p % 5 > 2 UNION ALL SELECT slide, 'asset-not-ready' FROM n WHERE type = 'image' AND p % 3 = 0
+UNION ALL SELECT a.slide, 'overlap' FROM n a JOIN n b ON a.slide = b.slide AND a.ord < b.ord WHERE coalesce(a.role, '') <> 'background' AND coalesce(b.role, '') <> 'background' AND {PX} > 4 AND {PX} / greatest(1, least(a.w * a.h, b.w * b.h) * 10000) > 0.01::DOUBLE AND (a.id LIKE 'card%' AND b.id LIKE 'card%' OR a.text IS NOT NULL OR b.text IS NOT NULL OR {PX} / greatest(1, least(a.w * a.h, b.w * b.h) * 10000) > 0.05::DOUBLE))
+SELECT slide, kind, count(*) AS n FROM i GROUP BY 1, 2""")
+def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements as measured nodes of pages, a hundred pixels an inch."""
+    e = with_styles(elements(spark, sf_dir)).where("id not like 'connector%'")
+    p = F.col("p")
+    nodes = e.withColumns({c: F.col(c) * 100 for c in "xywh"}).withColumns({
+        "path": F.col("ord").cast("string"), "scroll_w": F.col("w") + p % 5, "scroll_h": F.col("h"), "client_w": F.col("w"), "client_h": F.col("h"), "clipped": F.col("s") % 2 == 0,
+        "image_ready": F.when(F.col("type") == "image", p % 3 != 0), "card": F.col("id").like("card%"), "seen": F.lit(True),
+    })
+    slides = elements(spark, sf_dir).select("slide").distinct().select("slide", (F.col("slide") % 5 + 1280).cast("double").alias("w"), F.lit(720.0).alias("h"))
+    return pages.audit(nodes, slides, "slide").groupBy("slide", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, n_name AS resolved FROM events JOIN nation ON n_nationkey = user_id % 25")
+def token_deref_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token is known here; an unknown one raises."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{k."), F.col("user_id") % 25, F.lit("}")).alias("raw"))
+    return matching.deref(e, "raw", nation_paths(spark, sf_dir), strict=True).select("event_id", "resolved")
+
+
+@query("SELECT p_partkey, '#' || lower(printf('%06X', p_partkey * 4097 % 16777216)) || ', #abc' || CASE WHEN p_partkey % 2 = 0 THEN ', #12345678' ELSE '' END AS colours FROM part")
+def inline_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: of style attributes, each colour once, in order."""
+    k = F.col("p_partkey")
+    first = colour(k * 4097 % 16777216)
+    html = F.concat(F.lit("<p style=\"color:#"), first, F.lit("; background: #ABC\">#999999<b style='fill:#"), first, F.when(k % 2 == 0, "; stroke:#12345678").otherwise(""), F.lit("'></b></p>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(C.inline_colours(html), ", ").alias("colours"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS slide, count(*) FILTER (l_partkey % 7 = 0) AS markers, count(*) FILTER (l_suppkey % 9 = 0) AS containers, max(CASE WHEN l_partkey % 11 = 0 THEN 'known' WHEN l_partkey % 13 = 0 THEN 'a-none' END) AS a FROM lineitem GROUP BY 1)
+SELECT slide, markers, containers, CASE WHEN a = 'known' AND markers > 0 THEN 'measured' WHEN markers > 0 AND containers > 0 THEN 'hybrid' WHEN markers > 0 THEN 'measured' ELSE 'auto-layout' END AS mode FROM m""")
+def layout_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a slide's nodes."""
+    k, n = F.col("l_partkey"), F.col("l_suppkey")
+    pair = lambda test, key, value: F.when(test, F.struct(F.lit(key).alias("k"), value.alias("v")))
+    attrs = F.map_from_entries(F.array_compact(F.array(pair(k % 7 == 0, "data-pptx-kind", F.lit("text")), pair(n % 9 == 0, "class", F.lit("big cards")), pair((k % 11 == 0) | (k % 13 == 0), "data-archetype", F.when(k % 11 == 0, "known").otherwise("a-none")))))
+    nodes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slide"), attrs.alias("attrs"))
+    return scoring.layout_modes(nodes, "slide", spark.createDataFrame([("known",)], "archetype string")).select("slide", "markers", "containers", "mode")
+
+
+@query("""SELECT doc_id, printf('slide-%03d', row_number() OVER w) || '-' || doc_id AS slide_id, first_value(lang) OVER w AS deck_design, first_value(n_chars) OVER w AS deck_size FROM documents WINDOW w AS (PARTITION BY source ORDER BY '/d/' || lang || '/' || doc_id || '.png')""")
+def merged_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's documents as the images of a deck."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("/d/"), "lang", F.lit("/"), "doc_id", F.lit(".png")).alias("path"), F.col("lang").alias("design"), F.col("n_chars").alias("size"))
+    return ordered.merged_slides(d, "source").select("doc_id", "slide_id", "deck_design", "deck_size")
+
+
+BAND = "b AS (SELECT user_id, n AS band, list_extract(['header', 'content', 'footer', 'section', 'section'], n) AS label, (n - 1) * 1.5::DOUBLE AS y, (event_id % 9 + 2) / 8::DOUBLE AS h FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5)"
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), "event_id", n.alias("band")).where("band <= 5")
+    label = F.element_at(F.array(*map(F.lit, ("header", "content", "footer", "section", "section"))), F.col("band"))
+    box = {"in_x": F.lit(0.0), "in_y": (F.col("band") - 1) * 1.5, "in_w": F.lit(13.333), "in_h": (F.col("event_id") % 9 + 2) / 8.0}
+    return b.withColumns({"label": label} | box | {c: F.col("band").cast("double") for c in "xywh"})
+
+
+@query(f"""WITH {BAND} SELECT user_id AS image_id, 'band-' || band || '-background' AS id, 'native-shape' AS editable_as, 0.72::DOUBLE AS confidence, {up("y")} AS y FROM b
+UNION ALL SELECT user_id, 'band-' || band || CASE label WHEN 'header' THEN '-title-text' ELSE '-content-group' END, CASE label WHEN 'header' THEN 'native-text' ELSE 'native-shape' END, CASE label WHEN 'header' THEN 0.58::DOUBLE ELSE 0.52::DOUBLE END, {up("y")} FROM b WHERE label <> 'footer'""")
+def band_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's first five events are the bands of an image."""
+    c = ordered.band_candidates(bands(spark, sf_dir))
+    return c.select("image_id", "id", "editable_as", F.col("confidence").cast("double").alias("confidence"), C.half_up(F.col("inch_box.y"), 4).alias("y"))
+
+
+@query(f"""WITH {BAND}, k AS (SELECT user_id AS image_id, 'title-placeholder' AS id, 0.7::DOUBLE AS x, {up("y + 0.05::DOUBLE")} AS y, 11.933::DOUBLE AS w, {up("least(0.9::DOUBLE, h - 0.1::DOUBLE)")} AS h FROM b WHERE band = 1
+UNION ALL SELECT user_id, 'card-left-placeholder', 0.7::DOUBLE, {up("y + 0.1::DOUBLE")}, 5.8665::DOUBLE, {up("least(2.2::DOUBLE, h - 0.2::DOUBLE)")} FROM b WHERE band = 2
+UNION ALL SELECT user_id, 'card-left-text-placeholder', 0.95::DOUBLE, {up("y + 0.25::DOUBLE")}, 5.4665::DOUBLE, 0.5::DOUBLE FROM b WHERE band = 2) SELECT image_id, id, x, y, w, h FROM k""")
+def image_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X05"""
+    return ordered.skeleton(bands(spark, sf_dir), 13.333).select("image_id", "id", *"xywh")

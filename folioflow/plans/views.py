@@ -34,6 +34,26 @@ E_SQL = """e AS (SELECT slide, ord, p, s, 'el-' || slide || '-' || ord AS id,
   FROM (SELECT l_orderkey AS slide, l_linenumber AS ord, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2))"""
 
 
+def with_styles(e: DataFrame) -> DataFrame:
+    """Elements with texts, names and styles, some of which break rules; all by integer arithmetic."""
+    x = F.expr
+    return e.withColumns({
+        "id": x("concat(element_at(array('card', 'panel', 'kpi', 'connector', 'backdrop'), cast(s % 5 + 1 as int)), '-', slide, '-', ord)"),
+        "text": x("element_at(array('PLAIN', 'Some text', '标题 synergy', cast(null as string), concat('a', unhex('F09F9880'))), cast(p % 5 + 1 as int))"),
+        "fill": x("element_at(array('#FFFFFF', 'linear-gradient(red, blue)', 'rounded.md'), cast(s % 3 + 1 as int))"),
+        "stroke": x("if(p % 4 = 0, 'none', '1px')"), "shadow": x("if(s % 3 = 0, cast(null as string), 'soft')"),
+        "shape": x("element_at(array('rect', 'ellipse', 'star'), cast(p % 3 + 1 as int))"),
+        "src": x("if(s % 4 = 0, 'http://x/y.png', 'y.png')"), "font_family": x("concat('Font', p % 5, ', serif')"),
+    })
+
+
+ST_SQL = """st AS (SELECT slide, ord, p, s, x, y, w, h, type, role, typography, font_size, line_height,
+  CASE s % 5 WHEN 0 THEN 'card' WHEN 1 THEN 'panel' WHEN 2 THEN 'kpi' WHEN 3 THEN 'connector' ELSE 'backdrop' END || '-' || slide || '-' || ord AS id,
+  CASE p % 5 WHEN 0 THEN 'PLAIN' WHEN 1 THEN 'Some text' WHEN 2 THEN '标题 synergy' WHEN 4 THEN 'a😀' END AS text,
+  CASE s % 3 WHEN 0 THEN '#FFFFFF' WHEN 1 THEN 'linear-gradient(red, blue)' ELSE 'rounded.md' END AS fill, CASE WHEN p % 4 = 0 THEN 'none' ELSE '1px' END AS stroke, CASE WHEN s % 3 = 0 THEN NULL ELSE 'soft' END AS shadow,
+  CASE p % 3 WHEN 0 THEN 'rect' WHEN 1 THEN 'ellipse' ELSE 'star' END AS shape, CASE WHEN s % 4 = 0 THEN 'http://x/y.png' ELSE 'y.png' END AS src, 'Font' || p % 5 AS font FROM e)"""
+
+
 def colour(n: Column) -> Column:
     """Six hexadecimal digits of a number."""
     return F.lpad(F.hex(n.cast("long")), 6, "0")

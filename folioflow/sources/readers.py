@@ -4,35 +4,63 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINT = "struct<label:string,value:double,series:map<string,double>,color:string>"
+from ..functions import columns as C
+
+POINT = "struct<label:string,value:string,series:map<string,string>,color:string>"
 LAYER = "struct<label:string,nodes:array<string>>"
-ELEMENT = f"struct<type:string,id:string,x:double,y:double,w:double,h:double,text:string,shape:string,src:string,kind:string,name:string,role:string,headers:array<string>,rows:string,columns:array<string>,description:string,alt:string,data:array<{POINT}>,layers:array<{LAYER}>,lanes:array<{LAYER}>,style:map<string,string>>"
-MANIFEST = f"version string, designSystem struct<source:string,name:string,mode:string>, deck struct<title:string,language:string,size:struct<preset:string,width:double,height:double,unit:string>>, assets array<struct<id:string,src:string>>, slides array<struct<id:string,type:string,title:string,notes:string,background:struct<type:string,color:string,src:string>,elements:array<{ELEMENT}>>>, _corrupt_record string"
+ELEMENT = f"struct<type:string,id:string,x:string,y:string,w:string,h:string,text:string,shape:string,src:string,kind:string,name:string,role:string,headers:array<string>,rows:string,columns:array<string>,description:string,alt:string,data:array<{POINT}>,layers:array<{LAYER}>,lanes:array<{LAYER}>,style:map<string,string>>"
+MANIFEST = f"version string, designSystem struct<source:string,name:string,mode:string>, deck struct<title:string,language:string,size:struct<preset:string,width:string,height:string,unit:string>>, assets array<struct<id:string,src:string>>, slides array<struct<id:string,type:string,title:string,notes:string,background:struct<type:string,color:string,src:string>,elements:array<{ELEMENT}>>>, _corrupt_record string"
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """A file is a deck; a byte-order mark is dropped; files that are no JSON have `_corrupt_record`."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("deck_id"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    parsed = text.withColumn("d", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    return parsed.select("deck_id", "d.*")
+    """A file is a deck; a byte-order mark is dropped. `error` says of a file that it is no JSON object; of a deck with a
+    value of another kind than expected, `mistyped` is true, the value is null, and all else is read. Numbers are read as text and
+    turned into numbers by `elements`, so "oops" for a coordinate is 0, not the end of the deck."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("deck_id"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    json = F.try_parse_json("value")
+    parsed = text.select("deck_id", "value", F.when(json.isNull(), "invalid json").when(~F.schema_of_variant(json).startswith("OBJECT"), "not an object").alias("error"))
+    parsed = parsed.withColumn("d", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    size = F.struct(F.col("d.deck.size.preset").alias("preset"), F.col("d.deck.size.width").try_cast("double").alias("width"), F.col("d.deck.size.height").try_cast("double").alias("height"), F.col("d.deck.size.unit").alias("unit"))
+    deck = F.when(F.col("d.deck").isNotNull(), F.struct("d.deck.title", "d.deck.language", F.when(F.col("d.deck.size").isNotNull(), size).alias("size")))
+    return parsed.select("deck_id", "error", (F.col("error").isNull() & F.col("d._corrupt_record").isNotNull()).alias("mistyped"), "d.version", "d.designSystem", deck.alias("deck"), "d.assets", "d.slides")
+
+
+def rejects(decks: DataFrame) -> DataFrame:
+    """(deck_id, error) of files that can't be read."""
+    return decks.where("error is not null").select("deck_id", "error")
 
 
 def slides(decks: DataFrame) -> DataFrame:
-    s = decks.where("_corrupt_record is null").select("deck_id", F.posexplode("slides").alias("slide_ord", "s"))
+    s = decks.where("error is null").select("deck_id", F.posexplode("slides").alias("slide_ord", "s"))
     return s.select("deck_id", "slide_ord", F.col("s.id").alias("slide_id"), "s.type", "s.title", "s.notes", F.col("s.background.type").alias("bg_type"), F.col("s.background.color").alias("bg_color"), F.col("s.background.src").alias("bg_src"), "s.elements")
 
 
 def elements(decks: DataFrame) -> DataFrame:
+    """One row for each element; geometry and chart values that are no numbers are 0 (null where a point has no value)."""
     e = slides(decks).select("deck_id", "slide_ord", "slide_id", F.posexplode("elements").alias("ord", "e"))
-    return e.select("deck_id", "slide_ord", "slide_id", "ord", F.col("e.id").alias("id"), *[F.col(f"e.{c}").alias(c) for c in ("type", "x", "y", "w", "h", "text", "shape", "src", "kind", "name", "role", "headers", "rows", "columns", "description", "alt", "data", "layers", "lanes", "style")])
+    data = F.transform("e.data", lambda d: F.struct(d["label"].alias("label"), F.when(d["value"].isNotNull(), C.number(d["value"])).alias("value"), F.transform_values(d["series"], lambda _, v: C.number(v)).alias("series"), d["color"].alias("color")))
+    rows = F.from_json("e.rows", "array<string>")
+    style = lambda k: F.try_element_at("e.style", F.lit(k))
+    named = {"typography": "typography", "color": "color", "component": "component", "font_family": "fontFamily", "fill": "fill", "background": "background", "stroke": "stroke", "shadow": "shadow", "border_radius": "borderRadius", "radius": "radius", "source_id": "sourceId", "target_id": "targetId", "label_color": "labelColor"}
+    numbers = {"font_size": "fontSize", "line_height": "lineHeight", "letter_spacing": "letterSpacing"}
+    weight = style("fontWeight")
+    return e.select(
+        "deck_id", "slide_ord", "slide_id", "ord", F.col("e.id").alias("id"), "e.type", *[C.number(F.col(f"e.{c}")).alias(c) for c in "xywh"],
+        *[F.col(f"e.{c}").alias(c) for c in ("text", "shape", "src", "kind", "name", "role", "headers", "columns", "description", "alt", "layers", "lanes", "style")], rows.alias("rows"), data.alias("data"),
+        *[style(k).alias(n) for n, k in named.items()], *[style(k).try_cast("double").alias(n) for n, k in numbers.items()],
+        ((style("bold") == "true") | (weight == "bold") | (weight.try_cast("double") >= 700)).alias("bold"), ((style("italic") == "true") | (style("fontStyle") == "italic")).alias("italic"),
+        *[style(k).try_cast("boolean").alias(n) for n, k in (("show_values", "showValues"), ("show_legend", "showLegend"), ("end_label", "endLabel"))], F.from_json(style("palette"), "array<string>").alias("palette"),
+    )
 
 
 def jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -43,17 +71,22 @@ def jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def front_matter(spark: SparkSession, path: str) -> DataFrame:
-    """(file, front, sections map of '## ' headings)."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    """(file, front, sections map of '## ' headings, error). A heading that comes again replaces the section before."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
     return text.select("file", *matter(F.col("value")))
 
 
 def matter(value: Column) -> list[Column]:
-    front = F.regexp_extract(value, r"(?s)^---\r?\n(.*?)\r?\n---", 1)
-    body = F.regexp_replace(value, r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "")
-    parts = F.filter(F.transform(F.split(F.concat(F.lit("\n"), body), "\n## "), lambda x: x), lambda x: F.trim(x) != "")
-    pairs = F.transform(F.filter(parts, lambda x: F.contains(body, F.concat(F.lit("## "), x))), lambda x: F.struct(F.trim(F.substring_index(x, "\n", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^\n]*\n?", "")).alias("v")))
-    return [front.alias("front"), F.map_from_entries(pairs).alias("sections")]
+    opened = F.startswith(value, F.lit("---\n"))
+    close = F.locate("\n---", value, 5)
+    good = opened & (close > 0)
+    front = F.when(good, F.substring(value, F.lit(5), close - 5)).otherwise("")
+    body = F.when(good, F.regexp_replace(F.substring(value, close + 4, F.length(value)), "^\n", "")).otherwise(value)
+    parts = F.split(body, r"(?m)^##[ \t\n]+(?=.)", -1)
+    pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct(F.trim(F.substring_index(x, "\n", 1)).alias("k"), F.regexp_replace(F.regexp_replace(x, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    sections = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    return [front.alias("front"), sections.alias("sections"), F.when(~opened, "must begin with front matter").when(close == 0, "front matter is not closed").alias("error")]
 
 
 def front_colours(front: Column) -> Column:
@@ -63,27 +96,55 @@ def front_colours(front: Column) -> Column:
     return F.map_from_arrays(F.regexp_extract_all(block, F.lit(line), F.lit(1)), F.regexp_extract_all(block, F.lit(line), F.lit(2)))
 
 
+def _scalar(v: str) -> str:
+    return v.strip().strip("\"'")
+
+
+def _leaves(front: str) -> Iterator[tuple[str, str]]:
+    """(path, value) of nested maps and lists; list items are numbered. Flow lists and maps may stand on one line."""
+    stack: list[tuple[int, str]] = []
+    counts: dict[str, int] = {}
+
+    def leaf(path: str, value: str) -> Iterator[tuple[str, str]]:
+        value = value.strip()
+        if value[:1] + value[-1:] in ("[]", "{}") and len(value) > 1:
+            for n, item in enumerate(x for x in value[1:-1].split(",") if x.strip()):
+                name, colon, rest = item.partition(":")
+                yield from leaf(f"{path}.{_scalar(name)}", rest) if value[0] == "{" and colon else leaf(f"{path}.{n}", item)
+        else:
+            yield path, _scalar(value)
+
+    for line in front.splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#"):
+            continue
+        depth, text = len(bare) - len(bare.lstrip()), bare.strip()
+        while stack and stack[-1][0] >= depth + text.startswith("- "):
+            stack.pop()
+        at = ".".join(n for _, n in stack)
+        if text.startswith("- ") or text == "-":
+            n = counts[at] = counts.get(at, -1) + 1
+            stack.append((depth + 1, str(n)))
+            at, text, depth = f"{at}.{n}", text[1:].strip(), depth + 2
+            if ":" not in text or text[:1] in "\"'[{":
+                yield from leaf(at, text)
+                continue
+        name, colon, value = text.partition(":")
+        if not colon:
+            continue
+        path = f"{at}.{_scalar(name)}" if at else _scalar(name)
+        if value.strip():
+            yield from leaf(path, value)
+        else:
+            stack.append((depth, _scalar(name)))
+
+
 def flat_tokens(fronts: DataFrame) -> DataFrame:
-    """(file, path, value) from YAML front matter of nested maps with scalar leaves."""
+    """(file, path, value) of YAML front matter; lists have their places as names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for file, front in zip(pdf["file"], pdf["front"], strict=True):
-                stack: list[tuple[int, str]] = []
-                for line in (front or "").splitlines():
-                    bare = line.split(" #")[0].rstrip()
-                    if not bare.strip() or bare.lstrip().startswith("#") or ":" not in bare:
-                        continue
-                    depth = len(bare) - len(bare.lstrip())
-                    name, _, value = bare.strip().partition(":")
-                    while stack and stack[-1][0] >= depth:
-                        stack.pop()
-                    path = ".".join([*(s for _, s in stack), name.strip("\"'")])
-                    if value.strip():
-                        rows.append((file, path, value.strip().strip("\"'")))
-                    else:
-                        stack.append((depth, name.strip("\"'")))
+            rows = [(file, path, value) for file, front in zip(pdf["file"], pdf["front"], strict=True) for path, value in _leaves(front or "")]
             yield pd.DataFrame(rows, columns=["file", "path", "value"])
 
     return fronts.select("file", "front").mapInPandas(run, "file string, path string, value string")
@@ -141,16 +202,30 @@ def slide_nodes(nodes: DataFrame, id_: str) -> DataFrame:
 
 
 def html_tables(nodes: DataFrame, id_: str) -> DataFrame:
-    """(table, headers, rows): cells by row; without header cells the first row is the header."""
-    n = nodes.select(id_, "ord", "tag", "path", F.trim("text").alias("text"))
-    rows = n.where("tag = 'tr'").select(id_, F.col("path").alias("row_path"), F.col("ord").alias("row_ord"))
-    cells = n.where("tag in ('td', 'th')").withColumn("row_path", F.regexp_replace("path", "/[^/]*$", ""))
-    tables = n.where("tag = 'table'").select(id_, F.col("path").alias("table_path"), F.col("ord").alias("table"))
-    by_row = cells.join(rows, [id_, "row_path"]).groupBy(id_, "row_path", "row_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("c"), F.bool_or(F.col("tag") == "th").alias("head"))
-    placed = by_row.join(tables, id_).where(F.startswith("row_path", F.concat("table_path", F.lit("/"))))
-    inner = placed.groupBy(id_, "row_path").agg(F.max_by(F.struct("table", "row_ord", "head", "c"), "table").alias("r"))
-    grouped = inner.groupBy(id_, F.col("r.table").alias("table")).agg(F.array_sort(F.collect_list(F.struct(F.col("r.row_ord").alias("ord"), F.transform("r.c", lambda x: x["text"]).alias("cells")))).alias("all"))
-    return grouped.select(id_, "table", F.element_at("all", 1)["cells"].alias("headers"), F.transform(F.slice("all", 2, 1_000_000), lambda x: x["cells"]).alias("rows"))
+    """(table, headers, rows). Headers are the header cells of the table's head, or its plain cells; rows are those of the first
+    body, or of the whole table, with their plain cells; without headers the first row is taken for them.
+
+    A cell finds its row, head, body and table among the prefixes of its path, by hash joins.
+    """
+    n = nodes.select(id_, "ord", "tag", "path", C.normal_space(F.col("text")).alias("text"))
+    steps = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    cells = n.where("tag in ('td', 'th') and contains(path, '/')").select(id_, "ord", "tag", "text", F.explode(up).alias("over"))
+    boxes = n.where("tag in ('tr', 'thead', 'tbody', 'table')").select(id_, F.col("path").alias("over"), F.col("tag").alias("box"), F.col("ord").alias("box_ord"))
+    near = lambda tag: F.max(F.when(F.col("box") == tag, F.col("box_ord"))).alias(tag)
+    placed = cells.join(boxes, [id_, "over"]).groupBy(id_, "ord", "tag", "text").agg(*[near(t) for t in ("tr", "thead", "tbody", "table")]).where("`table` is not null")
+    body = F.min("tbody").over(W.partitionBy(id_, "table"))
+    placed = placed.withColumn("body", body)
+    cell = F.struct("ord", "tag", "text")
+    head = F.array_sort(F.collect_list(F.when(F.col("thead").isNotNull(), cell)))
+    rows = F.array_sort(F.collect_list(F.when((F.col("tag") == "td") & F.col("tr").isNotNull() & (F.col("body").isNull() | (F.col("tbody") == F.col("body"))), F.struct("tr", cell.alias("c")))))
+    t = placed.groupBy(id_, "table").agg(head.alias("head"), rows.alias("cells"))
+    wanted = F.when(F.exists("head", lambda c: c["tag"] == "th"), "th").otherwise("td")
+    headers = F.transform(F.filter("head", lambda c: c["tag"] == wanted), lambda c: c["text"])
+    order = F.array_distinct(F.transform("cells", lambda c: c["tr"]))
+    lines = F.transform(order, lambda r: F.transform(F.filter("cells", lambda c: c["tr"] == r), lambda c: c["c"]["text"]))
+    t = t.select(id_, "table", headers.alias("own"), lines.alias("lines"))
+    return t.select(id_, "table", F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1)), F.array().cast("array<string>"))).alias("headers"), F.when(F.size("own") > 0, F.col("lines")).otherwise(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("rows"))
 
 
 def measurements(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +265,8 @@ def ocr_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_parts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, colours): the parts of zipped documents; colours of theme parts, the first 12."""
+    """(file, name, colours, error): the parts of zipped documents; colours of theme parts, the first 12. A file that is no zip
+    archive gives one row with its error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,13 +275,26 @@ def zip_parts(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        found = re.findall(r'(?:lastClr|val)="([0-9A-Fa-f]{6})"', z.read(name).decode("utf-8", "replace")) if "theme" in name and name.endswith(".xml") else []
-                        rows.append((file, name, found[:12]))
-            yield pd.DataFrame(rows, columns=["file", "name", "colours"])
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        own = []
+                        for name in z.namelist():
+                            theme = name.startswith("ppt/theme/theme") and name.endswith(".xml")
+                            found = re.findall(r'<a:srgbClr val="([0-9A-Fa-f]{6})"', z.read(name).decode("utf-8", "replace")) if theme else []
+                            own.append((file, name, [f"#{c.upper()}" for c in found[:12]], None))
+                        rows += own
+                except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zlib.error) as e:
+                    rows.append((file, None, [], str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["file", "name", "colours", "error"])
+
+    return files.mapInPandas(run, "file string, name string, colours array<string>, error string")
+
 
-    return files.mapInPandas(run, "file string, name string, colours array<string>")
+def template_summary(parts: DataFrame) -> DataFrame:
+    """Counts of slides, layouts, masters and themes of each file, its first theme's colours, and whether it needs a look."""
+    n = lambda folder: F.count_if(F.startswith("name", F.lit(f"ppt/{folder}")) & F.endswith("name", F.lit(".xml")))
+    out = parts.groupBy("file").agg(n("slides/slide").alias("slides"), n("slideLayouts/slideLayout").alias("layouts"), n("slideMasters/slideMaster").alias("masters"), n("theme/theme").alias("themes"), F.min_by("colours", F.when(F.startswith("name", F.lit("ppt/theme/theme")), F.col("name"))).alias("colours"), F.max("error").alias("error"))
+    return out.withColumn("status", F.when(F.col("error").isNotNull(), "error").when((F.col("masters") == 0) | (F.col("layouts") == 0), "review").otherwise("ok"))
 
 
 def part_counts(parts: DataFrame, prefix: str, suffix: str) -> DataFrame:
@@ -217,9 +306,23 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="deckId string, source string, expectedSlopRisk int, reviewer string, annotatedAt date")
 
 
-def font_names(rows: DataFrame) -> DataFrame:
-    """(path, name) of font files by extension, from a listing."""
-    return rows.where(F.lower("path").rlike(r"\.(ttf|otf|ttc)$")).select("path", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("name"))
+def font_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, format) of font files by extension; the format is told by the first bytes, null if they are no font's. Names
+    inside fonts need a font reader; the file's name stands in."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(ttf|otf|ttc)$"))
+    magic = F.hex(F.substring("content", 1, 4))
+    return files.select("path", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("name"), F.when(magic == "00010000", "ttf").when(magic == "4F54544F", "otf").when(magic == "74746366", "ttc").alias("format"))
+
+
+def page_hints(documents: DataFrame, pages: DataFrame, key: str = "file") -> DataFrame:
+    """What an external decoder found of each document's pages: (key, status, page_count, pages). Documents (key, page engine
+    available or not) without an engine are deferred, without pages. pages (key, page, image, width_pt, height_pt, hints)."""
+    own = F.struct("page", "image", F.round("width_pt", 4).alias("width_pt"), F.round("height_pt", 4).alias("height_pt"), "hints")
+    found = pages.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("pages"))
+    out = documents.join(found, key, "left")
+    ok = F.coalesce("available", F.lit(False))
+    listed = F.when(ok, F.coalesce("pages", F.filter(F.array(*[F.lit(None).cast(found.schema["pages"].dataType.elementType)]), lambda x: x.isNotNull())))
+    return out.select(key, F.when(ok, "ok").otherwise("deferred").alias("status"), F.when(ok, F.size(listed)).otherwise(0).cast("long").alias("page_count"), F.coalesce(listed, F.filter("pages", lambda x: F.lit(False))).alias("pages"))
 
 
 def archetypes(first: DataFrame, fallback: DataFrame, wanted: DataFrame) -> DataFrame:
