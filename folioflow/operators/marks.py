@@ -52,7 +52,8 @@ def _box() -> list[Column]:
 
 
 def _data() -> Column:
-    return F.coalesce("data", F.array().cast(INPUT["data"]))
+    own = F.transform("data", lambda d: F.struct(d["label"].cast("string").alias("label"), d["value"].cast("double").alias("value"), d["series"].cast("map<string,double>").alias("series")))
+    return F.coalesce(own, F.array().cast(INPUT["data"]))
 
 
 def _palette() -> Column:
