@@ -920,3 +920,17 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+@pytest.mark.parametrize("name", ["op2_secret_ledger", "op7_suffix_dedup", "op10_phrase_automata"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from folioflow.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = queries.queries()[name](spark, sf)
+    rel = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})")
+    assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
