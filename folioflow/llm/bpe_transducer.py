@@ -52,7 +52,7 @@ def byte_signs() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Token bytes, special tokens, the rank of each pair of ids that merges, and the id that each rank makes."""
+    """Token bytes, special tokens, the ranks of the pairs of ids that merge (by first id), and the id that each rank makes."""
 
     def __init__(self, text: str):
         data, sign = json.loads(text), byte_signs()
@@ -66,32 +66,32 @@ class Vocabulary:
         self.first = [ids[c] for c, _ in sorted(sign.items(), key=lambda x: x[1])]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
         pairs = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
-        self.rank = {a << 32 | b: n for n, (a, b, _) in enumerate(pairs)}
+        self.ranks: list[dict[int, int]] = [{} for _ in self.token]
+        for n, (a, b, _) in enumerate(pairs):
+            self.ranks[a][b] = n
         self.merged = [c for _, _, c in pairs]
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Exact BPE: the pair of least rank is merged first, of equal ones the leftmost."""
-        ids, never = [self.first[b] for b in word], len(self.merged)
+        ids, never, all_ranks, merged = [self.first[b] for b in word], len(self.merged), self.ranks, self.merged
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank = self.rank.get
-        ranks = [rank(a << 32 | b, never) for a, b in pairwise(ids)]
+        ranks = [all_ranks[a].get(b, never) for a, b in pairwise(ids)]
         while ranks and (least := min(ranks)) < never:
             k = ranks.index(least)
-            ids[k : k + 2] = [self.merged[least]]
+            ids[k : k + 2] = [merged[least]]
             del ranks[k]
             if k:
-                ranks[k - 1] = rank(ids[k - 1] << 32 | ids[k], never)
+                ranks[k - 1] = all_ranks[ids[k - 1]].get(ids[k], never)
             if k < len(ranks):
-                ranks[k] = rank(ids[k] << 32 | ids[k + 1], never)
+                ranks[k] = all_ranks[ids[k]].get(ids[k + 1], never)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same in n log n steps."""
         n = len(ids)
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = self.rank.get
-        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank(ids[k] << 32 | ids[k + 1])) is not None]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := self.ranks[ids[k]].get(ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, k, a, b = heapq.heappop(heap)
@@ -102,7 +102,7 @@ class Vocabulary:
             if after[j] < n:
                 before[after[j]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y < n and (r := rank(ids[x] << 32 | ids[y])) is not None:
+                if x >= 0 and y < n and (r := self.ranks[ids[x]].get(ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return tuple(i for i, ok in zip(ids, live, strict=True) if ok)
 
