@@ -186,7 +186,9 @@ def wrapped_height(text: Column, width: Column, font_size: Column, line_height:
     """P15"""
     factor = F.when(bold, 1.1).otherwise(1.0) * F.when(text.rlike("[\\x{3000}-\\x{9FFF}\\x{FF00}-\\x{FFEF}]"), 1.7).otherwise(1.0)
     room = F.greatest(F.lit(0.25), width)
-    lines = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.lit(0.0), lambda acc, p: acc + F.greatest(F.lit(1.0), F.ceil(F.length(p) * font_size * 0.55 * factor / 72 / room).cast("double")))
+    # the factor goes with the sum: in the function it would be told from the whole text again for each line
+    begin = F.struct(F.lit(0.0).alias("n"), factor.alias("f"))
+    lines = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n", -1), begin, lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(1.0), F.ceil(F.length(p) * font_size * 0.55 * acc["f"] / 72 / room).cast("double"))).alias("n"), acc["f"].alias("f")), lambda acc: acc["n"])
     return F.greatest(font_size / 72 * line_height, lines * (font_size / 72) * line_height + 0.05)
 
 

@@ -91,11 +91,11 @@ def uncovered(blocks: DataFrame, texts: DataFrame, block_id: str) -> DataFrame:
     """
     b = blocks.select(block_id, C.normal_space(F.col("text")).alias("block")).where("block <> ''")
     words = F.split("block", " ")
-    keyed = b.withColumn("shingle", F.when(F.size(words) >= 5, F.xxhash64(F.array_join(F.slice(words, 2, 3), " "))))
+    keyed = b.withColumn("shingle", F.when(F.size(words) >= 5, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(k))) for k in (1, 2, 3)])))
     t = texts.select(C.normal_space(F.col("text")).alias("body")).withColumn("__t", F.sha2("body", 256))
-    own = t.select("__t", F.split("body", " ").alias("own"))  # a column: inside the function below, the split would be repeated
-    spots = F.when(F.size("own") >= 3, F.sequence(F.lit(1), F.size("own") - 2)).otherwise(F.array().cast("array<int>"))
-    shingles = own.select("__t", F.explode(F.array_distinct(F.transform(spots, lambda n: F.xxhash64(F.array_join(F.slice("own", n, 3), " "))))).alias("shingle"))
+    own = t.select("__t", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("own"))  # a column: inside the function below, the split would be repeated
+    spots = F.when(F.size("own") >= 3, F.sequence(F.lit(0), F.size("own") - 3)).otherwise(F.array().cast("array<int>"))
+    shingles = own.select("__t", F.explode(F.array_distinct(F.transform(spots, lambda n: F.xxhash64(*[F.get("own", n + k) for k in range(3)])))).alias("shingle"))
     wanted = small(keyed.where("shingle is not null"))
     pairs = shingles.join(wanted.select("shingle", block_id, "block"), "shingle").select("__t", block_id, "block").distinct()
     hit = t.join(pairs, "__t").where(F.contains("body", "block")).select(block_id)
@@ -210,9 +210,9 @@ def apply_patches(elements: DataFrame, patches: DataFrame, key: list[str]) -> tu
     known = set(patches.schema["changes"].dataType.fieldNames())
     kinds = {c: "double" for c in "xywh"} | {"text": "string", "padding": "string", "style": "map<string,string>"}
     changes = F.struct(*[(F.col("changes")[c] if c in known else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
-    folded = patches.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("patch_ord", "operation", F.to_json(changes).alias("c")))).alias("steps"))
-    shape = "struct<" + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">"
-    steps = F.transform("steps", lambda p: F.struct(p["operation"].alias("operation"), F.from_json(p["c"], shape).alias("c")))
+    first = lambda a, b: F.when(a["patch_ord"] < b["patch_ord"], -1).when(a["patch_ord"] > b["patch_ord"], 1).otherwise(0)
+    folded = patches.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("patch_ord", "operation", changes.alias("c"))), first).alias("steps"))
+    steps = F.coalesce("steps", F.array().cast(folded.schema["steps"].dataType))
     blank = F.create_map().cast("map<string,string>")
 
     def step(acc: Column, p: Column) -> Column:
@@ -235,7 +235,7 @@ def apply_patches(elements: DataFrame, patches: DataFrame, key: list[str]) -> tu
 
     joined = elements.join(folded, key, "left")
     begin = F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in own], F.lit(False).alias("gone"))
-    done = joined.withColumn("steps", F.aggregate(F.coalesce(steps, F.array().cast(f"array<struct<operation:string,c:{shape}>>")), begin, step))
+    done = joined.withColumn("steps", F.aggregate(steps, begin, step))
     new = done.where("not steps.gone").select(*[F.col(f"steps.{c}").alias(c) if c in own else F.col(c) for c in elements.columns])
 
     there = elements.select(*key).distinct().withColumn("there", F.lit(True))
