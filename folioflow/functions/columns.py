@@ -193,8 +193,8 @@ def wrapped_height(text: Column, width: Column, font_size: Column, line_height:
 
 
 def normal_space(v: Column) -> Column:
-    """P16"""
-    return F.trim(F.regexp_replace(v, SPACE + "+", " "))
+    """Single spaces, the most, are no match, so only what changes is written anew."""
+    return F.trim(F.regexp_replace(v, f" {SPACE}+|[{SPACE}&&[^ ]]{SPACE}*", " "))
 
 
 def without_bullet(v: Column) -> Column:

@@ -86,16 +86,17 @@ def uncovered(blocks: DataFrame, texts: DataFrame, block_id: str) -> DataFrame:
     """Blocks (id, text) that no text contains, after white space is normalised.
 
     Blocks of five words or more share their second to fourth word with every text that contains them. That shingle is the join
-    key; it goes with the text's digest, and only texts with a wanted shingle are read again and compared. Shorter blocks are
-    compared with all texts.
+    key; it goes with the text's hash, and only texts with a wanted shingle are read again and compared (a text with another's hash
+    is compared in vain, no more). Shorter blocks are compared with all texts.
     """
     b = blocks.select(block_id, C.normal_space(F.col("text")).alias("block")).where("block <> ''")
     words = F.split("block", " ")
     keyed = b.withColumn("shingle", F.when(F.size(words) >= 5, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(k))) for k in (1, 2, 3)])))
-    t = texts.select(C.normal_space(F.col("text")).alias("body")).withColumn("__t", F.sha2("body", 256))
+    t = texts.select(C.normal_space(F.col("text")).alias("body")).withColumn("__t", F.xxhash64("body"))
     own = t.select("__t", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("own"))  # a column: inside the function below, the split would be repeated
-    spots = F.when(F.size("own") >= 3, F.sequence(F.lit(0), F.size("own") - 3)).otherwise(F.array().cast("array<int>"))
-    shingles = own.select("__t", F.explode(F.array_distinct(F.transform(spots, lambda n: F.xxhash64(*[F.get("own", n + k) for k in range(3)])))).alias("shingle"))
+    rest = lambda k: F.slice("own", k + 1, F.greatest(F.size("own") - k, F.lit(0)))
+    three = F.transform(F.arrays_zip(F.col("own").alias("a"), rest(1).alias("b"), rest(2).alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
+    shingles = own.select("__t", F.explode(three).alias("shingle"))
     wanted = small(keyed.where("shingle is not null"))
     pairs = shingles.join(wanted.select("shingle", block_id, "block"), "shingle").select("__t", block_id, "block").distinct()
     hit = t.join(pairs, "__t").where(F.contains("body", "block")).select(block_id)
