@@ -6,7 +6,9 @@ place in the item). Shared q-grams are counted in diagonal bands of `band` diago
 diagonals lie in one band; bands that reach the bound are verified by banded alignment of the whole item within the region.
 
 The edit budget is e = edit_share * m, or less where the bound would fall under 1; items shorter than q must occur unchanged.
-The benchmark is broadcast in blocks of `block_bytes`; a larger one takes more blocks, each against all rows. Shared q-grams are
+The benchmark is broadcast in blocks of `block_bytes`; a larger one takes more blocks, each against all rows. A block's index takes
+about 16 bytes for each of its bytes and as much again for the filter before it; `clean` has at most CHAIN indexes in one task, and
+writes the rows left (checkpoint) before it goes on with the next ones. Shared q-grams are
 summed by band in runs of `RUN` at most, so a long text that repeats what an item repeats takes time, not memory; regions are
 verified in the order of their places until one without an edit is found.
 
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, C2, blocks, id_text, mix
+from .common import C1, C2, blocks, ensure_checkpoints, id_text, mix
 
 Q = 10
 BITS = 22
 RUN = 1 << 20  # shared q-grams that are held at once
+CHAIN = 4  # blocks whose indexes are held by one task
 FOLD = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256)).lower()
 
 
@@ -38,7 +41,7 @@ FOLD = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256)).lower()
 class Settings:
     edit_share: float = 0.08
     band: int = 32
-    block_bytes: int = 2 << 20
+    block_bytes: int = 8 << 20
 
 
 def budget(m: int, share: float) -> tuple[int, int]:
@@ -70,27 +73,24 @@ class Index:
         self.short = [n for n, (_, t) in enumerate(self.items) if len(t) < Q]
         found = [budget(len(t), settings.edit_share) for _, t in self.items]
         self.edits, self.least = np.array([x[0] for x in found] or [0]), np.array([x[1] for x in found] or [0])
-        hashes, item, place = [], [], []
-        for n, (_, t) in enumerate(self.items):
-            if len(t) >= Q:
-                h = gram_hashes(spare(t))[: len(t) - Q + 1]
-                hashes.append(h)
-                item.append(np.full(len(h), n))
-                place.append(np.arange(len(h)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        grams = [max(0, len(t) - Q + 1) for _, t in self.items]
+        h = np.concatenate([gram_hashes(spare(t))[:n] for n, (_, t) in zip(grams, self.items, strict=True) if n] or [np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
-        self.item, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (item, place))
-        self.known, self.first = np.unique(h[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(h)))
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[(self.known >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        self.item = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[order]
+        self.place = np.concatenate([np.arange(n, dtype=np.int32) for n in grams] or [np.zeros(0, np.int32)])[order]
+        h = h[order]
+        self.first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool))
+        self.known, self.count = h[self.first], np.diff(np.append(self.first, len(h)))
+        self.shift = np.uint64(64 - max(BITS, len(self.known).bit_length() + 2))  # at most a fourth of the filter is set
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(self.known >> self.shift).astype(np.int64)] = True
 
     def hits(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(place in the text, item, place in the item), in runs of at most RUN or of one place."""
         if not len(self.known) or len(raw) <= 16:
             return
         h = gram_hashes(raw)
-        at = np.flatnonzero(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+        at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         ok = self.known[k] == h[at]
         at, k = at[ok], k[ok]
@@ -242,7 +242,10 @@ def _found(sent, settings: Settings):
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows in which no item occurs, with all their columns."""
-    for items in item_blocks(benchmark, settings):
+    for n, items in enumerate(item_blocks(benchmark, settings)):
+        if n and n % CHAIN == 0:
+            ensure_checkpoints(docs.sparkSession)
+            docs = docs.checkpoint()
         found = _found(docs.sparkSession.sparkContext.broadcast(items), settings)
         docs = docs.where(~found(F.col("text").cast("string")))
     return docs

@@ -791,7 +791,7 @@ def edit_distance(p, t):
     return min(row)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     r = random.Random(9)
     say = lambda n: "".join(r.choices("abcdefgh ", k=n))
     items = [(1, say(120)), (2, say(250)), (3, "shortie"), (4, None), (5, ""), (6, say(90))]
@@ -817,6 +817,9 @@ def test_decontamination(spark):
     assert got == want and len(want) > 20 and max(want.values()) > 3
     small = qgram_decontam.Settings(block_bytes=100)  # several blocks
     assert {(x.doc_id, x.item_id) for x in qgram_decontam.contaminated(d, b, small).collect()} == set(want)
+    assert len(list(qgram_decontam.item_blocks(b, small))) == 3
+    monkeypatch.setattr(qgram_decontam, "CHAIN", 2)  # rows are written between blocks
+    assert sorted(qgram_decontam.clean(d, b, small).collect()) == sorted(qgram_decontam.clean(d, b).collect())
     clean = qgram_decontam.clean(d, b)
     assert {x.doc_id for x in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want} and clean.columns == d.columns
     assert qgram_decontam.contaminated(d, b.where("false")).count() == 0 and qgram_decontam.clean(d, b.where("false")).count() == len(rows)
