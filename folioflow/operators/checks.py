@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +11,28 @@ from . import marks
 CELL, MANY = 2.0, 64  # inches of a cell of the overlap grid; cells over which an element counts as wide
 
 
-def pairs(elements: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
-    """Pairs a.ord < b.ord under equal keys: the keys make it a hash join, the rest is a residual condition."""
-    side = elements if keep is None else elements.where(keep)
-    a, b = side.alias("a"), side.alias("b")
-    same = F.col(f"a.{keys[0]}") == F.col(f"b.{keys[0]}")
-    for k in keys[1:]:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, same & (F.col("a.ord") < F.col("b.ord")))
+def near_pairs(elements: DataFrame, keys: list[str], cols: list[str], reach: float = 0.0, cell: float = CELL) -> DataFrame:
+    """(keys, a, b): pairs of elements (structs of ord, x, y, w, h and `cols`), a.ord < b.ord, that touch or are at most `reach`
+    apart in either direction, and some that are not: the caller judges. Elements without a place have no pairs.
+
+    Pairs are looked for in cells, so a slide with very many elements is not one run of all pairs; a pair counts in the cell of its
+    common top left corner only. What covers more than MANY cells, or has a negative extent, is held against all others of its slide.
+    """
+    r, pad, cell = C.Rect(), reach * 0.501 + (1e-6 if reach else 0.0), max(cell, 4 * reach)
+    at = lambda v: F.floor(v / cell)
+    left, top, right, bottom = at(r.x - pad), at(r.y - pad), at(r.right + pad), at(r.bottom + pad)
+    wide = (r.w < 0) | (r.h < 0) | ((right - left + 1) * (bottom - top + 1) > MANY)
+    cells = F.flatten(F.transform(F.sequence(left, right), lambda cx: F.transform(F.sequence(top, bottom), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    e = elements.where(" and ".join(f"{c} is not null" for c in "xywh")).withColumn("wide", wide)
+    box = F.struct("ord", *"xywh", *[c for c in cols if c not in ("ord", *"xywh")])
+    dealt = e.where("not wide").select(*keys, box.alias("a"), F.inline(cells))
+    a, b = C.Rect("a"), C.Rect("b")
+    home = (at(F.greatest(a.x, b.x) - pad) == F.col("cx")) & (at(F.greatest(a.y, b.y) - pad) == F.col("cy"))
+    near = dealt.join(dealt.withColumnRenamed("a", "b"), [*keys, "cx", "cy"]).where((F.col("a.ord") < F.col("b.ord")) & home).select(*keys, "a", "b")
+    one, all_ = e.where("wide").select(*keys, box.alias("a")), e.select(*keys, box.alias("b"), "wide")
+    big = one.join(all_, keys).where((F.col("a.ord") != F.col("b.ord")) & (~F.col("wide") | (F.col("a.ord") < F.col("b.ord"))))
+    first = F.col("a.ord") < F.col("b.ord")
+    return near.unionByName(big.select(*keys, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")))
 
 
 CARD, SURFACE = "card", "card|panel|container|surface"  # fixed values
@@ -31,30 +43,20 @@ def named_like(pattern: str, *cols: str) -> Column:
     return (F.col("type") == "shape") & F.lower(F.concat_ws(" ", *cols)).rlike(pattern)
 
 
-def overlap_pairs(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """What lies within a container's surface overlaps it on purpose; what is within anything else doesn't.
+def pair_columns(keys: list[str], **measure: Column) -> list[Column]:
+    ids = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("ord", "id") for side in "ab"]
+    return [*[F.col(k) for k in keys], *ids, *[C.half_up(v, 4).alias(name) for name, v in measure.items()]]
 
-    Pairs are looked for in cells of CELL inches, so a slide with very many elements is not one run of all pairs; a pair counts in
-    the cell of its common top left corner only. What covers more than MANY cells is held against all others of its slide.
-    """
+
+def overlap_pairs(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """What lies within a container's surface overlaps it on purpose; what is within anything else doesn't."""
     own = ["component"] if "component" in elements.columns else []
     keep = (F.col("type") != "line") & ~C.is_decoration(F.col("role"), F.col("id")) & (F.col("w") > 0) & (F.col("h") > 0)
     e = elements.where(keep).withColumn("surface", named_like(SURFACE, "id", "role", *own))
-    first, last = ([F.floor(v / CELL) for v in pair] for pair in ((F.col("x"), F.col("y")), (F.col("x") + F.col("w"), F.col("y") + F.col("h"))))
-    e = e.select(*keys, "ord", "id", *"xywh", "surface").withColumn("wide", (last[0] - first[0] + 1) * (last[1] - first[1] + 1) > MANY)
-    cells = F.flatten(F.transform(F.sequence(first[0], last[0]), lambda a: F.transform(F.sequence(first[1], last[1]), lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
-    dealt = e.where("not wide").select("*", F.inline(cells))
-    wide = e.where("wide")
     a, b = C.Rect("a"), C.Rect("b")
-    same = reduce(lambda x, k: x & (F.col(f"a.{k}") == F.col(f"b.{k}")), keys, F.lit(True))
-    home = (F.floor(F.greatest(a.x, b.x) / CELL) == F.col("a.cx")) & (F.floor(F.greatest(a.y, b.y) / CELL) == F.col("a.cy"))
     meant = (F.col("a.surface") & a.contains(b)) | (F.col("b.surface") & b.contains(a))
     hit = a.meets(b) & ~meant & (a.share(b) > C.OVERLAP_SHARE)
-    cols = lambda one, two: [*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"{one}.ord").alias("a_ord"), F.col(f"{two}.ord").alias("b_ord"), F.col(f"{one}.id").alias("a_id"), F.col(f"{two}.id").alias("b_id"), C.half_up(a.share(b), 4).alias("ratio")]
-    near = dealt.alias("a").join(dealt.alias("b"), same & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.ord") < F.col("b.ord"))).where(home & hit).select(*cols("a", "b"))
-    big = wide.alias("a").join(e.alias("b"), same & (F.col("a.ord") != F.col("b.ord"))).where((~F.col("b.wide") | (F.col("a.ord") < F.col("b.ord"))) & hit)
-    early, late = big.where("a.ord < b.ord").select(*cols("a", "b")), big.where("a.ord > b.ord").select(*cols("b", "a"))
-    return near.unionByName(early).unionByName(late)
+    return near_pairs(e, keys, ["id", "surface"]).where(hit).select(*pair_columns(keys, ratio=a.share(b)))
 
 
 def spacing_pairs(elements: DataFrame, keys: list[str], spacing: float = 0.5) -> DataFrame:
@@ -62,8 +64,8 @@ def spacing_pairs(elements: DataFrame, keys: list[str], spacing: float = 0.5) ->
     least = spacing / 72 if spacing > 2 else spacing
     own = ["component"] if "component" in elements.columns else []
     a, b = C.Rect("a"), C.Rect("b")
-    near = pairs(elements, keys, named_like(CARD, "id", *own)).where(~a.meets(b) & (a.gap(b) < least))
-    return near.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), C.half_up(a.gap(b), 4).alias("gap"))
+    cards = elements.where(named_like(CARD, "id", *own))
+    return near_pairs(cards, keys, ["id"], least).where(~a.meets(b) & (a.gap(b) < least)).select(*pair_columns(keys, gap=a.gap(b)))
 
 
 def bounds(elements: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .checks import pairs
+from .checks import near_pairs
 
 # Fixed values of the page rules.
 CANVAS, SLACK, REACH = (1280.0, 720.0), 2.0, 8.0
@@ -20,6 +20,8 @@ NODE = {
     "start_x": "double", "start_y": "double", "end_x": "double", "end_y": "double", "marker_start": "string", "marker_end": "string",
 }
 
+CELL = 200.0  # pixels of a cell in which overlaps are looked for
+
 
 def complete(nodes: DataFrame) -> DataFrame:
     return nodes.select("*", *[F.lit(None).cast(t).alias(c) for c, t in NODE.items() if c not in nodes.columns])
@@ -64,8 +66,8 @@ def overlaps(nodes: DataFrame, key: str) -> DataFrame:
     share = a.overlap(b) / F.greatest(F.lit(1.0), F.least(a.w * a.h, b.w * b.h))
     both = lambda c: yes(F.col(f"a.{c}")) & yes(F.col(f"b.{c}"))
     matters = both("card") | F.col("a.says") | F.col("b.says") | (both("seen") & (share > 0.05))
-    hit = pairs(n, [key]).where(a.meets(b) & (a.overlap(b) > 4) & (share > 0.01) & ~yes(kin) & matters)
-    return hit.select(F.col(f"a.{key}").alias(key), F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), C.half_up(share, 4).alias("ratio"))
+    hit = near_pairs(n, [key], ["path", "card", "seen", "says"], cell=CELL).where(a.meets(b) & (a.overlap(b) > 4) & (share > 0.01) & ~yes(kin) & matters)
+    return hit.select(key, F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), C.half_up(share, 4).alias("ratio"))
 
 
 def connector_issues(nodes: DataFrame, key: str) -> DataFrame:

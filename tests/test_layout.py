@@ -1,5 +1,7 @@
 """Layout rules case by case."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,18 @@ def test_card_spacing(spark):
     e = rows(spark, box(0, 0, 1, 1, id="card-1"), box(1.2, 0, 1, 1, component="Card"), box(2.3, 0, 1, 1, id="box"), box(0.5, 0, 1, 1, id="x-card", type="text"), box(0, 1, 1, 1, id="card-2"))
     assert pairs(checks.spacing_pairs(e, ["s"])) == {(0, 1), (0, 4), (1, 4)}
     assert pairs(checks.spacing_pairs(e, ["s"], 13.0)) == {(0, 4)}  # points: 0.18 inch
+    many = [box((n * 37) % 120 / 8, (n * 17) % 70 / 8, 0.3 + n % 3, (0.3 + n % 2) * (-1 if n == 7 else 1), s=n % 2, id=f"card-{n}") for n in range(150)] + [box(-100, -100, 90, 99.9, s=0, id="card-wide"), {"s": 0, "x": None, "id": "card-none"}]
+    last = lambda b, c, d: b[c] + b[d]
+
+    def near(a, b):
+        if a["s"] != b["s"] or None in (a["x"], b["x"]):
+            return False
+        apart = [max(a[c], b[c]) - min(last(a, c, d), last(b, c, d)) for c, d in ("xw", "yh")]
+        meets = all(a[c] < last(b, c, d) and b[c] < last(a, c, d) for c, d in ("xw", "yh"))
+        return not meets and math.hypot(*(max(0.0, v) for v in apart)) < 0.5
+
+    plain = {(i, j) for i in range(len(many)) for j in range(i + 1, len(many)) if near(many[i], many[j])}
+    assert pairs(checks.spacing_pairs(rows(spark, *many), ["s"])) == plain and len(plain) > 150
 
 
 def test_connectors(spark):
