@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,33 +19,111 @@ def even_gaps(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.withColumn("gap", gap).where("gap > 0").groupBy(key).agg(F.count("*").alias("n_gaps"), F.countDistinct("gap").alias("d"), F.min("gap").alias("gap")).where("n_gaps >= 2 and d = 1").drop("d")
 
 
-def segments(rows: DataFrame, key: str, order: list[str], value: str, threshold: float = 36, shortest: int = 2, keep: int = 5) -> DataFrame:
-    """A segment ends where a value is over `threshold` away from the segment's first value (so neighbours are not
-    enough). Segments under `shortest` rows join the one before, the first never does; `keep` segments are labelled.
+class Stretch:
+    """What consecutive rows of one group do to a segment that began before them, for any value it may have begun with.
 
-    The fold needs a group's values in order, three numbers a row, in one task.
+    The first row that ends such a segment is over `threshold` away from its value, so it is a new largest or least value; a chain
+    of segments begins at each of these. Chains that end a segment at the same row have one future and go on as one.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(order)[value].tolist()
-        runs: list[list[int]] = []
-        head = 0.0
-        for k, v in enumerate(values):
-            if not runs or abs(v - head) > threshold:
-                runs.append([k, 0])
-                head = v
-            runs[-1][1] += 1
-        merged: list[list[int]] = []
-        for start, n in runs:
-            if merged and n < shortest:
-                merged[-1][1] += n
-            else:
-                merged.append([start, n])
-        merged = merged[:keep]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(merged), "segment": range(len(merged)), "start": [m[0] for m in merged], "n": [m[1] for m in merged]})
+    def __init__(self, threshold: float, shortest: int, keep: int):
+        self.threshold, self.shortest, self.keep = threshold, shortest, keep
+        self.n, self.low, self.high = 0, float("inf"), float("-inf")
+        self.value: list[float] = []  # of the rows at which chains begin
+        self.at: list[int] = []
+        self.starts: list[list[int]] = []  # of each chain's segments of `shortest` rows or more, `keep` + 1 of them
+        self.open: dict[int, tuple[float, list[int], list[int]]] = {}  # start of the segment -> its value, chains, those that want its start
+
+    def add(self, v: float) -> None:
+        n, cut = self.n, [k for k, (head, _, _) in self.open.items() if abs(v - head) > self.threshold]
+        chains, want = [], []
+        for k in cut:
+            _, mine, wanting = self.open.pop(k)
+            for c in wanting if n - k >= self.shortest else ():
+                self.starts[c].append(k)
+            chains += mine
+            want += [c for c in wanting if len(self.starts[c]) <= self.keep]
+        if n == 0 or v > self.high or v < self.low:
+            chains.append(len(self.at))
+            want.append(len(self.at))
+            self.value.append(v)
+            self.at.append(n)
+            self.starts.append([])
+            self.low, self.high = min(self.low, v), max(self.high, v)
+        if chains:
+            self.open[n] = (v, chains, want)
+        self.n += 1
+
+    def row(self) -> dict:
+        last = {c: (k, head) for k, (head, chains, _) in self.open.items() for c in chains}
+        each = [last[c] for c in range(len(self.at))]
+        return {"n": self.n, "value": self.value, "at": self.at, "starts": self.starts, "last": [k for k, _ in each], "head": [h for _, h in each]}
+
+
+STRETCH = "part int, n long, value array<double>, at array<long>, starts array<array<long>>, last array<long>, head array<double>"
 
+
+def segments(rows: DataFrame, key: str, order: list[str], value: str, threshold: float = 36, shortest: int = 2, keep: int = 5) -> DataFrame:
+    """A segment ends where a value is over `threshold` away from the segment's first value (so neighbours are not
+    enough). Segments under `shortest` rows join the one before, the first never does; `keep` segments are labelled. A null or NaN
+    value ends no segment, and one that begins with it goes on to the end.
+
+    Rows are dealt by ranges of (key, order), so that a group of any size is spread; each range is told by its new extremes (see
+    Stretch), a few dozen for values without a trend, at worst a row each, and a group's ranges are then followed in order.
+    """
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, *order, value).groupBy(key).applyInPandas(fold, f"{key} {kind}, segment long, start long, n long")
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, now, done = TaskContext.get().partitionId(), None, None, []
+        types = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("value", pa.list_(pa.float64())), ("at", pa.list_(pa.int64())), ("starts", pa.list_(pa.list_(pa.int64()))), ("last", pa.list_(pa.int64())), ("head", pa.list_(pa.float64()))])
+
+        def out() -> pa.RecordBatch:
+            names, told = zip(*done, strict=True)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, key_type), *pa.RecordBatch.from_pylist(told, schema=types).columns], names=[key, *types.names])
+
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is None or k != own:
+                    if now is not None:
+                        done.append((own, {"part": part} | now.row()))
+                        if len(done) >= 1000:
+                            yield out()
+                    own, now = k, Stretch(threshold, shortest, keep)
+                now.add(float("nan") if v is None else v)
+        if now is not None:
+            done.append((own, {"part": part} | now.row()))
+            yield out()
+
+    def starts_of(parts: list[dict]) -> tuple[list[int], int]:
+        total, start, head, found = 0, 0, 0.0, [0]
+        for s in parts:
+            ends = [k for k, v in enumerate(s["value"]) if abs(v - head) > threshold][:1] if total else [0]
+            for c in ends:
+                if start and total + s["at"][c] - start >= shortest:
+                    found.append(start)
+                found += [total + k for k in s["starts"][c] if total + k]
+                start, head = total + s["last"][c], s["head"][c]
+            total += s["n"]
+        if start and total - start >= shortest:
+            found.append(start)
+        return found, total
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for k, parts in enumerate(batch.column(1).to_pylist()):
+                starts, total = starts_of(parts)
+                for n, (a, b) in enumerate(zip(starts[:keep], [*starts, total][1:], strict=False)):
+                    row.append(k)
+                    found.append((n, a, b - a))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array([f[c] for f in found], pa.int64()) for c in range(3))], names=[key, "segment", "start", "n"])
+
+    dealt = rows.select(key, *order, F.col(value).cast("double").alias("__v")).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    told = dealt.select(key, "__v").mapInArrow(tell, f"`{key}` {kind}, {STRETCH}")
+    ranges = F.array_sort(F.collect_list(F.struct(*[c for c in told.columns if c != key])))  # as many as there are ranges, at most
+    return told.groupBy(key).agg(ranges.alias("parts")).mapInArrow(follow, f"`{key}` {kind}, segment long, start long, n long")
 
 
 def line_pieces(points: DataFrame, keys: list[str], ord_: str, value: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Layout rules case by case."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import columns as C
-from folioflow.operators import checks, marks, matching, pages, preflight, scoring, structure, validation
+from folioflow.operators import checks, marks, matching, ordered, pages, preflight, scoring, structure, validation
 
 FIELDS = "s int, ord int, id string, type string, role string, x double, y double, w double, h double, text string, font_size double, component string, source_id string, target_id string"
 
@@ -270,3 +271,43 @@ def test_text_rules(spark):
     m = spark.createDataFrame([(3, 0, "a"), (3, 2, None), (0, 2, "a"), (0, 0, None), (1, 1, "a"), (1, 0, None)], "m int, c int, a string")
     assert [r.v for r in m.select(C.layout_mode(F.col("m"), F.col("c"), F.col("a")).alias("v")).collect()] == ["measured", "hybrid", "auto-layout", "auto-layout", "measured", "measured"]
     assert m.select(C.layout_mode(F.col("m"), F.col("c"), F.col("a"), "hybrid").alias("v")).distinct().count() == 1
+
+
+def plain_segments(values, shortest, keep):
+    runs, head = [], 0.0
+    for k, v in enumerate(values):
+        if not runs or abs(v - head) > 36:
+            runs.append([k, 0])
+            head = v
+        runs[-1][1] += 1
+    out = []
+    for start, n in runs:
+        if out and n < shortest:
+            out[-1][1] += n
+        else:
+            out.append([start, n])
+    return [(k, *x) for k, x in enumerate(out[:keep])]
+
+
+@pytest.mark.parametrize("shortest", [1, 2, 7])
+def test_segments_of_groups_over_many_ranges(spark, shortest):
+    r, nan = random.Random(shortest), float("nan")
+    groups = {
+        "hot": [r.choice([0.0, 30.0, 60.0, 90.0]) + r.random() for _ in range(3000)], "rising": [float(n) for n in range(900)], "still": [5.0] * 700, "calm": [r.choice([10.0, 12.0, 60.0] if n % 50 == 0 else [10.0, 30.0]) for n in range(2000)],
+        "late": [1.0] * 600 + [99.0, 1.0] * 3 + [99.0] * 900, "holes": [nan if n % 3 else n % 100 * 1.0 for n in range(300)], "unknown": [nan, 1.0, 80.0, 1.0], "one": [3.0], None: [1.0, 50.0, 50.0],
+    }
+    data = [(k, n, None if v != v and n % 2 else v) for k, vs in groups.items() for n, v in enumerate(vs)]
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "k string, at int, v double")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = {}
+        for x in ordered.segments(df, "k", ["at"], "v", shortest=shortest).collect():
+            got.setdefault(x.k, []).append((x.segment, x.start, x.n))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_segments(v, shortest, 5) for k, v in groups.items()}
+    assert ordered.segments(df.where("false"), "k", ["at"], "v").count() == 0
