@@ -664,11 +664,11 @@ def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches in order: every raw line item moves, restyles or removes what it names, or asks for what can't be done; keys that no
     element has are left over."""
     k, n = F.col("l_partkey"), F.col("l_suppkey")
-    key = [F.col("l_orderkey").alias("slide"), (F.col("l_linenumber") + F.when(n % 5 == 0, 1).otherwise(0)).cast("int").alias("ord")]
+    ord_ = (F.col("l_linenumber") + F.when(n % 5 == 0, 1).otherwise(0)).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slide"), ord_.alias("ord"), k, n).distinct()
     operation = F.when(k % 13 == 0, "removeElement").when(k % 7 == 0, "adjustStyle").when(k % 17 == 0, "paint").otherwise("move")
     changes = F.struct(F.expr("(l_partkey % 50) / 8D").alias("x"), F.when(n % 2 == 0, F.expr("(l_suppkey % 40) / 8D")).alias("y"), F.create_map(F.lit("size"), (k % 30).cast("string")).alias("style"))
-    rows = table(spark, sf_dir, "lineitem").select(*key, (k * 1000 + n).alias("patch_ord"), operation.alias("operation"), changes.alias("changes"))
-    return rows.groupBy("slide", "ord", "patch_ord").agg(F.any_value("operation").alias("operation"), F.any_value("changes").alias("changes"))
+    return rows.select("slide", "ord", (k * 1000 + n).alias("patch_ord"), operation.alias("operation"), changes.alias("changes"))
 
 
 PATCH = f"""{E_SQL}, pt AS (SELECT DISTINCT l_orderkey AS slide, l_linenumber + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS ord, l_partkey * 1000 + l_suppkey AS po, CASE WHEN l_partkey % 13 = 0 THEN 'removeElement' WHEN l_partkey % 7 = 0 THEN 'adjustStyle' WHEN l_partkey % 17 = 0 THEN 'paint' ELSE 'move' END AS op,
