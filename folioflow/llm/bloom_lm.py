@@ -7,10 +7,12 @@ the weights of all pairs that begin with a and F(a) their number, both exact; af
 smoothed from the words' weights. So the probabilities after each word sum to 1 over all words and one unknown word, but for what
 false positives of the filter add (tested with a filter that has none).
 
-The filter is cut into segments by the hash of the n-gram's first word. Map tasks send summed counts, packed by segment; one task
-builds a segment, of a size that follows its number of items (`bits_per_item`), so the share of false positives is the same at any
-size. A model of at most `max_bits` bits and `max_words` words is broadcast. A larger one stays where it is: groups of documents
-send their distinct n-grams to the segments, and the segments send back levels and counts. Both ways give the same scores.
+The filter is cut into segments by the hash of the n-gram's first word, of a size that follows the number of items
+(`bits_per_item`), so the share of false positives is the same at any size. A small table's model (at most `max_bytes`, `max_bits`
+and `max_words`) is built and broadcast. A larger one stays where it is: blocks of documents send their distinct n-grams to the
+segments once, counts with them, and a segment builds its filters and sends back to each block its levels and counts. Both ways
+give the same scores, but that the second spreads the pairs of the most frequent words over all segments, by the second word, and
+adds up these words' numbers, which are exact; they are told by a sample of rows, and there are none in small tables.
 
 Words are compared by 64-bit hashes, pairs by their first word and 48 bits of a hash of both. Defined results: a null or empty text is its end token alone; a null doc_id counts as the
 text "" (held out); repeated rows are scored each and train each; a very long text is a block of its own; an empty table gives an
@@ -21,17 +23,20 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import C3, S32, WordHashes, blocks, ensure_checkpoints, id_text, mix, pair_hash, partitions
-from .repeat_groups import dealt, load
+from .repeat_groups import LOW32
+from .repeat_groups import batches as runs_of
 
 END, LOW48 = np.uint64(0x5EED0FE4D), np.uint64((1 << 48) - 1)
 SMOOTH = 0.1
@@ -39,13 +44,17 @@ SMOOTH = 0.1
 
 @dataclass(frozen=True)
 class Settings:
-    """max_bits, max_words: the largest model that is broadcast (256 MB of bits, 128 MB of words)."""
+    """max_bits, max_words: the largest model that is broadcast (256 MB of bits, 128 MB of words); max_bytes: the largest table, by
+    the plan's estimate, for which that is tried. A word that may begin more than `spread` pairs has them in all segments."""
 
     discount: float = 0.75
     bits_per_item: int = 8
     hashes: int = 5
     max_bits: int = 1 << 31
     max_words: int = 4_000_000
+    max_bytes: int = 64 << 20
+    spread: int = 2_000_000
+    block: int = 4_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -407,10 +416,12 @@ def gathered(built: DataFrame, segments: int, sums: Sums, settings: Settings) ->
 
 def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows, spark = id_text(docs, id_col, text_col), docs.sparkSession
-    segments = 1 << max(0, (8 * partitions(spark, docs) - 1).bit_length())
+    segments = 1 << max(0, (partitions(spark, docs) - 1).bit_length())
+    if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > settings.max_bytes:
+        return _asked(rows, segments, settings)
     built, sums, small = train(rows, segments, settings)
     if not small:
-        return _asked(docs, built, segments, sums, settings, id_col, text_col)
+        return _asked(rows, segments, settings)
     sent = spark.sparkContext.broadcast(gathered(built, segments, sums, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,66 +438,266 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     return rows.mapInArrow(run, SCHEMA)
 
 
-def _asked(docs: DataFrame, built: DataFrame, segments: int, sums: Sums, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The same scores for a model of any size: it is not sent out, but asked. A group's questions are its distinct words, in order
-    of their hashes, and its distinct pairs, in order of first word and pair; answers come back in that order."""
-    spread, _ = dealt(docs, id_col, text_col)
-
-    def questions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        token, start = tokens(texts, WordHashes())
-        word, place = np.unique(token, return_inverse=True)
-        before = contexts(token, start)
-        pair = pair_key(before, token)
-        order = np.lexsort((pair, before))
-        new = np.concatenate(([True], (pair[order[1:]] != pair[order[:-1]]) | (before[order[1:]] != before[order[:-1]])))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return word, place, start, before[order[new]], pair[order[new]], rank
-
-    def ask(group: pa.Table) -> pa.Table:
-        word, _, _, context, pair, _ = questions(load(group)[1])
-        sent = [(s, word[k].tobytes(), None) for s, k in by_segment(word, segments)]
-        asked = {s: context[k].tobytes() + pair[k].tobytes() for s, k in by_segment(context, segments)}  # first words are words
-        sent += [(segments + s, word[k].tobytes(), asked.get(s, b"")) for s, k in by_segment(word, segments)]
-        p = group.column("p")[0].as_py()
-        return pa.Table.from_arrays([pa.array([p] * len(sent), pa.int32()), pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary()), pa.array([x[2] for x in sent], pa.binary())], names=["p", "part", "word", "pairs"])
-
-    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        out = []
-        part = asked.column("part")[0].as_py() if asked.num_rows else 0
-        row = own.select(["bits", "words", "begun"]).to_pylist()[0] if own.num_rows else None
-        bits = np.frombuffer(row["bits"], np.uint8) if row else np.zeros(0, np.uint8)
-        base, size = np.zeros(1, np.int64), np.array([8 * len(bits)], np.uint64)
-        key, n = unpack(row["words"]) if row and row["words"] is not None else joined([], WORD)
-        context, total, follow = unpack_begun(row["begun"]) if row and row["begun"] is not None else joined([], BEGUN)
-        counts, begun = Table(key, n), Table(context, total, follow)
-        probe = lambda keys: levels(bits, base, size, np.zeros(len(keys), np.int64), keys, settings.hashes)
-        for word, pairs in zip(asked.column("word").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
-            keys = np.frombuffer(word, "<u8")
-            if pairs is None:
-                out.append(counts.of(keys)[0].astype("<i8").tobytes() + probe(keys).astype("<i8").tobytes())
-            else:
-                total, follow = begun.of(keys)
-                out.append(total.astype("<f8").tobytes() + follow.astype("<i8").tobytes() + probe(np.frombuffer(pairs, "<u8")[len(pairs) // 16 :]).astype("<i8").tobytes())
-        return pa.Table.from_arrays([asked.column("p").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["p", "part", "blob"])
-
-    def tell(group: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts = load(group)
-        word, token, start, context, pair, pair_place = questions(texts)
-        blob = dict(zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist(), strict=True))
-        count, own, total, follow, double = (np.zeros(n, k) for n, k in ((len(word), np.int64), (len(word), np.int64), (len(word), float), (len(word), np.int64), (len(pair), np.int64)))
-        for s, k in by_segment(word, segments):
-            n = k.stop - k.start
-            one, two = blob[s], blob[segments + s]
-            count[k], own[k] = np.frombuffer(one, "<i8").reshape(2, n)
-            total[k], follow[k] = np.frombuffer(two, "<f8", n), np.frombuffer(two, "<i8", n, 8 * n)
-        for s, k in by_segment(context, segments):
-            n = k.stop - k.start
-            double[k] = np.frombuffer(blob[segments + s], "<i8")[-n:]
-        before = np.concatenate((token[:1], token[:-1]))
-        before[start] = np.searchsorted(word, END)
-        return pa.Table.from_arrays(columns(ids, Lookup(word, count, own, total, follow), before, token, start, double[pair_place], sums, settings), names=NAMES)
-
-    asked = spread.groupBy("p").applyInArrow(ask, "p int, part int, word binary, pairs binary")
-    answers = asked.groupBy("part").cogroup(built.groupBy("part")).applyInArrow(answer, "p int, part int, blob binary")
-    return spread.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(tell, SCHEMA)
+def spread_words(rows: DataFrame, settings: Settings, sample: int = 2000, chars: int = 4096) -> np.ndarray:
+    """Sorted hashes of the words that may begin more than `spread` pairs, by the beginnings of about `sample` rows. Which words
+    these are decides where their pairs go, not whether they count."""
+    n = rows.count()
+    share = min(1.0, sample / max(n, 1))
+    found: Counter = Counter()
+    picked = rows if share == 1 else rows.sample(share, seed=0)
+    for r in picked.select(F.substring("text", 1, chars).alias("text"), F.length("text").alias("n")).collect():
+        scale = max(1.0, (r.n or 0) / chars) / share
+        for w, c in Counter((r.text or "").encode().lower().split()).items():
+            found[w] += c * scale
+    hot = [w for w, c in found.most_common(1 << 15) if c > settings.spread]
+    hashes = [WordHashes().of(hot)] if hot else []
+    return np.unique(np.concatenate([*hashes, np.array([END] if n > settings.spread else [], np.uint64)]))
+
+
+class Numbered(dict):
+    """word -> its number in order of first use; 0 is the end token."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def hashes(self) -> np.ndarray:
+        out = WordHashes(limit=len(self)).of(list(self))
+        out[0] = END
+        return out
+
+
+def small_ints(x: np.ndarray) -> bytes:
+    """Numbers from 0, a byte for most."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
+
+
+def from_small(blob: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """(numbers, where the next ones begin)"""
+    out = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
+    large = out == 255
+    more = int(large.sum())
+    out[large] = np.frombuffer(blob, "<i8", more, at + n)
+    return out, at + n + 8 * more
+
+
+def pack_asked(words: np.ndarray, runs: np.ndarray, hot: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> bytes:
+    """runs: number of pairs of each word, then of each spread word in `hot` (places in the list of these); pairs take 6 bytes."""
+    body = zstandard.ZstdCompressor(level=1).compress(small_ints(runs) + hot.astype("<u2").tobytes() + small_ints(counts))
+    keys = np.ascontiguousarray(pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return struct.pack("<III", len(words), len(hot), len(pair)) + words.astype("<u8").tobytes() + keys.tobytes() + body
+
+
+def unpack_asked(blob: bytes) -> tuple[np.ndarray, ...]:
+    n, h, m = struct.unpack("<III", blob[:12])
+    at = 12 + 8 * n
+    keys = np.zeros((m, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, at).reshape(m, 6)
+    body = zstandard.ZstdDecompressor().decompress(blob[at + 6 * m :])
+    runs, at = from_small(body, n + h, 0)
+    counts, _ = from_small(body, m, at + 2 * h)
+    return np.frombuffer(blob, "<u8", n, 12), runs, np.frombuffer(body, "<u2", h, at), keys.view("<u8").ravel(), counts
+
+
+def places(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted list, or -1."""
+    if not len(among):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[at] == keys, at, -1)
+
+
+def routed(first: np.ndarray, second: np.ndarray, part: np.ndarray, hot: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted pairs by segment, those of spread first words last in each; and where each half of a segment begins. A pair
+    goes to its first word's segment, or if that word is spread to its second word's."""
+    to = np.where(hot[first] >= 0, 2 * part[second] + 1, 2 * part[first])
+    return np.argsort(to.astype(np.uint16 if segments < 1 << 15 else np.int64), kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(to, minlength=2 * segments))))
+
+
+def block_rows(p: int, ids: list, size: np.ndarray, token: np.ndarray, lexicon: Numbered, spread: np.ndarray, segments: int) -> pa.RecordBatch:
+    """A block's rows for the segments, with its distinct words and pairs and their counts in training texts; and one row, of part
+    -1 - p, with the block itself: words by number."""
+    hashes = lexicon.hashes()
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    words, start = hashes[order], np.cumsum(size) - size
+    key, _ = pair_places(rank[token], start, int(rank[0]))
+    key <<= np.uint64(1)
+    key |= np.repeat(np.fromiter(map(held_out, ids), bool, len(ids)), size)
+    key.sort()
+    pair = key >> np.uint64(1)
+    new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    counts = np.add.reduceat((~key & np.uint64(1)).astype(np.int64), new)
+    first, second = (pair[new] >> S32).astype(np.int64), (pair[new] & LOW32).astype(np.int64)
+    del key, pair, new
+    part, hot = segment_of(words, segments), places(words, spread)
+    at, begin = routed(first, second, part, hot, segments)
+    first, second, counts = first[at], second[at], counts[at]
+    keys = pair_key(words[first], words[second])
+    runs = np.where(hot >= 0, 0, np.bincount(first, minlength=len(words)))
+    out = []
+    for s, k in by_segment(words, segments):
+        a, mid, z = begin[2 * s : 2 * s + 3].tolist()
+        place, n = np.unique(hot[first[mid:z]], return_counts=True)
+        out.append((s, pack_asked(words[k], np.concatenate((runs[k], n)), place, keys[a:z], counts[a:z])))
+    planes = np.ascontiguousarray(np.concatenate((token, order.astype(np.uint32))).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    known = np.array([i is not None for i in ids])
+    own = size.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + places(spread, words).astype("<i8").tobytes() + planes.tobytes()
+    out.append((-1 - p, struct.pack("<III", len(ids), len(token), len(order)) + zstandard.ZstdCompressor(level=1).compress(own)))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([p] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["part", "p", "blob"])
+
+
+def unpack_block(blob: bytes, spread: int) -> tuple:
+    """(ids, sizes, tokens as places in order of hash, place of the end token, places of spread words or -1)"""
+    d, t, w = struct.unpack("<III", blob[:12])
+    own = zstandard.ZstdDecompressor().decompress(blob[12:])
+    size, known, ids = np.frombuffer(own, "<i8", d), np.frombuffer(own, np.uint8, d, 8 * d), np.frombuffer(own, "<i8", d, 9 * d)
+    hot = np.frombuffer(own, "<i8", spread, 17 * d)
+    planes = np.ascontiguousarray(np.frombuffer(own, np.uint8, 4 * (t + w), 17 * d + 8 * spread).reshape(4, -1).T).view("<u4").ravel()
+    rank = np.empty(w, np.uint32)
+    rank[planes[t:]] = np.arange(w, dtype=np.uint32)
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], size, rank[planes[:t]], int(rank[0]), hot
+
+
+def pair_places(token: np.ndarray, start: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word before << 32 | place of the word, place of the word before)"""
+    before = np.concatenate((token[:1], token[:-1]))
+    before[start] = end
+    key = before.astype(np.uint64)
+    key <<= S32
+    key |= token
+    return key, before
+
+
+def settle(blobs: list[bytes], spread: int, settings: Settings) -> tuple[list[bytes], dict]:
+    """A segment: its filters are made from all blocks' words and pairs, and probed for each block's; (answers, sums)"""
+    asked = [unpack_asked(b) for b in blobs]
+    keys, place = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+    ends = np.cumsum([len(x[0]) for x in asked])
+    own = [np.concatenate((w, len(keys) + x[2].astype(np.int64))) for w, x in zip(np.split(place, ends[:-1]), asked, strict=True)]
+    first = np.concatenate([np.repeat(w, x[1]) for w, x in zip(own, asked, strict=True)])  # spread words stand behind the segment's own
+    pair, counts = np.concatenate([x[3] for x in asked]), np.concatenate([x[4] for x in asked])
+    sizes = np.cumsum([len(x[3]) for x in asked])
+    del asked
+    count = np.bincount(first, counts, len(keys) + spread).astype(np.int64)
+    order = np.argsort(pair << np.uint64(16) | first.astype(np.uint64) & np.uint64(0xFFFF))  # pairs have 48 bits
+    new = np.concatenate(([True], (pair[order[1:]] != pair[order[:-1]]) | (first[order[1:]] != first[order[:-1]])))[: len(order)]
+    at = np.flatnonzero(new)
+    counts = np.add.reduceat(counts[order], at) if len(at) else counts
+    first, pair = first[order[at]], pair[order[at]]
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    del order, new, at
+    trained = counts > 0
+    total = np.bincount(first[trained], weight(level(counts[trained])), len(keys) + spread).astype(np.int64)
+    follow = np.bincount(first[trained], minlength=len(keys) + spread)
+
+    def probed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        bits = build_segment(counts[counts > 0], keys[counts > 0], settings)
+        return levels(bits, np.zeros(1, np.int64), np.array([8 * len(bits)], np.uint64), np.zeros(len(keys), np.int64), keys, settings.hashes)
+
+    n = len(keys)  # among them are spread words, with no pairs and no count here
+    single, double = probed(keys, count[:n]), probed(pair, counts).astype(np.uint8)[where]
+    out = []
+    for w, a, z in zip(own, [0, *sizes[:-1].tolist()], sizes.tolist(), strict=True):
+        w = w[w < n]
+        body = b"".join(small_ints(x[w]) for x in (single, count, total, follow)) + double[a:z].tobytes()
+        out.append(struct.pack("<II", len(w), z - a) + zstandard.ZstdCompressor(level=1).compress(body))
+    seen = count[:n][count[:n] > 0]
+    return out, {"v": len(seen), "n": int(seen.sum()), "quantised": float(weight(level(seen)).sum()), "hot": np.stack((count[n:], total[n:], follow[n:])).astype("<i8").tobytes()}
+
+
+def unpack_answer(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(level, count, sum of weights and number of pairs of each word; levels of the pairs)"""
+    n, m = struct.unpack("<II", blob[:8])
+    body, at, out = zstandard.ZstdDecompressor().decompress(blob[8:]), 0, []
+    for _ in range(4):
+        x, at = from_small(body, n, at)
+        out.append(x)
+    return *out, np.frombuffer(body, np.uint8, m, at)
+
+
+def _asked(rows: DataFrame, segments: int, settings: Settings) -> DataFrame:
+    """The same scores for a model of any size: it is not sent out, but asked. Texts are split into words once; a block of about
+    `block` tokens sends its distinct words and pairs to their segments, each segment builds its filters and answers every block."""
+    spark = rows.sparkSession
+    ensure_checkpoints(spark)
+    spread = spread_words(rows, settings)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = TaskContext.get().partitionId() << 24
+        lexicon, ids, size, token, n = Numbered(), [], [], [], 0
+        for some, texts in blocks(batches):
+            found: list[int] = []
+            for t in texts:
+                at = len(found)
+                found += map(lexicon.__getitem__, t.lower().split())
+                found.append(0)
+                size.append(len(found) - at)
+            ids += some
+            token.append(np.array(found, np.uint32))
+            n += len(found)
+            if n > settings.block:
+                yield block_rows(p, ids, np.array(size), np.concatenate(token), lexicon, spread, segments)
+                p, lexicon, ids, size, token, n = p + 1, Numbered(), [], [], [], 0
+        if ids:
+            yield block_rows(p, ids, np.array(size), np.concatenate(token), lexicon, spread, segments)
+
+    def answer(group: pa.Table) -> pa.Table:
+        part, p, blobs = (group.column(k) for k in ("part", "p", "blob"))
+        answers, sums = ([], {}) if part[0].as_py() < 0 else settle(blobs.to_pylist(), len(spread), settings)
+        once = lambda k, kind: pa.array([sums.get(k), *[None] * (len(part) - 1)], kind)
+        return pa.Table.from_arrays([part, p, pa.array(answers, pa.binary()) if answers else blobs, once("v", pa.int64()), once("n", pa.int64()), once("quantised", pa.float64()), once("hot", pa.binary())], names=["part", "p", "blob", "v", "n", "quantised", "hot"])
+
+    settled = rows.mapInArrow(ask, "part long, p long, blob binary").groupBy("part").applyInArrow(answer, "part long, p long, blob binary, v long, n long, quantised double, hot binary").checkpoint()
+    n, v, quantised = (x or 0 for x in settled.agg(F.sum("n"), F.sum("v"), F.sum("quantised")).first())
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((3, len(spread)), np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                out += np.frombuffer(x, "<i8").reshape(out.shape)
+        yield pa.RecordBatch.from_pydict({"hot": pa.array([out.tobytes()], pa.binary())})
+
+    hot = np.zeros((3, len(spread)), np.int64)
+    if len(spread):
+        for r in settled.where("hot IS NOT NULL").select("hot").mapInArrow(added, "hot binary").collect():
+            hot += np.frombuffer(r.hot, "<i8").reshape(hot.shape)
+    seen = hot[0][hot[0] > 0]
+    sums = Sums(n + int(seen.sum()), v + len(seen), quantised + float(weight(level(seen)).sum()))
+
+    def tell(group: pa.Table) -> pa.Table:
+        rest = sorted(zip(group.column("part").to_pylist(), group.column("blob").to_pylist(), strict=True))
+        ids, size, token, end, own = unpack_block(rest.pop(0)[1], len(spread))
+        parts, answers = [s for s, _ in rest], [unpack_answer(b) for _, b in rest]
+        part = np.repeat(np.array(parts, np.int64), [len(x[0]) for x in answers])
+        single, count, total, follow = (np.concatenate([x[k] for x in answers]) for k in range(4))
+        here = np.flatnonzero(own >= 0)
+        at = own[here]
+        single[at] = np.where(hot[0][here] > 0, level(np.maximum(hot[0][here], 1)), 0)
+        count[at], total[at], follow[at] = hot[:, here]
+        place = np.full(len(part), -1, np.int64)
+        place[at] = here
+        start = np.cumsum(size) - size
+        key, before = pair_places(token, start, end)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        pair = key[new]
+        where = np.empty(len(order), np.uint32)
+        where[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del key, order, new
+        double = np.empty(len(pair), np.uint8)
+        double[routed((pair >> S32).astype(np.int64), (pair & LOW32).astype(np.int64), part, place, segments)[0]] = np.concatenate([x[4] for x in answers])
+        del pair, answers, rest
+        words, out = Lookup(np.zeros(0, np.uint64), count, single, total.astype(float), follow), []
+        for a, z in runs_of(size.tolist(), 1 << 18):
+            k = slice(start[a], start[z - 1] + size[z - 1])
+            out.append(pa.Table.from_arrays(columns(ids[a:z], words, before[k], token[k], start[a:z] - start[a], double[where[k]].astype(np.int64), sums, settings), names=NAMES))
+        return pa.concat_tables(out)
+
+    return settled.select("part", "p", "blob").groupBy("p").applyInArrow(tell, SCHEMA)

@@ -354,6 +354,34 @@ def test_both_ways_of_asking_give_one_score(docs):
     assert one == two and all(math.isfinite(r[-1]) and r[-1] <= 0 for r in one)
 
 
+@pytest.mark.parametrize("spread", [10, 1 << 20])
+def test_large_tables_are_asked_without_a_model_beside(docs, none, monkeypatch, spread):
+    """Several blocks a task; words whose pairs are in all segments, the end token among them; no second pass over the texts."""
+    count, n, score = plain_model(texts())
+    monkeypatch.setattr(bloom_lm, "train", lambda *_: pytest.fail("a model was built beside"))
+    settings = bloom_lm.Settings(bits_per_item=128, hashes=12, max_bytes=-1, spread=spread, block=300)
+    spreads = bloom_lm.spread_words(bloom_lm.id_text(docs), settings)
+    assert (bloom_lm.END in spreads and len(spreads) > 100) if spread == 10 else not len(spreads)
+    for r, t in each(bloom_lm.score(docs, settings)):
+        words = [*t.encode().lower().split(), None]
+        assert (r.n_tokens, r.train_tokens, r.n_known) == (len(words), n, sum(count[w] > 0 for w in words))
+        base, own = score(t)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, own, rel_tol=1e-9)
+    assert bloom_lm.score(none, settings).count() == 0
+
+
+def test_a_segment_is_probed_once_for_all_blocks(monkeypatch):
+    """Not once for each block that asks: blocks times segments grow with the square of the table."""
+    calls, probe = [], bloom_lm.levels
+    monkeypatch.setattr(bloom_lm, "levels", lambda *a: calls.append(1) or probe(*a))
+    word, none = np.array([7], np.uint64), np.zeros(0, np.int64)
+    blobs = [bloom_lm.pack_asked(word, np.array([2]), none, np.array([k, 900], np.uint64), np.array([1, k % 2])) for k in range(300)]
+    answers, sums = bloom_lm.settle(blobs, 0, bloom_lm.Settings(bits_per_item=128, hashes=12))
+    assert len(calls) == 2 and (sums["n"], sums["v"]) == (450, 1)
+    stands = 300 + 1.5 * 2 ** 7
+    assert all([x.tolist() for x in bloom_lm.unpack_answer(b)] == [[9], [450], [stands], [301], [1, 8]] for b in answers)
+
+
 def test_filter_counts_are_quantised_and_never_low():
     keys = np.unique(np.random.default_rng(0).integers(1, 1 << 63, 5000).astype(np.uint64))
     counts = np.random.default_rng(1).integers(1, 5000, len(keys))
