@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,46 +152,78 @@ def flat_tokens(fronts: DataFrame) -> DataFrame:
 
 
 class _Nodes(HTMLParser):
+    """Nodes in order, as [tag, attrs, parent, start, end]: a node's text is that part of the page's text."""
+
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.data: list[str] = []
+        self.at = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         parent = self.open[-1] if self.open else -1
-        path = f"{self.rows[parent][3]}/{len(self.rows)}" if parent >= 0 else str(len(self.rows))
-        self.rows.append([len(self.rows), tag, {k: v or "" for k, v in attrs}, path, parent, ""])
+        self.rows.append([tag, {k: v or "" for k, v in attrs}, parent, self.at, self.at])
         if tag not in self.VOID:
             self.open.append(len(self.rows) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[k]][1] == tag:
-                del self.open[k:]
+            if self.rows[self.open[k]][0] == tag:
+                self.end(k)
                 break
 
     def handle_data(self, data: str) -> None:
-        for k in self.open:
-            self.rows[k][5] += data
+        self.data.append(data)
+        self.at += len(data)
+
+    def end(self, k: int) -> None:
+        for n in self.open[k:]:
+            self.rows[n][4] = self.at
+        del self.open[k:]
+
+    def nodes(self) -> Iterator[tuple[int, str, list[tuple[str, str]], str, int, str]]:
+        """One at a time, as paths and texts of nested nodes can be far longer than their page."""
+        self.end(0)
+        text, path, ends = "".join(self.data), "", [0] * len(self.rows)  # path: of the node before; ends: where a node's own path ends in it
+        for n, (tag, attrs, parent, start, end) in enumerate(self.rows):
+            path = f"{path[: ends[parent]]}/{n}" if parent >= 0 else str(n)
+            ends[n] = len(path)
+            yield n, tag, list(attrs.items()), path, parent, text[start:end]
+
+
+NODE = pa.schema({"ord": pa.int64(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "path": pa.string(), "parent": pa.int64(), "text": pa.string()})
 
 
-def html_nodes(pages: DataFrame, id_: str, html: str) -> DataFrame:
-    """(id, ord, tag, attrs, path, parent, text); a node's text holds that of its descendants."""
+def html_nodes(pages: DataFrame, id_: str, html: str, limit: int = 1 << 20) -> DataFrame:
+    """(id, ord, tag, attrs, path, parent, text); a node's text holds that of its descendants. Nodes are sent on in runs of about
+    `limit` characters, so that a worker holds a page and a run, however many nodes a batch of pages has."""
     kind = dict(pages.dtypes)[id_]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page, source in zip(pdf[id_], pdf[html], strict=True):
+    def made(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NODE, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *own], [id_, *NODE.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, size = [], [], 0
+            for k, source in enumerate(batch.column(1)):
                 parser = _Nodes()
-                parser.feed(source or "")
+                parser.feed(source.as_py() or "")
                 parser.close()
-                rows += [[page, *r] for r in parser.rows]
-            yield pd.DataFrame(rows, columns=[id_, "ord", "tag", "attrs", "path", "parent", "text"])
-
-    return pages.select(id_, html).mapInPandas(run, f"{id_} {kind}, ord long, tag string, attrs map<string,string>, path string, parent long, text string")
+                for row in parser.nodes():
+                    at.append(k)
+                    rows.append(row)
+                    size += 100 + len(row[3]) + len(row[5]) + sum(len(a) + len(b) for a, b in row[2])
+                    if size >= limit:
+                        yield made(batch, at, rows)
+                        at, rows, size = [], [], 0
+            if rows:
+                yield made(batch, at, rows)
+
+    return pages.select(id_, html).mapInArrow(run, f"{id_} {kind}, ord long, tag string, attrs map<string,string>, path string, parent long, text string")
 
 
 def slide_nodes(nodes: DataFrame, id_: str) -> DataFrame:

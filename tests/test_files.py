@@ -4,6 +4,7 @@ import json
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,26 @@ def test_html(spark):
     assert rows.headers == ["0"] and len(rows.rows) == 299
 
 
+def test_html_nodes_are_sent_in_runs(spark):
+    class Pages:
+        dtypes = [("k", "bigint"), ("html", "string")]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    deep = "<p class='a'>" * 300 + "x" * 1000
+    batch = pa.RecordBatch.from_pydict({"k": pa.array([2**53 + 1, None, 3]), "html": [deep, "", deep]})
+    runs = list(readers.html_nodes(Pages(), "k", "html", limit=50_000)(iter([batch])))
+    assert sum(r.num_rows for r in runs) == 600 and len(runs) > 10 and max(r.nbytes for r in runs) < 100_000
+    own = spark.createDataFrame([(2**53 + 1, deep), (None, "<br>"), (3, None)], "k long, html string").coalesce(1)
+    rows = sorted(readers.html_nodes(own, "k", "html").collect(), key=lambda r: (r.k is None, r.ord))
+    assert [(r.k, r.ord, r.parent, r.attrs, r.path, r.text) for r in rows[:300]] == [(2**53 + 1, n, n - 1, {"class": "a"}, "/".join(map(str, range(n + 1))), "x" * 1000) for n in range(300)]
+    assert [tuple(r) for r in rows[300:]] == [(None, 0, "br", {}, "0", -1, "")]
+
+
 def test_measurements(spark, tmp_path):
     write(tmp_path / "a.json", json.dumps({"elements": [{"id": "x", "x": 1.5, "y": 2, "w": 3, "h": 4}, {"id": "y", "x": 0}]}))
     assert [(r.id, r.x) for r in readers.measurements(spark, str(tmp_path)).orderBy("ord").collect()] == [("x", 1.5), ("y", 0)]
