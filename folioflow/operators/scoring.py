@@ -226,13 +226,13 @@ def accessibility(elements: DataFrame, slides: DataFrame, key: str) -> DataFrame
     text = (F.col("type") == "text") & (F.coalesce(F.trim("text"), F.lit("")) != "")
     per = elements.groupBy(key).agg(F.bool_or(text).alias("readable"), F.bool_or(text & (F.coalesce(F.lower("id").rlike("title|heading|headline"), F.lit(False)) | (F.col("h") >= 0.45))).alias("titled"))
     whole = slides.select(key).join(per, key, "left")
-    none = F.lit(None).cast("string")
-    row = lambda kind, severity: [F.lit(severity).alias("severity"), F.lit(kind).alias("kind")]
-    out = whole.where(~F.coalesce("readable", F.lit(False))).select(key, none.alias("id"), *row("no-text", "warning"))
-    out = out.unionByName(whole.where(~F.coalesce("titled", F.lit(False))).select(key, none.alias("id"), *row("no-title", "warning")))
-    out = out.unionByName(elements.where((F.col("type") == "image") & (F.coalesce("alt", F.lit("")) == "") & (F.coalesce("role", F.lit("")) != "decorative")).select(key, "id", *row("image-alt", "error")))
-    out = out.unionByName(elements.where((F.col("type") == "text") & (F.col("font_size") < 10)).select(key, "id", *row("small-text", "warning")))
-    return out.unionByName(elements.where((F.col("type") == "chart") & (F.coalesce("description", F.lit("")) == "")).select(key, "id", *row("chart-description", "warning")))
+    found = lambda kind, severity, wrong: F.when(wrong, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind")))
+    of = lambda *each: F.inline(F.filter(F.array(*each), lambda x: x.isNotNull()))
+    no = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
+    out = whole.select(key, F.lit(None).cast("string").alias("id"), of(found("no-text", "warning", ~F.coalesce("readable", F.lit(False))), found("no-title", "warning", ~F.coalesce("titled", F.lit(False)))))
+    image = (F.col("type") == "image") & no("alt") & (F.coalesce("role", F.lit("")) != "decorative")
+    small, chart = (F.col("type") == "text") & (F.col("font_size") < 10), (F.col("type") == "chart") & no("description")
+    return out.unionByName(elements.select(key, "id", of(found("image-alt", "error", image), found("small-text", "warning", small), found("chart-description", "warning", chart))))
 
 
 def accessibility_status(issues: DataFrame, key: str) -> DataFrame:

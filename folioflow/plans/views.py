@@ -10,10 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slide, ord, id, type, role, ...) from lineitem; line numbers are not unique in an order, so their largest keys count."""
+def by_size(spark: SparkSession, df: DataFrame, part_bytes: int) -> int:
+    """A partition for each `part_bytes` of the table's files (the planner's statistics), the session's cores at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // part_bytes))
+
+
+def elements(spark: SparkSession, sf_dir: str, part_bytes: int = 8 << 20) -> DataFrame:
+    """(slide, ord, id, type, role, ...) from lineitem; line numbers are not unique in an order, so their largest keys count. A slide's
+    rows lie together, in as many partitions as the table's size asks for, so that a task's share doesn't grow with the table."""
     li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy(F.col("l_orderkey").alias("slide"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    rows = li.select(F.col("l_orderkey").alias("slide"), F.col("l_linenumber").alias("ord"), "l_partkey", "l_suppkey").repartition(by_size(spark, li, part_bytes), "slide")
+    g = rows.groupBy("slide", "ord").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
     e = F.expr
     return g.select(
         "slide", "ord", "p", "s", F.concat(F.lit("el-"), "slide", F.lit("-"), "ord").alias("id"),
